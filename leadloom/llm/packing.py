@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,66 +17,102 @@ from .common import materialize
 
 #: Ids of a document in one row of the token table at most; longer documents span several rows.
 BLOCK = 65_536
-#: Words whose ids a task keeps; beyond that it starts anew.
-CACHE = 400_000
+#: Words whose ids a Python worker keeps (about 200 bytes each); beyond that it starts anew.
+CACHE = 1_000_000
 #: Rows of partition totals that are broadcast at most (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_PARTS = 500_000
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 TOKENS = "doc_id long, part int, doc_tokens long, doc_start long, local_start long, n long, ids binary"
 
 
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
+
+
+class _WordIds(dict):
+    """Ids of each word between white space, found when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.of, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.units: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in ".,"}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.of.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1])
+        base = word if mark is None else word[:-1]
+        if base.isalpha() and "\u0130" not in base and "\u03a3" not in base:
+            # Python lower-cases these two by other rules than the tokenizer.
+            low = base.lower()
+            if (raw := self.units.get(low)) is None:
+                raw = self.units[low] = self._unit(low)
+            raw = raw if mark is None else raw + mark
+        else:
+            raw = self.whole(word)
+        self[word] = raw
+        return raw
+
+    def _unit(self, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = "".join([self.letters[b] for b in unicodedata.normalize("NFC", letters).encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+
 class WordTokenizer:
     """Ids of whole texts, by way of a cache of the ids of words between white space.
 
     The tokenizer drops white space before it merges, so a text's ids are its words' ids in order.
-    Texts with U+001C to U+001F, which Python counts as white space and the tokenizer doesn't, go
-    to it whole.
+    A word of letters only is one unit of its merges, so those are asked for directly; a full stop
+    or comma after it is a unit of its own; any other word goes through the whole tokenizer. Texts
+    with U+001C to U+001F, which Python counts as white space and the tokenizer doesn't, go to it
+    whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 256):
-            some = words[i : i + 256]
-            e = self.of.encode(" ".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            ids = np.asarray(e.ids, "<u4")
-            # An id belongs to the word in which it starts.
-            word = np.searchsorted(ends, [a for a, _ in e.offsets], side="right")
-            cut = np.searchsorted(word, np.arange(len(some) + 1))
-            raw = ids.tobytes()
-            for k, w in enumerate(some):
-                self.ids[w] = raw[4 * cut[k] : 4 * cut[k + 1]]
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text and end_id after them."""
+        self.ids = _WordIds(self.of)
+
+    @classmethod
+    def kept(cls, path: str) -> WordTokenizer:
+        """The one that this Python worker has used before, if any: its cache serves later tasks."""
+        if path not in _KEPT:
+            _KEPT[path] = cls(path)
+        return _KEPT[path]
+
+    def encode(self, text: str | None, end_id: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text and end_id after them."""
+        if not text:
+            return end_id
+        if _ODD_SPACE.search(text):
+            return self.ids.whole(text) + end_id
         if len(self.ids) > CACHE:
-            self.ids = {}
-        split = [None if t and any(c in t for c in "\x1c\x1d\x1e\x1f") else (t or "").split() for t in texts]
-        new = {w for words in split if words for w in words if w not in self.ids}
-        self._learn(sorted(new))
-        end = np.uint32(end_id).tobytes()
-        return [
-            np.asarray(self.of.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end
-            if words is None
-            else b"".join(map(self.ids.__getitem__, words)) + end
-            for t, words in zip(texts, split, strict=True)
-        ]
+            self.ids = _WordIds(self.of)
+        return b"".join(map(self.ids.__getitem__, text.split())) + end_id
+
+
+_KEPT: dict[str, WordTokenizer] = {}
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """First pass: ids of every document in blocks, with their places in the task's own sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, at = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tok, part, at = WordTokenizer.kept(tokenizer_path), TaskContext.get().partitionId(), 0
+        end = np.uint32(end_id).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
                 out: list[tuple] = []
-                for key, raw in zip(some.column(0).to_pylist(), tok.encode(some.column(1).to_pylist(), end_id), strict=True):
+                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    raw = tok.encode(text, end)
                     n = len(raw) // 4
                     for s in range(0, n, BLOCK):
                         m = min(BLOCK, n - s)
