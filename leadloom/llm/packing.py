@@ -18,7 +18,7 @@ from .common import materialize
 #: Ids of a document in one row of the token table at most; longer documents span several rows.
 BLOCK = 65_536
 #: Words whose ids a Python worker keeps (about 200 bytes each); beyond that it starts anew.
-CACHE = 1_000_000
+CACHE = 250_000
 #: Rows of partition totals that are broadcast at most (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_PARTS = 500_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
