@@ -22,6 +22,10 @@ def _seed(words: Column, at: Column, number: int, mask: str) -> Column:
     return F.xxhash64(F.lit(number), *[F.get(words, at + k) for k, c in enumerate(mask) if c == "1"])
 
 
+def _seeds_at(places: str, number: int, mask: str) -> Column:
+    return F.transform(places, lambda i: F.struct(i.alias("i"), _seed(F.col("w"), i, number, mask).alias("h")))
+
+
 def _around(words: Column, at: Column, reach: int, span: int) -> Column:
     """The words from `reach` before the seed to `reach` after it; null beyond the text's ends."""
     return F.transform(F.sequence(at - reach, at + (span + reach - 1)), lambda k: F.get(words, k))
@@ -84,8 +88,7 @@ def overlaps(
     rows = rows.select("doc_id", "w", known.alias("known"))
     found = []
     for number, mask in enumerate(masks):
-        hashed = F.transform("known", lambda i, n=number, m=mask: F.struct(i.alias("i"), _seed(F.col("w"), i, n, m).alias("h")))
-        found.append(F.filter(hashed, lambda s: _flag(seed_known, s["h"], seed_flags)))
+        found.append(F.filter(_seeds_at("known", number, mask), lambda s: _flag(seed_known, s["h"], seed_flags)))
     near = F.transform(F.concat(*found), lambda s: F.struct(s["i"].alias("i"), s["h"].alias("h"), _around(F.col("w"), s["i"], reach, span).alias("doc_words")))
     hits = rows.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.i", "s.h", "s.doc_words")
     small = seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
@@ -114,7 +117,7 @@ def oracle(window: int = 13, substitutions: int = 2) -> str:
     """DuckDB SQL of overlaps: all equal words of documents and items, counted along every alignment."""
     need = window - substitutions
     starts = " UNION ALL ".join(
-        f"SELECT doc_id, item_id, nd, ni, d, p - {k} AS at, count(*) OVER (PARTITION BY doc_id, item_id, d ORDER BY p RANGE BETWEEN CURRENT ROW AND {window - 1 - k} FOLLOWING) AS matched FROM equal"
+        f"SELECT doc_id, item_id, nd, ni, d, p - {k} AS first, count(*) OVER (PARTITION BY doc_id, item_id, d ORDER BY p RANGE BETWEEN CURRENT ROW AND {window - 1 - k} FOLLOWING) AS matched FROM equal"
         for k in range(substitutions + 1)
     )
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -126,6 +129,6 @@ pairs AS (SELECT doc_id, item_id, nd, ni, p - q AS d, p FROM dw JOIN iw USING (w
 long AS (SELECT doc_id, item_id, d FROM pairs GROUP BY ALL HAVING count(*) >= {need}),
 equal AS (SELECT p.* FROM pairs p SEMI JOIN long l ON p.doc_id = l.doc_id AND p.item_id = l.item_id AND p.d = l.d),
 starts AS ({starts})
-SELECT doc_id, item_id, min(at)::BIGINT AS first_word, max(at)::BIGINT AS last_word, max(matched)::BIGINT AS matched FROM starts
-WHERE matched >= {need} AND at >= 0 AND at + {window} <= nd AND at - d >= 0 AND at - d + {window} <= ni GROUP BY doc_id, item_id
+SELECT doc_id, item_id, min(first)::BIGINT AS first_word, max(first)::BIGINT AS last_word, max(matched)::BIGINT AS matched FROM starts
+WHERE matched >= {need} AND first >= 0 AND first + {window} <= nd AND first - d >= 0 AND first - d + {window} <= ni GROUP BY doc_id, item_id
 """
