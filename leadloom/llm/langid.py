@@ -145,7 +145,8 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """
     kept = docs.drop("lang_pred", "score")
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    at = kept.columns.index("text")
+    names_in = list(kept.columns)
+    at = names_in.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables() if network else []
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                 k = int(p.argmax())
                 names.append(network.names[k])
                 scores.append(min(1.0, float(p[k])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept.columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*names_in, "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
 
