@@ -17,7 +17,7 @@ from .toxicity import fold
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 16_000_000
 #: Contexts are this many bytes at most.
-DEPTH = 3
+DEPTH = 4
 #: Rows of byte-string scores that are broadcast at most (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 END = b"\n"
@@ -41,15 +41,15 @@ def _bytes(words: list[bytes]) -> bytes:
 
 def _grams(raw: np.ndarray) -> np.ndarray:
     """Each byte with the DEPTH bytes before it, as one number."""
-    x = raw.astype(np.uint32)
+    x = raw.astype(np.int64)
     g = x[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
-        g |= x[DEPTH - k : len(x) - k] << np.uint32(8 * k)
+        g |= x[DEPTH - k : len(x) - k] << 8 * k
     return g
 
 
 def _collect(parts: list[bytes]) -> np.ndarray:
-    return np.concatenate([_grams(np.frombuffer(p, np.uint8)) for p in parts]) if parts else np.empty(0, np.uint32)
+    return np.concatenate([_grams(np.frombuffer(p, np.uint8)) for p in parts]) if parts else np.empty(0, np.int64)
 
 
 def _count_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,32 +142,36 @@ def gram_scores(grams: DataFrame, tree: list[DataFrame]) -> DataFrame:
 
 
 class _Grams:
-    """Scores of byte strings by two lookups: a row for the context, a column for the byte."""
+    """Scores of byte strings: one lookup per byte, from the number of a prefix to that of the next longer one."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         raw = np.unique(np.concatenate([(keys >> s) & 255 for s in range(0, 8 * DEPTH + 8, 8)]))
         self.code = np.zeros(256, np.int64)
         self.code[raw] = np.arange(len(raw))
         self.k = max(1, len(raw))
-        ctx = self._context(keys)
-        known, row = np.unique(ctx, return_inverse=True)
-        self.row = np.zeros(self.k**DEPTH, np.int32)
-        self.row[known] = np.arange(len(known), dtype=np.int32)
-        self.value = np.zeros(max(1, len(known)) * self.k)
-        self.value[row * self.k + self.code[keys & 255]] = values
-
-    def _context(self, keys: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(keys), np.int64)
-        for s in range(8 * DEPTH, 0, -8):
-            at = at * self.k + self.code[(keys >> s) & 255]
-        return at
+        self.steps: list[np.ndarray] = []
+        number = self.code[keys >> 8 * DEPTH]
+        states = self.k
+        for s in range(8 * (DEPTH - 1), 0, -8):
+            at = number * self.k + self.code[(keys >> s) & 255]
+            known, number = np.unique(at, return_inverse=True)
+            step = np.zeros(states * self.k, np.int32)
+            step[known] = np.arange(len(known), dtype=np.int32)
+            self.steps.append(step)
+            states = max(1, len(known))
+        self.value = np.zeros(states * self.k, np.float32)
+        self.value[number * self.k + self.code[keys & 255]] = values
 
     def total(self, raw: bytes) -> float:
-        c = self.code[np.frombuffer(raw, np.uint8)]
-        at = c[: len(c) - DEPTH]
-        for k in range(1, DEPTH):
-            at = at * self.k + c[k : len(c) - DEPTH + k]
-        return float(self.value[self.row[at] * np.int64(self.k) + c[DEPTH:]].sum())
+        out = 0.0
+        for i in range(0, len(raw) - DEPTH, 65_536):
+            c = self.code[np.frombuffer(raw[i : i + 65_536 + DEPTH], np.uint8)]
+            n = len(c) - DEPTH
+            number = c[:n]
+            for d, step in enumerate(self.steps, 1):
+                number = step[number * self.k + c[d : d + n]].astype(np.int64)
+            out += float(self.value[number * self.k + c[DEPTH:]].sum(dtype=np.float64))
+        return out
 
 
 def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, packing, sharding, simhash, toxicity, vectors
+from . import decontaminate, langid, licenses, lm, packing, sharding, simhash, substrings, toxicity, vectors
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -40,6 +40,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(_read(spark, sf_dir, "documents"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_read(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_sharding, op3_packing, op4_simhash, op6_lm, op7_toxicity, op8_embeddings, op9_language, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_sharding, op3_packing, op4_simhash, op5_substrings, op6_lm, op7_toxicity, op8_embeddings, op9_language, op10_decontamination)}
 ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op10_decontamination": decontaminate.oracle()}
