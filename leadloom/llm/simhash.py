@@ -65,10 +65,11 @@ def _stars(arrays: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
     b: list[np.ndarray] = []
     for x in arrays:
         v = np.unique(np.asarray(x.values, np.int64))
-        near = np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= most
-        label = np.arange(len(v))
+        strips = range(0, len(v), 128)
+        near = np.concatenate([np.bitwise_count((v[i : i + 128, None] ^ v[None, :]).view(np.uint64)) <= most for i in strips])
+        label = np.arange(len(v), dtype=np.int32)
         while True:
-            new = np.where(near, label[None, :], len(v)).min(axis=1)
+            new = np.concatenate([np.where(near[i : i + 128], label[None, :], np.int32(len(v))).min(axis=1) for i in strips])
             new = new[new]
             if (new == label).all():
                 break
@@ -100,7 +101,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     are settled by their minimum and maximum; up to `bucket` members are compared in one task and
     give one link per member; members of still larger ones are linked through hubs.
     """
-    sigs = _signatures(fps)
+    # As many tasks as the session shuffles with: each row becomes 64.
+    sigs = _signatures(fps.repartition(F.col("fp")))
     groups = materialize(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     two = groups.where("n = 2 and bit_count(a ^ b) <= 3").select("a", "b")
     some = groups.where(f"n > 2 and n <= {bucket}").select("sig")
