@@ -50,6 +50,17 @@ def key_to_id(c: Column) -> Column:
     return F.when(c != NULL_ID, c)
 
 
+def lowest_hashed(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """The `rows` rows whose key hashes lowest, of about `total`: the same ones however df is partitioned.
+
+    A threshold lets through twice as many as are wanted, so what the tasks send to be ordered
+    doesn't grow with the input.
+    """
+    u = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, 2 * rows / max(1, total))
+    return df.where(u < int(share * (1 << 40))).orderBy(u, *df.columns).limit(rows)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of edges; root is the smallest node of its component.
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest_hashed
 from .toxicity import fold
 
 #: Labelled rows that a network learns from at most, one window of each: those whose doc_id hashes lowest.
@@ -60,9 +61,9 @@ class ByteNetwork:
         for i in range(0, len(x), 32):
             y = np.pad(x[i : i + 32], ((0, 0), (0, len(tables) - 1)))
             n = x.shape[1]
-            acc = tables[0][y[:, :n]]
+            acc = tables[0].take(y[:, :n], axis=0)
             for j in range(1, len(tables)):
-                acc += tables[j][y[:, j : j + n]]
+                acc += tables[j].take(y[:, j : j + n], axis=0)
             out[i : i + 32] = acc.max(axis=1)
         return np.maximum(out + self.biases, 0)
 
@@ -129,7 +130,8 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAIN_
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), folds) != held_out))
     some = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring(F.col("text"), start, WINDOW).alias("text"))
-    got = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(rows).collect()
+    total = docs.where(F.col("lang").isNotNull()).count()
+    got = lowest_hashed(some, "doc_id", rows, total).collect()
     got = [r for r in got if r["text"]]
     if not got:
         return None
