@@ -318,6 +318,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataF
     return joined.mapInArrow(cut, schema)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
+    """docs with text replaced by what remove_repeats() keeps of it; bytes of cut characters are left out too."""
+    done = remove_repeats(docs, length, **parameters)
+    names = list(docs.columns)
+    at, kept = names.index("text"), done.columns.index("kept")
+    order = [done.columns.index(c) for c in names]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(k) for k in order]
+            old, new = columns[at], b.column(kept)
+            columns[at] = pa.array([x.as_py().decode("utf-8", "ignore") if o.is_valid else None for o, x in zip(old, new, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return done.mapInArrow(decode, docs.schema)
+
+
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of remove_repeats()."""
     done = remove_repeats(docs.select(key_to_id(doc_key()).alias("doc_id"), "text"))
