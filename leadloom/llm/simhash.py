@@ -59,26 +59,70 @@ def _signatures(fps: DataFrame) -> DataFrame:
     return wide.select(F.expr("shiftleft(cast(h * 32 + j as bigint), 32) | (x & ~shiftleft(1L, j))").alias("sig"), "fp")
 
 
-def _stars(arrays: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each array of fingerprints, links of each member to the first of its group in that array."""
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    for x in arrays:
-        v = np.unique(np.asarray(x.values, np.int64))
-        strips = range(0, len(v), 128)
-        near = np.concatenate([np.bitwise_count((v[i : i + 128, None] ^ v[None, :]).view(np.uint64)) <= most for i in strips])
-        label = np.arange(len(v), dtype=np.int32)
-        while True:
-            new = np.concatenate([np.where(near[i : i + 128], label[None, :], np.int32(len(v))).min(axis=1) for i in strips])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        far = label != np.arange(len(v))
-        a.append(v[far])
-        b.append(v[label[far]])
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(a or empty), np.concatenate(b or empty)
+def _star(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each of the fingerprints to the first of its group, where any chain of near ones connects them."""
+    strips = range(0, len(v), 128)
+    near = np.concatenate([np.bitwise_count((v[i : i + 128, None] ^ v[None, :]).view(np.uint64)) <= most for i in strips])
+    label = np.arange(len(v), dtype=np.int32)
+    while True:
+        new = np.concatenate([np.where(near[i : i + 128], label[None, :], np.int32(len(v))).min(axis=1) for i in strips])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(v))
+    return v[far], v[label[far]]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], bucket: int, most: int = 3) -> Iterator[pa.RecordBatch]:
+    """(crowded, a, b) from rows sorted by signature: links, or members of signatures with more than `bucket`.
+
+    Between batches only the last signature's members are kept, `bucket` at most.
+    """
+    sig, fp, crowd = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for batch in _and_end(batches):
+        end = batch is None
+        if not end:
+            sig = np.concatenate([sig, np.asarray(batch.column(0))])
+            fp = np.concatenate([fp, np.asarray(batch.column(1))])
+        if not len(sig):
+            continue
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        crowded: list[np.ndarray] = []
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(start, len(sig)))
+        if crowd == sig[0]:
+            crowded.append(fp[: size[0]])
+            if len(start) > 1 or end:
+                start, size = start[1:], size[1:]
+        done = len(start) if end else max(0, len(start) - 1)
+        two = start[:done][size[:done] == 2]
+        near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= most]
+        links.append((fp[near], fp[near + 1]))
+        for s, n in zip(start[:done][size[:done] > 2].tolist(), size[:done][size[:done] > 2].tolist(), strict=True):
+            if n > bucket:
+                crowded.append(fp[s : s + n])
+            else:
+                links.append(_star(fp[s : s + n], most))
+        if not end:
+            last = start[-1]
+            if crowd == sig[-1] and len(start) == 1:
+                sig, fp = sig[:0], fp[:0]
+            elif size[-1] > bucket:
+                crowd = sig[-1]
+                crowded.append(fp[last:])
+                sig, fp = sig[:0], fp[:0]
+            else:
+                sig, fp = sig[last:], fp[last:]
+        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+        c = np.concatenate(crowded) if crowded else fp[:0]
+        flags = np.repeat([False, True], [len(a), len(c)])
+        yield pa.RecordBatch.from_arrays([pa.array(flags), pa.array(np.append(a, c)), pa.array(np.append(b, c))], ["crowded", "a", "b"])
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def _hubs(fps: DataFrame) -> DataFrame:
@@ -97,25 +141,15 @@ def _hubs(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints with three differing bits or fewer.
 
-    Not all pairs, but enough that components are those of all pairs. Signatures with two members
-    are settled by their minimum and maximum; up to `bucket` members are compared in one task and
-    give one link per member; members of still larger ones are linked through hubs.
+    Not all pairs, but enough that components are those of all pairs. Signatures are dealt out and
+    sorted once. Up to `bucket` members of one are compared where they meet and give one link per
+    member; members of still larger ones are linked through hubs.
     """
-    # As many tasks as the session shuffles with: each row becomes 64.
-    sigs = _signatures(fps.repartition(F.col("fp")))
-    groups = materialize(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    two = groups.where("n = 2 and bit_count(a ^ b) <= 3").select("a", "b")
-    some = groups.where(f"n > 2 and n <= {bucket}").select("sig")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                a, b = _stars(batch.column(0).slice(i, 64), 3)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    compared = sigs.join(some, "sig").groupBy("sig").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long")
-    crowded = sigs.join(groups.where(f"n > {bucket}").select("sig"), "sig").select("fp").distinct()
-    return two.union(compared).union(_hubs(crowded)).distinct()
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_sigs = _signatures(fps.repartition(tasks)).repartition(tasks, "sig").sortWithinPartitions("sig", "fp")
+    found = materialize(sorted_sigs.mapInArrow(lambda it: _compare(it, bucket), "crowded boolean, a long, b long").distinct())
+    crowded = found.where("crowded").select(F.col("a").alias("fp"))
+    return found.where("not crowded").select("a", "b").union(_hubs(crowded)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
