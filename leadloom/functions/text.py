@@ -58,7 +58,7 @@ def html_to_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", "")
     for entity, text in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(entity), F.lit(text))
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def html_escape(c: Column) -> Column:

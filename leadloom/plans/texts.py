@@ -34,7 +34,7 @@ def _pages(spark, sf_dir):
 _PAGES = "WITH p AS (SELECT page_id, url, split_part(url, '/', 3) AS host, html || '<p>mailto:Sales@' || split_part(url, '/', 3) || '\" info@site' || (page_id % 20) || '.com logo@x.png help@' || split_part(url, '/', 3) || ' (619) 555-' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || '</p>' AS html FROM pages)"
 
 
-@query("SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', '', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|tr|h1|h2|li)>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS text_md5 FROM pages")
+@query("SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', '', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|tr|h1|h2|li)>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM pages")
 def html_to_text(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_to_text(F.col("html"))).alias("text_md5"))
 
