@@ -114,7 +114,7 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Only the last row and, for its anchor, the one first cell that may turn out alone are kept
     between batches.
     """
-    last: tuple[int, int, int] | None = None
+    last: tuple[int, ...] | None = None
     waiting: np.ndarray | None = None  # the only first cell so far of the last row's anchor
     for b in batches:
         if not b.num_rows:
@@ -122,9 +122,11 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, c, n, key, s, twice = (np.asarray(b.column(k)).astype(np.int64) for k in range(6))
         new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1]))
         group = np.append(True, a[1:] != a[:-1])
+        same = np.append(False, ~new[1:] & (key[1:] == key[:-1]) & (s[1:] == s[:-1]))  # a repeated row
         if last is not None:
             group[0] = a[0] != last[0]
-            new[0] = (a[0], c[0], n[0]) != last
+            new[0] = (a[0], c[0], n[0]) != last[:3]
+            same[0] = (a[0], c[0], n[0], key[0], s[0]) == last
         number = np.cumsum(group) - (0 if not group[0] else 1)  # a group that goes on from the last batch is 0
         size = np.bincount(number, weights=new, minlength=number[-1] + 1).astype(int)
         rows = np.stack([a, n, key, s, twice], axis=1)
@@ -145,9 +147,9 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (final & new & alone).any():
             waiting = rows[np.flatnonzero(final & new & alone)[0]]
         take = new & (~alone | ((twice > 0) & ~final))
-        again = rows[~new]
+        again = rows[~new & ~same]
         sort = np.concatenate([rows[take], *[o[None] for o in out]])
-        last = (a[-1], c[-1], n[-1])
+        last = (a[-1], c[-1], n[-1], key[-1], s[-1])
         both = np.concatenate([again, sort])
         kind = np.repeat(np.array([0, 1], np.int32), [len(again), len(sort)])
         yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(both[:, k]) for k in range(4))], ["kind", "anchor", "n", "key", "s"])
@@ -234,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
         pieces = materialize(pieces)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "s"], kind="stable")
+        pdf = pdf.drop_duplicates(["key", "s", "raw"]).sort_values(["key", "s", "raw"])
         keys, at = pdf["key"].to_numpy(), pdf["s"].to_numpy()
         out = []
         for k, starts in repeats_in(list(pdf["raw"]), length):
