@@ -139,3 +139,18 @@ def test_synthetic_leads_do_not_depend_on_partitions(spark):
     a = synthetic.leads(spark, 100).orderBy("id").collect()
     b = synthetic.leads(spark, 100).repartition(7).orderBy("id").collect()
     assert a == b
+
+
+def test_payload_functions(spark):
+    from leadloom.operators import payloads
+
+    assert one(spark, payloads.locale(F.lit("ES-mx"))) == "es" and one(spark, payloads.locale(F.lit(None).cast("string"))) == "en"
+    assert tuple(one(spark, payloads.name_parts(F.lit("  Luz  de la Vega ")))) == ("Luz", "de la Vega")
+    assert one(spark, payloads.person(F.lit("Luz"), F.lit(True), F.lit("x"))) is None
+    now = F.lit("2024-01-31 10:00:00").cast("timestamp")
+    assert one(spark, payloads.retry_seconds(F.lit(" 120 "), now)) == 120
+    assert one(spark, payloads.retry_seconds(F.lit("Wed, 31 Jan 2024 10:01:00 GMT"), now)) == 60
+    assert one(spark, payloads.retry_seconds(F.lit("later"), now)) is None
+    assert one(spark, payloads.signal(F.lit("new"), F.lit("2024-01-01"), F.lit("Permit Renewed"))) == "active_permit"
+    assert one(spark, payloads.signal(F.lit("new"), F.lit("2024-01-01"), F.lit(None).cast("string"))) == "new_business"
+    assert one(spark, payloads.duplicate_conflict(F.lit("A Duplicate entry")))
