@@ -62,3 +62,27 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], slots: int = 4099)
     table = table.select(F.col("slot").cast("long"), F.element_at(names, F.col("k").cast("int") + 1).alias("shard"))
     placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
     return placed.join(F.broadcast(table), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+
+
+def oracle(shards: list[str], slots: int) -> str:
+    """DuckDB SQL of assign_shards on documents: the table is filled turn by turn in a recursive query."""
+    n, rows = len(shards), ", ".join(f"({k}, '{s}')" for k, s in enumerate(shards))
+
+    def number(text: str) -> str:
+        return f"(('0x' || left(md5({text}), 8))::BIGINT)"
+
+    offset, skip = number("name || '#offset'"), number("name || '#skip'")
+    return f"""
+WITH RECURSIVE shards(k, name) AS (VALUES {rows}),
+prefs AS (SELECT list({offset} % {slots} ORDER BY k) AS start, list({skip} % {slots - 1} + 1 ORDER BY k) AS skip FROM shards),
+fill AS (
+  SELECT 0 AS turn, NULL::BIGINT AS slot, list_resize([]::INT[], {slots}, -1) AS owner, start AS nxt, skip FROM prefs
+  UNION ALL
+  SELECT turn + 1, found, list_concat(owner[:found], [turn % {n}], owner[found + 2:]),
+    list_concat(nxt[:turn % {n}], [(found + skip[turn % {n} + 1]) % {slots}], nxt[turn % {n} + 2:]), skip
+  FROM (SELECT *, list_filter(list_transform(range({slots}), lambda j: (nxt[turn % {n} + 1] + j * skip[turn % {n} + 1]) % {slots}),
+    lambda s: owner[s + 1] = -1)[1] AS found FROM fill WHERE turn < {slots})),
+owners AS (SELECT slot, (turn - 1) % {n} AS k FROM fill WHERE turn > 0)
+SELECT doc_id, slot, name AS shard
+FROM (SELECT doc_id, {number("coalesce(CAST(doc_id AS VARCHAR), '')")} % {slots} AS slot FROM documents) JOIN owners USING (slot) JOIN shards USING (k)
+"""
