@@ -154,3 +154,20 @@ def test_payload_functions(spark):
     assert one(spark, payloads.signal(F.lit("new"), F.lit("2024-01-01"), F.lit("Permit Renewed"))) == "active_permit"
     assert one(spark, payloads.signal(F.lit("new"), F.lit("2024-01-01"), F.lit(None).cast("string"))) == "new_business"
     assert one(spark, payloads.duplicate_conflict(F.lit("A Duplicate entry")))
+
+
+def test_projections(spark):
+    from leadloom.operators import payloads
+
+    rows = spark.createDataFrame([("1", " ", "Ola", "92101-22", None), ("2", None, None, "92102", "x")], "Id string, dba string, name string, ZIP string, city string")
+    fields = {"source_id": ["ID"], "business_name": ["DBA", "Name"], "zip": ["zip"], "city": ["city"], "phone": ["phone"]}
+    got = payloads.mapped_prospect(rows, fields, ["business_name"], "San Diego").collect()
+    assert [tuple(r) for r in got] == [("1", "Ola", "92101", "San Diego", None)]
+    p = spark.createDataFrame([(1, "Ola", "web:ola.com", "https://ola.com", "", "1 B St", "San Diego", None)], "id int, business_name string, dedupe_key string, website string, email string, address string, city string, zip string")
+    body = payloads.company_body(p, ["dedupKey"]).first()["body"]
+    assert '"name":"Ola"' in body and "dedupKey" not in body and "businessEmail" not in body and "addressPostcode" not in body
+    assert one(spark, payloads.hydrated(F.lit("[1,2]"), "array<int>", F.array().cast("array<int>"))) == [1, 2]
+    assert one(spark, payloads.hydrated(F.lit(None).cast("string"), "array<int>", F.array().cast("array<int>"))) == []
+    assert one(spark, payloads.instant(F.lit("2024-01-31T10:00:00Z"))) == "2024-01-31T10:00:00.000Z"
+    assert one(spark, payloads.label(F.lit("weekly"), {"weekly": "Weekly"})) == "Weekly" and one(spark, payloads.label(F.lit("x"), {})) == "x"
+    assert one(spark, payloads.percent(F.lit(1), F.lit(8))) == 12.5 and one(spark, payloads.percent(F.lit(1), F.lit(0))) == 0
