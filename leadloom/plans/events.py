@@ -109,22 +109,22 @@ def _steps_sql() -> str:
     return f", steps(sequence, step, position, delay) AS (VALUES {rows}), planned AS (SELECT id, segment, status, created_at, step, position, created_at + to_minutes(delay) AS scheduled_at FROM v_leads JOIN steps ON segment = sequence)"
 
 
-@query(_LEADS + _steps_sql() + " SELECT id, step, scheduled_at FROM planned WHERE created_at >= TIMESTAMP '2001-06-01'")
+@query(_LEADS + _steps_sql() + " SELECT id, step, scheduled_at FROM planned")
 def step_expansion(spark, sf_dir):
-    return guards.enrol(views.leads(spark, sf_dir).where("created_at >= timestamp_ntz '2001-06-01'")).select("id", "step", "scheduled_at")
+    return guards.enrol(views.leads(spark, sf_dir)).select("id", "step", "scheduled_at")
 
 
-@query(_LEADS + _steps_sql() + " SELECT id, step, CASE WHEN id % 19 = 0 OR status IN ('won', 'lost', 'booked', 'customer', 'spam') THEN 'cancel' WHEN step <> 'quote' THEN 'defer' ELSE 'send' END AS action FROM planned WHERE created_at >= TIMESTAMP '2001-06-01' AND scheduled_at <= TIMESTAMP '2001-08-02 05:00:00'")
+@query(_LEADS + _steps_sql() + " SELECT id, step, CASE WHEN id % 19 = 0 OR status IN ('won', 'lost', 'booked', 'customer', 'spam') THEN 'cancel' WHEN step <> 'quote' THEN 'defer' ELSE 'send' END AS action FROM planned WHERE scheduled_at <= TIMESTAMP '2001-08-02 05:00:00'")
 def drip_state(spark, sf_dir):
     """STR-02 in batch: at 05:00 UTC it is 22:00 in the send zone, so all but first quotes wait."""
-    steps = guards.enrol(views.leads(spark, sf_dir).where("created_at >= timestamp_ntz '2001-06-01'"))
+    steps = guards.enrol(views.leads(spark, sf_dir))
     return guards.due(steps, "2001-08-02 05:00:00", F.col("id") % 19 == 0).select("id", "step", "action")
 
 
-@query(_LEADS + _steps_sql() + " SELECT p.id, p.step, q.quote_price FROM planned p JOIN quoted q ON p.id = q.id WHERE p.created_at >= TIMESTAMP '2001-06-01' AND scheduled_at <= TIMESTAMP '2001-08-02' ORDER BY scheduled_at, p.id, p.position LIMIT 50")
+@query(_LEADS + _steps_sql() + " SELECT p.id, p.step, q.quote_price FROM planned p JOIN quoted q ON p.id = q.id WHERE scheduled_at <= TIMESTAMP '2001-08-02' ORDER BY scheduled_at, p.id, p.position LIMIT 50")
 def due_steps(spark, sf_dir):
     """JN-02 with its batch limit."""
-    leads = views.leads(spark, sf_dir).where("created_at >= timestamp_ntz '2001-06-01'")
+    leads = views.leads(spark, sf_dir)
     steps = guards.enrol(leads).where("scheduled_at <= timestamp_ntz '2001-08-02'")
     j = steps.join(pricing.with_quote(leads).select("id", "quote_price"), "id")
     return j.orderBy("scheduled_at", "id", "position").limit(50).select("id", "step", "quote_price")

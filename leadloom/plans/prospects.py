@@ -120,12 +120,12 @@ def prospect_score(spark, sf_dir):
 
 
 def suppression(spark, sf_dir):
-    n = views.table(spark, sf_dir, "supplier").where("s_suppkey <= 200")
+    n = views.table(spark, sf_dir, "supplier")
     mails = n.where("s_suppkey % 10 = 1").selectExpr("'email' AS kind", "concat('INFO@site', s_suppkey % 50, '.com') AS value")
     return mails.union(n.where("s_suppkey % 50 = 3").selectExpr("'domain' AS kind", "concat('site', s_suppkey % 50, '.com') AS value")).distinct()
 
 
-_SUPP = ", sup AS (SELECT DISTINCT * FROM (SELECT 'email' AS kind, lower('INFO@site' || (s_suppkey % 50) || '.com') AS value FROM supplier WHERE s_suppkey <= 200 AND s_suppkey % 10 = 1 UNION ALL SELECT 'domain', 'site' || (s_suppkey % 50) || '.com' FROM supplier WHERE s_suppkey <= 200 AND s_suppkey % 50 = 3)), marked AS (SELECT i.*, CASE WHEN email = '' THEN 'no_email' WHEN lower(email) IN (SELECT value FROM sup WHERE kind = 'email') THEN 'email' WHEN split_part(lower(email), '@', 2) IN (SELECT value FROM sup WHERE kind = 'domain') THEN 'domain' END AS suppressed_by FROM icp i)"
+_SUPP = ", sup AS (SELECT DISTINCT * FROM (SELECT 'email' AS kind, lower('INFO@site' || (s_suppkey % 50) || '.com') AS value FROM supplier WHERE s_suppkey % 10 = 1 UNION ALL SELECT 'domain', 'site' || (s_suppkey % 50) || '.com' FROM supplier WHERE s_suppkey % 50 = 3)), marked AS (SELECT i.*, CASE WHEN email = '' THEN 'no_email' WHEN lower(email) IN (SELECT value FROM sup WHERE kind = 'email') THEN 'email' WHEN split_part(lower(email), '@', 2) IN (SELECT value FROM sup WHERE kind = 'domain') THEN 'domain' END AS suppressed_by FROM icp i)"
 
 
 @query(_SCORED + _SUPP + "SELECT id, suppressed_by FROM marked")
