@@ -2,37 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, fold_accents, word
 from ..plans import catalog
 
 
-def classify(text: Column, code: Column, signal: Column, segments: dict | None = None) -> Column:
-    """struct<segment, confidence, matched>: the best-scoring segment, ties by the catalog's order.
+def _words(values: list[str]) -> Column:
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
+def with_segment(df: DataFrame, text: Column, code: Column, signal: Column, segments: dict | None = None) -> DataFrame:
+    """df with segment, confidence and matched: the best-scoring segment, ties by the catalog's order.
 
     Two points for each keyword that occurs anywhere in the folded text, four for an exact code or
     two for one with the same first four digits. A finished permit decides alone. The catalog is a
-    literal in the plan, so rows are never multiplied by it.
+    literal in the plan, so rows are never multiplied by it; the scores are a column of their own,
+    so they are computed once a row.
     """
     segments = segments or catalog.SEGMENTS
-    hay = F.lower(fold_accents(F.coalesce(text, F.lit(""))))
-    digits = F.regexp_replace(F.coalesce(code, F.lit("")), r"\D", "")
+    rows = df.select("*", F.lower(fold_accents(F.coalesce(text, F.lit("")))).alias("_hay"), F.regexp_replace(F.coalesce(code, F.lit("")), r"\D", "").alias("_code"), signal.alias("_signal"))
+    hay, digits = F.col("_hay"), F.col("_code")
     scored = []
     for order, (name, (_, keywords, codes)) in enumerate(segments.items()):
-        words = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(hay, k))
-        near = F.exists(F.array(*map(F.lit, codes)), lambda c: F.startswith(digits, F.substring(c, 1, 4)))
-        by_code = F.when(digits == "", 0).when(digits.isin(codes), 4).when(near, 2).otherwise(0)
-        marks = F.when(by_code == 4, F.array(F.concat(F.lit("naics:"), digits))).when(by_code == 2, F.array(F.concat(F.lit("naics~"), digits))).otherwise(F.array().cast("array<string>"))
-        scored.append(F.struct((F.size(words) * 2 + by_code).alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("segment"), F.concat(words, marks).alias("matched")))
-    ranked = F.sort_array(F.array(*scored), asc=False)
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    sure = F.least(F.lit(1.0), best["score"] / 6 * F.when(best["score"] > second["score"], 1.0).otherwise(0.6))
-    found = F.when(best["score"] > 0, F.struct(best["segment"].alias("segment"), (F.floor(sure * 100 + 0.5) / 100).alias("confidence"), best["matched"].alias("matched")))
-    none = F.struct(F.lit(None).cast("string").alias("segment"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("matched"))
-    permit = F.struct(F.lit("post_construction").alias("segment"), F.lit(0.9).alias("confidence"), F.array(F.lit("permit_finaled")).alias("matched"))
-    return F.when(signal == "permit_finaled", permit).otherwise(F.coalesce(found, none))
+        near = F.exists(_words(codes), lambda c: F.startswith(digits, F.substring(c, 1, 4)))
+        by_code = F.when(digits == "", 0).when(F.array_contains(_words(codes), digits), 4).when(near, 2).otherwise(0)
+        scored.append(F.struct(F.filter(_words(keywords), lambda k: F.contains(hay, k)).alias("words"), by_code.alias("by_code"), F.lit(-order).alias("order"), F.lit(name).alias("segment")))
+
+    def ranked(x: Column) -> Column:
+        return F.struct((F.size(x["words"]) * 2 + x["by_code"]).alias("score"), x["order"].alias("order"), x["segment"].alias("segment"), x["words"].alias("words"), x["by_code"].alias("by_code"))
+
+    rows = rows.withColumn("_ranked", F.sort_array(F.transform(F.array(*scored), ranked), asc=False))
+    rows = rows.select("*", F.get("_ranked", F.lit(0)).alias("_best"), F.get("_ranked", F.lit(1))["score"].alias("_second"))
+    best, permit = F.col("_best"), F.coalesce(F.col("_signal") == "permit_finaled", F.lit(False))
+    sure = F.least(F.lit(1.0), best["score"] / 6 * F.when(best["score"] > F.col("_second"), 1.0).otherwise(0.6))
+    coded = F.when(best["by_code"] == 4, F.array(F.concat(F.lit("naics:"), digits))).when(best["by_code"] == 2, F.array(F.concat(F.lit("naics~"), digits))).otherwise(F.array().cast("array<string>"))
+    found = best["score"] > 0
+    return rows.select(
+        *df.columns,
+        F.when(permit, "post_construction").when(found, best["segment"]).alias("segment"),
+        F.when(permit, 0.9).when(found, F.floor(sure * 100 + 0.5) / 100).otherwise(0.0).alias("confidence"),
+        F.when(permit, F.array(F.lit("permit_finaled"))).when(found, F.concat(best["words"], coded)).otherwise(F.array().cast("array<string>")).alias("matched"),
+    )
 
 
 def sector(code: Column) -> Column:

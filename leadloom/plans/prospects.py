@@ -55,8 +55,7 @@ _BEST = _classify_sql()
 
 
 def classified(spark, sf_dir):
-    p = views.prospects(spark, sf_dir).withColumn("c", segments.classify(F.col("business_name"), F.col("naics"), F.col("signal_type")))
-    return p.select("*", "c.segment", "c.confidence", "c.matched").drop("c")
+    return segments.with_segment(views.prospects(spark, sf_dir), F.col("business_name"), F.col("naics"), F.col("signal_type"))
 
 
 @query(_BEST + "SELECT id, segment, confidence FROM best")

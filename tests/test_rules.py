@@ -55,10 +55,15 @@ def test_chain_stops_at_the_first_rule(spark):
 
 
 def test_segments_and_confidence(spark):
-    c = segments.classify
-    assert one(spark, c(F.lit("Clínica Dental"), F.lit("621210"), F.lit(None)))["segment"] == "office_clinic"
-    assert one(spark, c(F.lit("Nothing"), F.lit(""), F.lit("permit_finaled")))["confidence"] == 0.9
-    assert one(spark, c(F.lit(None), F.lit(None), F.lit(None)))["segment"] is None
+    rows = [("Clínica Dental", "621210", None), ("Nothing", "", "permit_finaled"), (None, None, None), ("Bar", "5312", None)]
+    df = spark.createDataFrame(rows, "name string, code string, kind string").coalesce(1)
+    got = [(r["segment"], r["confidence"], r["matched"]) for r in segments.with_segment(df, F.col("name"), F.col("code"), F.col("kind")).collect()]
+    assert got == [
+        ("office_clinic", 1.0, ["dental", "clinic", "clinica", "naics:621210"]),
+        ("post_construction", 0.9, ["permit_finaled"]),
+        (None, 0.0, []),
+        ("property_manager", 0.2, ["naics~5312"]),
+    ]
 
 
 def test_inbound_opt_out_outranks_a_price_question(spark):
