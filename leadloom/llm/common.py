@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints/leadloom").rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have `rows` rows at most: whole texts are long, and a task holds a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, compression: str = "lz4") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashed
+from .common import lowest_hashed, short_batches
 from .toxicity import fold
 
 #: Labelled rows that a network learns from at most, one window of each: those whose doc_id hashes lowest.
@@ -145,6 +145,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     texts without a letter, and all texts when nothing was learned, are `und` with score 0. Columns
     of docs named lang_pred or score are replaced; repeated rows each get their result.
     """
+    short_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     names_in = list(kept.columns)

@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, short_batches
 
 #: Ids of a document in one row of the token table at most; longer documents span several rows.
 BLOCK = 65_536
-#: Words whose ids a Python worker keeps (about 200 bytes each); beyond that it starts anew.
+#: Words whose ids a task keeps (about 200 bytes each); beyond that it starts anew.
 CACHE = 250_000
 #: Rows of partition totals that are broadcast at most (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_PARTS = 500_000
@@ -82,11 +82,15 @@ class WordTokenizer:
 
     @classmethod
     def kept(cls, path: str) -> WordTokenizer:
-        """The one that this Python worker has used before, if any: its cache serves later tasks."""
+        """The one that this Python worker has used before, if any, with an empty cache."""
         if path not in _KEPT:
             _KEPT[path] = cls(path)
+        _KEPT[path].forget()
         return _KEPT[path]
 
+    def forget(self) -> None:
+        self.ids = _WordIds(self.of)
+
     def encode(self, text: str | None, end_id: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of the text and end_id after them."""
         if not text:
@@ -94,7 +98,7 @@ class WordTokenizer:
         if _ODD_SPACE.search(text):
             return self.ids.whole(text) + end_id
         if len(self.ids) > CACHE:
-            self.ids = _WordIds(self.of)
+            self.forget()
         return b"".join(map(self.ids.__getitem__, text.split())) + end_id
 
 
@@ -121,6 +125,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 names = ["doc_id", "part", "doc_tokens", "doc_start", "local_start", "n", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        tok.forget()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 
@@ -135,6 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
     each side. Null texts are empty: their piece is the end id alone. A null doc_id stays null,
     repeated rows are packed each for itself, other columns are ignored, an empty table gives no row.
     """
+    short_batches(docs.sparkSession)
     table = materialize(token_table(docs, tokenizer_path, end_id), "zstd")
     totals = table.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, doc_key, key_to_id, materialize
+from .common import connected_components, doc_key, key_to_id, materialize, short_batches
 
 SEED = 42
 #: Fingerprints under one signature that a task compares at once; more are linked through hubs.
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) ->
     doc_id sorts first, and its component's id is then null; rows that repeat a doc_id each get a
     row; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     table = materialize(fingerprints(docs, shingle))
     nodes = materialize(table.groupBy("fp").agg(F.min("key").alias("least")))
     roots = connected_components(materialize(links(nodes.select("fp"), bucket)))

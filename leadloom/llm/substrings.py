@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_to_id, materialize
+from .common import doc_key, key_to_id, materialize, short_batches
 from .suffixes import common_prefixes, suffix_array
 
 #: Repeats of this many bytes are removed.
@@ -21,7 +21,7 @@ LENGTH = 100
 GRAM = 16
 #: Bytes of text that a task looks at together, and bytes in a shard of suffix arrays, about.
 BUFFER = 1 << 20
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 #: Cells of one anchor with more bytes than this aren't sorted in one shard: their windows are compared by hash.
 HOT_BYTES = 8_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -303,6 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataF
     another text they share the removed places. Columns of docs named kept or n_spans are replaced;
     an empty table gives no row.
     """
+    short_batches(docs.sparkSession)
     kept = docs.drop("kept", "n_spans")
     names = list(kept.columns)
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw")
