@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, doc_key, key_to_id, materialize, short_batches
@@ -15,6 +15,8 @@ from .common import connected_components, doc_key, key_to_id, materialize, short
 SEED = 42
 #: Fingerprints under one signature that a task compares at once; more are linked through hubs.
 BUCKET = 2048
+#: Column with the number of a row while near-duplicate rows are removed.
+ROW = "_row_number"
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -36,15 +38,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(key, fp): each document's key and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, row: str | None = None) -> DataFrame:
+    """(key, fp): each document's key and its fingerprint as a signed long; with `row` that column (a long) as row, too."""
+    more = [] if row is None else [F.col(row).alias("row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["key", "fp", *b.schema.names[2:]])
 
-    return docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, fp long")
+    texts = docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text"), *more)
+    return texts.mapInArrow(run, "key long, fp long" + (", row long" if more else ""))
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -152,6 +156,15 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found.where("not crowded").select("a", "b").union(_hubs(crowded)).distinct()
 
 
+def _components(table: DataFrame, least: Column, bucket: int) -> DataFrame:
+    """(fp, component): for each fingerprint of the table the smallest `least` of its component."""
+    nodes = materialize(table.groupBy("fp").agg(least.alias("least")))
+    roots = connected_components(materialize(links(nodes.select("fp"), bucket)))
+    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return joined.join(smallest, "root").select("fp", "component")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -163,13 +176,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) ->
     """
     short_batches(docs.sparkSession)
     table = materialize(fingerprints(docs, shingle))
-    nodes = materialize(table.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = connected_components(materialize(links(nodes.select("fp"), bucket)))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = joined.join(least, "root").select("fp", "component")
-    return table.join(of_fp, "fp").select(
+    return table.join(_components(table, F.min("key"), bucket), "fp").select(
         key_to_id(F.col("key")).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         key_to_id(F.col("component")).alias("component_id"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each component of near_duplicates(): the one with the least doc_id, null first, then row number.
+
+    Rows are numbered once, in a table in the shared folder, and go by that number alone: rows that
+    repeat a doc_id, share one with another text or have none are judged like all others.
+    """
+    short_batches(docs.sparkSession)
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "zstd")
+    table = materialize(fingerprints(rows, shingle, ROW))
+    component = _components(table, F.min(F.struct("key", "row")), bucket)
+    extra = table.join(component, "fp").where(F.col("row") != F.col("component.row")).select(F.col("row").alias(ROW))
+    return rows.join(extra, ROW, "left_anti").select(*docs.columns)

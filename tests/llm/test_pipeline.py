@@ -29,6 +29,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == {0, 2, 5}
 
 
+def test_near_dedup_goes_by_row(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, words("a"))] * 3 + [(None, words("b"))] * 2 + [(None, words("c")), (2, words("b")), (3, words("d")), (3, words("a")), (4, words("e")), (4, words("f"))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, "a"), (3, "d"), (4, "e"), (4, "f"), (None, "b"), (None, "c")]
+    assert sorted(((r["doc_id"], r["text"][0]) for r in got.collect()), key=str) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
