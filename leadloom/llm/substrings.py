@@ -48,8 +48,8 @@ def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(np.uint64(0), np.cumsum(h * power[:-1])), back
 
 
-def cells(keys: np.ndarray, texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """anchor, content, n, key, s, twice: the cells of all texts.
+def cells(keys: np.ndarray, ids: np.ndarray, texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
+    """anchor, content, n, key, text_id, s, twice: the cells of all texts.
 
     The anchor of a window of `length` bytes is the least hash of the strings in it. A cell is a run
     of n window starts, from s on, with one anchor. Equal windows have equal anchors, so they are in
@@ -60,7 +60,7 @@ def cells(keys: np.ndarray, texts: list[bytes], length: int = LENGTH) -> dict[st
     empty = np.empty(0, np.int64)
     keep = [i for i, t in enumerate(texts) if len(t) >= length]
     if not keep:
-        return {k: empty for k in ("anchor", "content", "n", "key", "s", "twice")}
+        return {k: empty for k in ("anchor", "content", "n", "key", "text_id", "s", "twice")}
     raw = np.frombuffer(b"".join(texts[i] for i in keep), np.uint8)
     sizes = np.array([len(texts[i]) for i in keep])
     offset = np.cumsum(sizes) - sizes
@@ -85,31 +85,34 @@ def cells(keys: np.ndarray, texts: list[bytes], length: int = LENGTH) -> dict[st
     begin = np.cumsum(size) - size
     hit = h[np.arange(size.sum()) + np.repeat(s - begin, size)] == np.repeat(low[start], size)
     twice = (np.add.reduceat(hit, begin, dtype=np.int64) > 1).astype(np.int64)
-    key = np.asarray(keys)[keep][doc[start]]
-    return {"anchor": low[start].view(np.int64), "content": content.view(np.int64), "n": n, "key": key, "s": s - offset[doc[start]], "twice": twice}
+    key, text_id = (np.asarray(x)[keep][doc[start]] for x in (keys, ids))
+    return {"anchor": low[start].view(np.int64), "content": content.view(np.int64), "n": n, "key": key, "text_id": text_id, "s": s - offset[doc[start]], "twice": twice}
 
 
-def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    keys, texts, size = [], [], 0
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    keys, ids, texts, size = [], [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for key, text_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             keys.append(key)
+            ids.append(text_id)
             texts.append(b"" if text.as_py() is None else text.as_py())
             size += len(texts[-1])
             if size >= BUFFER:
-                yield keys, texts
-                keys, texts, size = [], [], 0
+                yield keys, ids, texts
+                keys, ids, texts, size = [], [], [], 0
     if keys:
-        yield keys, texts
+        yield keys, ids, texts
 
 
-CELLS = "anchor long, content long, n long, key long, s long, twice long"
+CELLS = "anchor long, content long, n long, key long, text_id long, s long, twice long"
 #: kind 0: a cell that repeats one with the same content; kind 1: the first of its content, to be sorted.
-FOUND = "kind int, anchor long, n long, key long, s long"
+FOUND = "kind int, anchor long, n long, key long, text_id long, s long"
+#: One document: rows with both equal are the same text under the same doc_id. Also the order in which a text counts as earlier.
+DOC = ["key", "text_id"]
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kinds of the cells, from rows sorted by anchor, content, n, key and s.
+    """Kinds of the cells, from rows sorted by anchor, content, n, key, text_id and s.
 
     Only the last row and, for its anchor, the one first cell that may turn out alone are kept
     between batches.
@@ -119,17 +122,17 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        a, c, n, key, s, twice = (np.asarray(b.column(k)).astype(np.int64) for k in range(6))
+        a, c, n, key, text_id, s, twice = (np.asarray(b.column(k)).astype(np.int64) for k in range(7))
         new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1]))
         group = np.append(True, a[1:] != a[:-1])
-        same = np.append(False, ~new[1:] & (key[1:] == key[:-1]) & (s[1:] == s[:-1]))  # a repeated row
+        same = np.append(False, ~new[1:] & (key[1:] == key[:-1]) & (text_id[1:] == text_id[:-1]) & (s[1:] == s[:-1]))  # a repeated row
         if last is not None:
             group[0] = a[0] != last[0]
             new[0] = (a[0], c[0], n[0]) != last[:3]
-            same[0] = (a[0], c[0], n[0], key[0], s[0]) == last
+            same[0] = (a[0], c[0], n[0], key[0], text_id[0], s[0]) == last
         number = np.cumsum(group) - (0 if not group[0] else 1)  # a group that goes on from the last batch is 0
         size = np.bincount(number, weights=new, minlength=number[-1] + 1).astype(int)
-        rows = np.stack([a, n, key, s, twice], axis=1)
+        rows = np.stack([a, n, key, text_id, s, twice], axis=1)
         alone = np.zeros(len(a), bool)
         out = []
         if not group[0]:
@@ -138,7 +141,7 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting = None
             alone[number == 0] = waiting is not None  # then it has no new one here
         elif waiting is not None:
-            if waiting[4]:
+            if waiting[5]:
                 out.append(waiting)
             waiting = None
         begun = number >= (0 if group[0] else 1)
@@ -149,12 +152,12 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = new & (~alone | ((twice > 0) & ~final))
         again = rows[~new & ~same]
         sort = np.concatenate([rows[take], *[o[None] for o in out]])
-        last = (a[-1], c[-1], n[-1], key[-1], s[-1])
+        last = (a[-1], c[-1], n[-1], key[-1], text_id[-1], s[-1])
         both = np.concatenate([again, sort])
         kind = np.repeat(np.array([0, 1], np.int32), [len(again), len(sort)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(both[:, k]) for k in range(4))], ["kind", "anchor", "n", "key", "s"])
-    if waiting is not None and waiting[4]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([1], np.int32)), *(pa.array(waiting[k : k + 1]) for k in range(4))], ["kind", "anchor", "n", "key", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(both[:, k]) for k in range(5))], ["kind", "anchor", "n", "key", "text_id", "s"])
+    if waiting is not None and waiting[5]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([1], np.int32)), *(pa.array(waiting[k : k + 1]) for k in range(5))], ["kind", "anchor", "n", "key", "text_id", "s"])
 
 
 def repeats_in(rows: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
@@ -193,9 +196,11 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(key, begin, end): stretches of bytes covered by `length`-byte strings that also start earlier.
+    """(key, text_id, begin, end): stretches of bytes covered by `length`-byte strings that also start earlier.
 
-    docs has key (a long) and raw (bytes). Spans of a key may overlap.
+    docs has key and text_id (longs) and raw (bytes): rows that agree in key and text_id have the same
+    raw and are one document, and documents follow each other in that order. Spans of one may overlap.
+    Lists hold cells or spans of one document, so none outgrows a text.
 
     Texts are cut into cells (see cells()); each cell's two hashes and place, not its text, are
     sorted by anchor. Cells with the same content as an earlier one are repeats as a whole. The
@@ -208,10 +213,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     they are dealt out by that hash, so that no task gets all cells of the anchor.
     """
     wide = length - GRAM + 1
-    texts = docs.select("key", "raw")
-    sorted_cells = texts.mapInArrow(_cut_for(length), CELLS).repartition("anchor").sortWithinPartitions("anchor", "content", "n", "key", "s")
+    texts = docs.select(*DOC, "raw")
+    sorted_cells = texts.mapInArrow(_cut_for(length), CELLS).repartition("anchor").sortWithinPartitions("anchor", "content", "n", *DOC, "s")
     found = materialize(sorted_cells.mapInArrow(_firsts, FOUND), "zstd")
-    whole = found.where("kind = 0").select("key", F.col("s").alias("begin"), (F.col("s") + F.col("n") + length - 1).alias("end"))
+    whole = found.where("kind = 0").select(*DOC, F.col("s").alias("begin"), (F.col("s") + F.col("n") + length - 1).alias("end"))
 
     first = found.where("kind = 1")
     weight = F.sum(F.col("n") + length - 1)
@@ -221,54 +226,58 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     shards = max(1, math.ceil(total / shard_bytes))
     hot = materialize(first.groupBy("anchor").agg(weight.alias("bytes")).where(F.col("bytes") > hot_bytes).select("anchor", F.lit(True).alias("hot")))
     wanted = first.join(hot, "anchor", "left") if not hot.isEmpty() else first.withColumn("hot", F.lit(None).cast("boolean"))
-    lists = wanted.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("cells"))
+    lists = wanted.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("s", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("cells"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             for i in range(b.num_rows):
-                raw = b.column(1)[i].as_py() or b""
-                key = b.column(0)[i].as_py()
-                s, n, anchor, hot_ = (np.asarray(b.column(2)[i].values.field(k).to_numpy(zero_copy_only=False)) for k in range(4))
-                yield pa.RecordBatch.from_pydict({"anchor": anchor, "hot": hot_, "key": np.full(len(s), key), "s": s, "raw": pa.array([raw[x : x + y + length - 1] for x, y in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())})
-
-    pieces = texts.join(lists, "key").select("key", "raw", "cells").mapInArrow(fetch, "anchor long, hot boolean, key long, s long, raw binary")
+                doc = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if doc == last:  # a repeated row: the merge join brings them one after the other
+                    continue
+                last = doc
+                raw = b.column(2)[i].as_py() or b""
+                s, n, anchor, hot_ = (np.asarray(b.column(3)[i].values.field(k).to_numpy(zero_copy_only=False)) for k in range(4))
+                yield pa.RecordBatch.from_pydict({"anchor": anchor, "hot": hot_, "key": np.full(len(s), doc[0]), "text_id": np.full(len(s), doc[1]), "s": s, "raw": pa.array([raw[x : x + y + length - 1] for x, y in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())})
+
+    pieces = texts.join(lists.hint("merge"), DOC).select(*DOC, "raw", "cells").mapInArrow(fetch, "anchor long, hot boolean, key long, text_id long, s long, raw binary")
     if not hot.isEmpty():
         pieces = materialize(pieces)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "s", "raw"]).sort_values(["key", "s", "raw"])
-        keys, at = pdf["key"].to_numpy(), pdf["s"].to_numpy()
+        pdf = pdf.drop_duplicates([*DOC, "s"]).sort_values([*DOC, "s"])
+        keys, ids, at = (pdf[c].to_numpy() for c in (*DOC, "s"))
         out = []
         for k, starts in repeats_in(list(pdf["raw"]), length):
             begin, end = _runs(starts, length)
-            out.append((np.full(len(begin), keys[k]), begin + at[k], end + at[k]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("key", "begin", "end"), cols, strict=True)))
+            out.append((np.full(len(begin), keys[k]), np.full(len(begin), ids[k]), begin + at[k], end + at[k]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip((*DOC, "begin", "end"), cols, strict=True)))
 
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    spans = whole.union(pieces.where("not hot").select(shard, "key", "s", "raw").groupBy("shard").applyInPandas(sort, "key long, begin long, end long"))
+    spans = whole.union(pieces.where("not hot").select(shard, *DOC, "s", "raw").groupBy("shard").applyInPandas(sort, "key long, text_id long, begin long, end long"))
     if not hot.isEmpty():
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for anchor, key, s, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for anchor, key, text_id, s, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                     h = _gram_hashes(np.frombuffer(raw, np.uint8))
                     sums, back = _prefix(h)
                     n = len(h) - wide + 1
                     content = (sums[wide:] - sums[:n]) * back[:n]
-                    yield pa.RecordBatch.from_pydict({"anchor": np.full(n, anchor), "content": content.view(np.int64), "n": np.ones(n, np.int64), "key": np.full(n, key), "s": s + np.arange(n), "twice": np.zeros(n, np.int64)})
+                    yield pa.RecordBatch.from_pydict({"anchor": np.full(n, anchor), "content": content.view(np.int64), "n": np.ones(n, np.int64), "key": np.full(n, key), "text_id": np.full(n, text_id), "s": s + np.arange(n), "twice": np.zeros(n, np.int64)})
 
-        windows = pieces.where("hot").select("anchor", "key", "s", "raw").mapInArrow(split, CELLS)
-        windows = windows.repartition("anchor", "content").sortWithinPartitions("anchor", "content", "n", "key", "s")
+        windows = pieces.where("hot").select("anchor", *DOC, "s", "raw").mapInArrow(split, CELLS)
+        windows = windows.repartition("anchor", "content").sortWithinPartitions("anchor", "content", "n", *DOC, "s")
         again = windows.mapInArrow(_firsts, FOUND).where("kind = 0")
-        spans = spans.union(again.select("key", F.col("s").alias("begin"), (F.col("s") + length).alias("end")))
+        spans = spans.union(again.select(*DOC, F.col("s").alias("begin"), (F.col("s") + length).alias("end")))
     return materialize(spans)
 
 
 def _cut_for(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _buffers(batches):
-            yield pa.RecordBatch.from_pydict(cells(np.array(keys, np.int64), texts, length))
+        for keys, ids, texts in _buffers(batches):
+            yield pa.RecordBatch.from_pydict(cells(np.array(keys, np.int64), np.array(ids, np.int64), texts, length))
 
     return cut
 
@@ -299,17 +308,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataF
     Every byte covered by a `length`-byte string that also starts earlier, in a document with a
     smaller doc_id or further ahead in the same one, is removed; matches never cross documents and
     are judged on the input. Null and short texts keep all they have; a null doc_id comes before all
-    others. Rows that repeat a doc_id with the same text are one document and share its result; with
-    another text they share the removed places. Columns of docs named kept or n_spans are replaced;
-    an empty table gives no row.
+    others. Rows that repeat a doc_id (or null) with the same text are one document and share its
+    result; with another text they are documents of their own, in the order of their texts' hashes.
+    Columns of docs named kept or n_spans are replaced; an empty table gives no row.
     """
     short_batches(docs.sparkSession)
     kept = docs.drop("kept", "n_spans")
     names = list(kept.columns)
-    raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw")
-    spans = repeated_spans(docs.select(doc_key().alias("key"), raw), length, **parameters)
-    lists = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).withColumnRenamed("key", "span_key")
-    joined = kept.join(lists, doc_key() == F.col("span_key"), "left").drop("span_key")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    spans = repeated_spans(docs.select(doc_key().alias("key"), F.xxhash64(text).alias("text_id"), F.encode(text, "UTF-8").alias("raw")), length, **parameters)
+    lists = spans.groupBy(F.col("key").alias("span_key"), F.col("text_id").alias("span_text")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = kept.join(lists, (doc_key() == F.col("span_key")) & (F.xxhash64(text) == F.col("span_text")), "left").drop("span_key", "span_text")
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

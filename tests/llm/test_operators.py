@@ -221,6 +221,21 @@ def test_substrings_of_random_repeats(spark):
     assert got == substrings.brute_force([(k, t.encode()) for k, t in rows])
 
 
+@pytest.mark.parametrize("hot", [8_000_000, 300])
+def test_substrings_of_texts_that_share_an_id(spark, hot):
+    rng = np.random.default_rng(6)
+    pool = [bytes(rng.integers(97, 123, 120 + 20 * k, np.uint8)).decode() for k in range(6)]
+    rows = [(None if k % 3 == 0 else k // 4, "".join(rng.choice(pool)[rng.integers(0, 20) :] for _ in range(rng.integers(1, 4)))) for k in range(60)]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (0, rows[1][1])]  # repeated rows, and texts under two ids
+    key = lambda k, t: (common.NULL_ID if k is None else k, int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64)))
+    want = substrings.brute_force(list({key(k, t): t.encode() for k, t in rows}.items()))
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_bytes=hot, shard_bytes=2000).collect()
+    assert len(got) == len(rows) and len(want) < len(rows)
+    for r in got:
+        n, removed, spans, _ = want[key(r["doc_id"], r["text"])]
+        assert (n - len(r["kept"]), r["n_spans"]) == (removed, spans)
+
+
 def test_lm(docs, empty):
     got = lm.score(docs, F.coalesce(F.col("doc_id") != 5, F.lit(True))).collect()
     assert len(got) == len(DOCS)
