@@ -39,6 +39,16 @@ def test_near_dedup_goes_by_row(spark):
     assert sorted(((r["doc_id"], r["text"][0]) for r in got.collect()), key=str) == want
 
 
+def test_decontamination_goes_by_text(spark, tmp_path):
+    bench = " ".join(f"b{k}" for k in range(30))
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, bench), (None, "clean one"), (None, None), (1, "x " + bench), (1, "clean two"), (2, bench), (3, "clean two")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == [(1, "clean two"), (3, "clean two"), (None, "clean one"), (None, None)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
