@@ -14,8 +14,8 @@ from leadloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; null texts and texts without a letter go."""
-    found = langid.identify(docs, langid.train(docs))
+    """Documents in which a language can be found; null texts and texts without a letter go, also when no label was there to learn from."""
+    found = langid.identify(docs, langid.train(docs), langid.UNLEARNED)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 

@@ -21,6 +21,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 UNKNOWN = "und"
+#: For texts with a letter when nothing was learned, where a caller wants to tell them from those without.
+UNLEARNED = "unlearned"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -138,12 +140,13 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAIN_
     return fit(np.vstack([windows(r["text"])[0][:1] for r in got]), [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
+def identify(docs: DataFrame, network: ByteNetwork | None, unlearned: str = UNKNOWN) -> DataFrame:
     """docs' columns with lang_pred and score added: one pass, no shuffle.
 
-    A text's probabilities are the mean over all its windows, weighted by their lengths. Null texts,
-    texts without a letter, and all texts when nothing was learned, are `und` with score 0. Columns
-    of docs named lang_pred or score are replaced; repeated rows each get their result.
+    A text's probabilities are the mean over all its windows, weighted by their lengths. Null texts
+    and texts without a letter are `und` with score 0; when nothing was learned the others are
+    `unlearned`, also with score 0. Columns of docs named lang_pred or score are replaced; repeated
+    rows each get their result.
     """
     short_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
@@ -157,8 +160,9 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
             names, scores = [], []
             for text in b.column(at):
                 text = text.as_py()
-                if network is None or text is None or not _LETTER.search(text):
-                    names.append(UNKNOWN)
+                letter = text is not None and _LETTER.search(text)
+                if network is None or not letter:
+                    names.append(unlearned if letter else UNKNOWN)
                     scores.append(0.0)
                     continue
                 x, lengths = windows(text)

@@ -49,6 +49,12 @@ def test_decontamination_goes_by_text(spark, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == [(1, "clean two"), (3, "clean two"), (None, "clean one"), (None, None)]
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(0, "readable words", None), (1, "12 !", None), (2, None, None), (None, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {0, None}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
