@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,16 @@ from .common import materialize, short_batches
 
 #: Ids of a document in one row of the token table at most; longer documents span several rows.
 BLOCK = 65_536
-#: Words whose ids a task keeps (about 200 bytes each); beyond that it starts anew.
-CACHE = 250_000
+#: Bytes of words with their ids that a Python worker keeps, about.
+CACHE_BYTES = 64_000_000
 #: Rows of partition totals that are broadcast at most (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_PARTS = 500_000
+#: White space for Python but not for the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters that Python lower-cases by other rules than the tokenizer, and the beginning of its special tokens.
+_ODD_WORD = re.compile(r"[\u0130\u03a3]|<\|")
+#: Fixed value: the tokenizer's own rule for units, for lower-case ASCII without white space.
+_ASCII_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 TOKENS = "doc_id long, part int, doc_tokens long, doc_start long, local_start long, n long, ids binary"
 
 
@@ -32,74 +38,95 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
 
 
-class _WordIds(dict):
-    """Ids of each word between white space, found when first asked for."""
+class _Cache(dict):
+    """Ids of texts, made when first asked for; about `limit` bytes are kept.
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.of, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
-        self.units: dict[str, bytes] = {}
-        self.marks = {c: self.whole(c) for c in ".,"}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.of.encode(text, add_special_tokens=False).ids).tobytes()
+    A text that is asked for once is on trial in a quarter of the room, which is emptied when full;
+    one that is asked for again stays, until the room is full and the older half goes.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1])
-        base = word if mark is None else word[:-1]
-        if base.isalpha() and "\u0130" not in base and "\u03a3" not in base:
-            # Python lower-cases these two by other rules than the tokenizer.
-            low = base.lower()
-            if (raw := self.units.get(low)) is None:
-                raw = self.units[low] = self._unit(low)
-            raw = raw if mark is None else raw + mark
-        else:
-            raw = self.whole(word)
-        self[word] = raw
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.room, self.trial_room = make, limit, limit * 3 // 4, limit // 4
+        self.trial: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        raw = self.trial.pop(text, None)
+        if raw is not None:
+            self[text] = raw
+            self.room -= 200 + 3 * len(text) + len(raw)
+            if self.room < 0:
+                for k in list(islice(self, len(self) // 2)):
+                    self.room += 200 + 3 * len(k) + len(self.pop(k))
+            return raw
+        raw = self.make(text)
+        size = 200 + 3 * len(text) + len(raw)
+        self.trial_room -= size
+        if self.trial_room < 0:
+            self.trial.clear()
+            self.trial_room = self.limit // 4 - size
+        if self.trial_room > 0:
+            self.trial[text] = raw
         return raw
 
-    def _unit(self, letters: str) -> bytes:
-        if not letters.isascii():
-            letters = "".join([self.letters[b] for b in unicodedata.normalize("NFC", letters).encode()])
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
 
 class WordTokenizer:
     """Ids of whole texts, by way of a cache of the ids of words between white space.
 
-    The tokenizer drops white space before it merges, so a text's ids are its words' ids in order.
-    A word of letters only is one unit of its merges, so those are asked for directly; a full stop
-    or comma after it is a unit of its own; any other word goes through the whole tokenizer. Texts
-    with U+001C to U+001F, which Python counts as white space and the tokenizer doesn't, go to it
-    whole.
+    The tokenizer composes characters (NFC), lower-cases them, drops white space and cuts the rest
+    into units before it merges. So a text's ids are its words' ids in order. Words of letters only,
+    once composed and lower-cased, are one unit, for which the merges alone are asked, as are the
+    units of ASCII words; other words, among them those that Python lower-cases by other rules, and
+    texts with U+001C to U+001F, which Python counts as white space, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.ids = _WordIds(self.of)
+        self.model, self.letters = self.of.model, _byte_letters()
+        self.units = _Cache(self._unit, cache_bytes // 8)
+        self.words = _Cache(self._word, cache_bytes - cache_bytes // 8)
 
     @classmethod
     def kept(cls, path: str) -> WordTokenizer:
-        """The one that this Python worker has used before, if any, with an empty cache."""
+        """The one that this Python worker has used before, if any, with what it has kept."""
         if path not in _KEPT:
             _KEPT[path] = cls(path)
-        _KEPT[path].forget()
         return _KEPT[path]
 
-    def forget(self) -> None:
-        self.ids = _WordIds(self.of)
+    def whole(self, text: str) -> bytes:
+        return array("I", self.of.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if not (unit.isascii() and unit.isprintable()):
+            unit = "".join([self.letters[b] for b in unit.encode()])
+        return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._unit(word.lower())
+        low = word if word.isascii() else unicodedata.normalize("NFC", word)
+        if _ODD_WORD.search(low):
+            return self.whole(word)
+        low = low.lower()
+        if low.isalpha():
+            return self._unit(low)
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self.units[low[:-1]] + self.units[low[-1]]
+        if low.isascii():
+            return b"".join(map(self.units.__getitem__, _ASCII_UNIT.findall(low)))
+        return self.whole(word)
 
     def encode(self, text: str | None, end_id: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of the text and end_id after them."""
         if not text:
             return end_id
         if _ODD_SPACE.search(text):
-            return self.ids.whole(text) + end_id
-        if len(self.ids) > CACHE:
-            self.forget()
-        return b"".join(map(self.ids.__getitem__, text.split())) + end_id
+            return self.whole(text) + end_id
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # so that fewer words are to be kept
+        return b"".join(map(self.words.__getitem__, text.split())) + end_id
 
 
 _KEPT: dict[str, WordTokenizer] = {}
@@ -125,7 +152,6 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 names = ["doc_id", "part", "doc_tokens", "doc_start", "local_start", "n", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        tok.forget()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 

@@ -132,6 +132,25 @@ def test_word_ids_equal_the_tokenizers():
         assert own.encode(t, b"") == np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_every_code_point_has_the_tokenizers_ids():
+    path = tokenizer_path()
+    own = packing.WordTokenizer(path, cache_bytes=200_000)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("{0} a{0}b", "1{0}. {0}A,"):
+        texts = [" ".join(form.format(c) for c in points[k : k + 32]) for k in range(0, len(points), 32)]
+        for t, want in zip(texts, own.of.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.encode(t, b"") == np.asarray(want.ids, "<u4").tobytes(), t
+
+
+def test_word_cache_is_bounded():
+    cache = packing._Cache(lambda t: t.encode() * 2, 20_000)
+    rng = np.random.default_rng(1)
+    for k in rng.zipf(1.3, 20_000):
+        assert cache[f"w{k}"] == f"w{k}".encode() * 2
+        assert len(cache) + len(cache.trial) < 100
+    assert cache["x" * 50_000] == b"x" * 100_000 and not any(len(k) > 1000 for k in [*cache, *cache.trial])
+
+
 def brute_components(fps):
     root = {k: k for k in fps}
 
