@@ -15,20 +15,26 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Template:
-    """A label and the lower-case words that give it. exact: the words must also stand consecutively."""
+    """A label and the lower-case words that give it.
+
+    name: words that must also stand one after another. exact: all words must, so they are the name.
+    """
 
     label: str
     words: tuple[str, ...]
+    name: tuple[str, ...] = ()
     exact: bool = False
     base: bool = False
 
     def __post_init__(self):
         if not self.words:
             raise ValueError("a template needs words")
+        if self.exact:
+            object.__setattr__(self, "name", self.words)
 
 
-def _t(label: str, text: str, **kind: bool) -> Template:
-    return Template(label, tuple(text.split()), **kind)
+def _t(label: str, text: str, name: str = "", **kind: bool) -> Template:
+    return Template(label, tuple(text.split()), tuple(name.split()), **kind)
 
 
 #: The phrases of the base labels, then public license wordings.
@@ -39,12 +45,15 @@ TEMPLATES = (
     _t("all-rights-reserved", "all rights reserved", exact=True),
     _t("cc-by-nc", "licensed under cc by nc", exact=True),
     _t("cc-by-sa", "licensed under cc by sa", exact=True),
-    _t("apache-2.0", "licensed under the apache license version 2 0"),
-    _t("mit", "released under the mit license"),
-    _t("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    _t("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    _t("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    _t("cc", "this work is licensed under a creative commons attribution international license"),
+    _t("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
+    _t("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    _t("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
+    _t("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "general public license"),
+    _t("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    _t("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    _t("cc", "this work is licensed under a creative commons attribution international license", "creative commons attribution"),
+    _t("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    _t("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
 
 
@@ -64,16 +73,18 @@ def token_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def matches(docs: DataFrame, templates: tuple[Template, ...], threshold: float, block: int) -> DataFrame:
-    """(row, doc_id, n_words, template, containment, places): a row per pair of block and template
-    that meets the threshold, and a row without template for blocks that meet none.
+    """(doc_id, n_words, met): for each row of docs an array of the pairs of block and template that meet
+    the threshold, as (template, containment, places).
 
     A block is 2 x `block` words, starting at each multiple of `block`, so every passage of up to
     `block` + 1 words lies in one whole. Words are ordered by their number in all documents, rarest
     first. Only the first |T| - a + 1 words of a template are indexed, a = ceil(threshold x |T|)
     being the words it needs (exact templates need all). A block that holds an indexed word is a
     candidate if it has a words of the vocabulary (length filter) and the words that stand after
-    that one in both suffice (positional filter); then the containment is computed. The index has
-    as many rows as the templates have words, so it is broadcast.
+    that one in both suffice (positional filter); then the containment is computed, and the
+    template's name is looked for. places are its starts in the first half of the block: those in
+    the second are the next block's. The index has as many entries as the templates have words: it
+    stands in the plan, and all is found within the document's row.
     """
     if max(len(t.words) for t in templates) > block + 1:
         raise ValueError("a template is longer than a block")
@@ -87,36 +98,47 @@ def matches(docs: DataFrame, templates: tuple[Template, ...], threshold: float,
         need = len(own) if t.exact else math.ceil(threshold * len(own) - 1e-9)
         index += [(w, k, p, len(own), need) for p, w in enumerate(own[: len(own) - need + 1])]
     first = sorted({x[0] for x in index})
-    entries = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(p).alias("at"), F.lit(size).alias("size"), F.lit(need).alias("need")) for w, k, p, size, need in index])
-    table = docs.sparkSession.range(1).select(F.inline(entries))
+    entries = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(size - p).alias("left"), F.lit(size).alias("size"), F.lit(need).alias("need")) for w, k, p, size, need in index])
     sets = F.array(*[_strings(sorted(set(t.words))) for t in templates])
-    lists = F.array(*[_strings(list(t.words)) for t in templates])
-    exact = F.array(*[F.lit(t.exact) for t in templates])
+    names = F.array(*[_strings(list(t.name)) if t.name else F.array().cast("array<string>") for t in templates])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("words"), F.lit(1)) - 1) / block).cast("int"))
     cut = F.transform(starts, lambda b: F.struct((b * block).alias("start"), F.slice("words", b * block + 1, 2 * block).alias("words")))
     held = F.filter(cut, lambda b: F.arrays_overlap(b["words"], _strings(first)))
-    blocks = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(held).alias("block"))
-    blocks = blocks.select("row", "doc_id", "n_words", "block", F.array_intersect(_strings(ranked), F.col("block.words")).alias("known"))
-    tokens = blocks.select("*", F.explode_outer(F.array_intersect("known", _strings(first))).alias("word"))
-    at = F.array_position("known", F.col("word"))
-    left = F.least(F.col("size") - F.col("at"), F.size("known") - at + 1)
-    pairs = tokens.join(F.broadcast(table), "word", "left").withColumn("candidate", (F.size("known") >= F.col("need")) & (left >= F.col("need")))
-    common = F.size(F.array_intersect(F.get(sets, F.col("template")), F.col("known")))
-    pairs = pairs.withColumn("common", F.when(F.col("candidate"), common)).withColumn("met", F.coalesce(F.col("common") >= F.col("need"), F.lit(False)))
-    phrase = F.get(lists, F.col("template"))
-    places = F.filter(
-        F.sequence(F.lit(0), F.least(F.lit(block), F.size("block.words")) - 1),
-        lambda k: F.slice(F.col("block.words"), k + 1, F.size(phrase)) == phrase,
-    )
-    pairs = pairs.withColumn("places", F.when(F.col("met") & F.get(exact, F.col("template")), F.transform(places, lambda k: (k + F.col("block.start")).cast("long"))))
-    met = F.col("met") & (F.col("places").isNull() | (F.size("places") > 0))
-    return pairs.select(
-        "row", "doc_id", "n_words", "places",
-        F.when(met, F.col("template")).alias("template"),
-        F.when(met, F.col("common") / F.col("size")).alias("containment"),
+    held = F.transform(held, lambda b: F.struct(b["start"].alias("start"), b["words"].alias("words"), F.array_intersect(_strings(ranked), b["words"]).alias("known")))
+
+    def candidate(known: Column, e: Column) -> Column:
+        at = F.array_position(known, e["word"])
+        return (at > 0) & (F.size(known) >= e["need"]) & (F.least(e["left"], F.size(known) - at + 1) >= e["need"])
+
+    def compared(b: Column, e: Column) -> Column:
+        name = F.get(names, e["template"])
+        places = F.filter(F.sequence(F.lit(0), F.size(b["words"]) - 1), lambda k: F.slice(b["words"], k + 1, F.size(name)) == name)
+        return F.struct(
+            e["template"].alias("template"),
+            e["need"].alias("need"),
+            b["start"].alias("start"),
+            F.size(F.array_intersect(F.get(sets, e["template"]), b["known"])).alias("common"),
+            e["size"].alias("size"),
+            F.when(F.size(name) > 0, places).alias("places"),
+        )
+
+    def of_block(b: Column) -> Column:
+        found = F.filter(entries, lambda e: candidate(b["known"], e))
+        one = F.filter(found, lambda e, k: ~F.exists(F.slice(found, F.lit(1), k), lambda x: x["template"] == e["template"]))
+        return F.transform(one, lambda e: compared(b, e))
+
+    met = F.filter(F.flatten(F.transform(held, of_block)), lambda x: (x["common"] >= x["need"]) & (x["places"].isNull() | (F.size(x["places"]) > 0)))
+    met = F.transform(
+        met,
+        lambda x: F.struct(
+            x["template"].alias("template"),
+            (x["common"] / x["size"]).alias("containment"),
+            F.transform(F.filter(x["places"], lambda k: k < block), lambda k: (k + x["start"]).cast("long")).alias("places"),
+        ),
     )
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), met.alias("met"))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, block: int = 64) -> DataFrame:
@@ -129,43 +151,52 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     and empty texts have no words and no labels; rows that repeat a doc_id get a row each; null ids
     stay null; other columns are ignored; an empty table gives no row.
     """
-    names = F.array(*[F.lit(t.label) for t in templates])
+    labels = F.array(*[F.lit(t.label) for t in templates])
     base = F.array(*[F.lit(t.base) for t in templates])
-    found = matches(docs, templates, threshold, block).withColumn("base", F.coalesce(F.get(base, F.col("template")), F.lit(False)))
-    label = F.get(names, F.col("template"))
-    own = F.when(F.col("base"), F.col("places"))
-    grouped = found.groupBy("row", "doc_id", "n_words").agg(
-        F.coalesce(F.sum(F.size(own)), F.lit(0)).cast("long").alias("n_base"),
-        F.min(F.array_min(own)).alias("first_word"),
-        F.max(F.array_max(own)).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), label))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"),
-        F.coalesce(F.max("containment"), F.lit(0.0)).alias("score"),
+    found = matches(docs, templates, threshold, block)
+    found = found.withColumn("own", F.filter("met", lambda x: F.get(base, x["template"])))
+    found = found.withColumn("places", F.flatten(F.transform("own", lambda x: x["places"])))
+
+    def names(met: str) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(met, lambda x: F.get(labels, x["template"])))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"),
+        names("own").alias("base_labels"),
+        names("met").alias("labels"),
+        F.coalesce(F.array_max(F.transform("met", lambda x: x["containment"])), F.lit(0.0)).alias("score"),
     )
-    return grouped.drop("row")
 
 
 def oracle(templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, block: int = 64) -> str:
     """DuckDB SQL of scan_licenses: every block is compared with every template."""
-    rows = ", ".join(
-        f"({k}, '{t.label}', [{', '.join(f"'{w}'" for w in t.words)}], {t.exact}, {t.base})" for k, t in enumerate(templates)
-    )
+
+    def strings(words: tuple[str, ...]) -> str:
+        return f"[{', '.join(f"'{w}'" for w in words)}]::VARCHAR[]"
+
+    rows = ", ".join(f"({k}, '{t.label}', {strings(t.words)}, {strings(t.name)}, {t.exact}, {t.base})" for k, t in enumerate(templates))
     return f"""
-WITH templates(template, label, words, is_exact, is_base) AS (VALUES {rows}),
+WITH templates(template, label, words, name, is_exact, is_base) AS (VALUES {rows}),
 docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 starts AS (SELECT r, words, unnest(range(0, greatest(len(words), 1), {block})) AS s FROM docs),
 blocks AS (SELECT r, s, words[s + 1 : s + {2 * block}] AS words FROM starts),
 pairs AS (
-  SELECT r, s, label, is_exact, is_base, len(list_intersect(list_distinct(t.words), b.words))::DOUBLE / len(list_distinct(t.words)) AS c,
-    list_filter(range(0, least({block}, len(b.words))), lambda k: b.words[k + 1 : k + len(t.words)] = t.words) AS places
+  SELECT r, s, label, is_base, len(name) AS named, is_exact, b.words AS words, name,
+    len(list_intersect(list_distinct(t.words), b.words))::DOUBLE / len(list_distinct(t.words)) AS c
   FROM blocks b, templates t),
-met AS (
-  SELECT * FROM pairs WHERE CASE WHEN is_exact THEN len(places) > 0 ELSE c >= {threshold} - 1e-9 END),
+close AS (
+  SELECT *, list_filter(range(0, len(words)), lambda k: words[k + 1 : k + named] = name) AS places FROM pairs
+  WHERE c >= CASE WHEN is_exact THEN 1.0 ELSE {threshold} END - 1e-9),
+met AS (SELECT *, list_filter(places, lambda k: k < {block}) AS own FROM close WHERE named = 0 OR len(places) > 0),
 grouped AS (
-  SELECT r, sum(CASE WHEN is_base THEN len(places) END) AS n_base, min(CASE WHEN is_base THEN s + list_min(places) END) AS first_word,
-    max(CASE WHEN is_base THEN s + list_max(places) END) AS last_word,
+  SELECT r, sum(CASE WHEN is_base THEN len(own) END) AS n_base, min(CASE WHEN is_base THEN s + list_min(own) END) AS first_word,
+    max(CASE WHEN is_base THEN s + list_max(own) END) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels,
     array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(c) AS score
   FROM met GROUP BY r)

@@ -68,18 +68,40 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_near_misses_get_no_label(spark):
+    texts = {
+        "Released under the Apache License version 1": "apache",
+        "the book was released last week and is under no license at all": "",
+        "this work is licensed under the general public license version 2": "gpl",
+        "this work is licensed under a permissive license by the House of Commons for international use": "",
+        "Permission to copy this software and any files is granted to a person free of charge, with documentation": "",
+        "you may not use this license of the file except a copy you obtain in the compliance office at noon with": "",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "Permission is hereby granted, free of charge, to any person who gets a copy of this software and associated documentation files": "mit",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc",
+        "x " * 120 + "Redistribution and use in source and binary forms, with or without modification, are permitted if the following conditions are met": "bsd",
+        "All  rights\nreserved": "all-rights-reserved",
+    }
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: texts[t] for k, t in rows}
+
+
 def test_license_templates_by_brute_force(spark):
     rng = np.random.default_rng(5)
-    ts = (licenses.Template("a", ("red", "green", "blue", "red")), licenses.Template("b", ("blue", "black"), exact=True, base=True))
+    ts = (licenses.Template("a", ("red", "green", "blue", "red")), licenses.Template("b", ("blue", "black"), exact=True, base=True), licenses.Template("c", ("red", "white", "grey"), ("white", "grey")))
     rows = [(k, " ".join(rng.choice(["red", "green", "blue", "black", "white", "grey"], rng.integers(0, 30)))) for k in range(60)]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), ts, 0.6, 4).collect()}
     for k, t in rows:
         w = t.split()
         a = max([len({"red", "green", "blue"} & set(w[s : s + 8])) / 3 for s in range(0, max(1, len(w)), 4)])
         b = [i for i in range(len(w) - 1) if w[i : i + 2] == ["blue", "black"]]
-        labels = ",".join((["a"] if a >= 0.6 else []) + (["b"] if b else []))
+        named = [x for s in range(0, max(1, len(w)), 4) if any((x := w[s : s + 8])[i : i + 2] == ["white", "grey"] for i in range(7))]
+        c = max([len({"red", "white", "grey"} & set(x)) / 3 for x in named], default=0)
+        labels = ",".join((["a"] if a >= 0.6 else []) + (["b"] if b else []) + (["c"] if c >= 0.6 else []))
         assert (got[k]["labels"], got[k]["n_base"]) == (labels, len(b))
-        assert got[k]["score"] == pytest.approx(max([a] * (a >= 0.6) + [1.0] * bool(b) + [0.0]))
+        assert got[k]["score"] == pytest.approx(max([a] * (a >= 0.6) + [1.0] * bool(b) + [c] * (c >= 0.6) + [0.0]))
 
 
 def test_sharding(docs, empty):
