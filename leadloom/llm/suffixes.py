@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are sorted by induction bucket by bucket; reduced strings of larger ones by doubling.
-INDUCED_ALPHABET = 1024
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the end counts as smallest of all."""
@@ -17,142 +13,86 @@ def _smaller(t: np.ndarray) -> np.ndarray:
     return (at < n - 1) & (t[at] < t[np.minimum(at + 1, n - 1)])
 
 
-def _deal(lists: list[list[np.ndarray]], items: np.ndarray, symbols: np.ndarray) -> None:
-    """Append each item to the list of its symbol, in order."""
-    if len(items) == 1:
-        lists[symbols[0]].append(items)
-    elif len(items):
-        order = np.argsort(symbols, kind="stable")
-        items, symbols = items[order], symbols[order]
-        cuts = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), len(items)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            lists[symbols[a]].append(items[a:b])
+def _next_other(small: np.ndarray) -> np.ndarray:
+    """For each position, how far the next suffix of the other type is; the end counts as one."""
+    n = len(small)
+    last = np.append(small[1:] != small[:-1], True)
+    return np.minimum.accumulate(np.where(last, np.arange(n), n)[::-1])[::-1] + 1 - np.arange(n)
 
 
-def _join(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.int64)
+def _place(places: np.ndarray, at: np.ndarray, far: np.ndarray) -> None:
+    """Sort the suffixes `at`, all of one type, by what follows them up to the next of the other type.
 
+    places has for each position the head of the part of the suffix array it is known to lie in: the
+    part of its type in its symbol's bucket at first. The next suffix of the other type is in its
+    own place already. All buckets are filled at once: the suffixes in one part are parted by the
+    places one step ahead, then two, four and so on, as far as the type goes on. Suffixes in
+    one part at the end are equal up to and including the place of the next one of the other type.
+    """
+    wide, step = len(places), 1
+    while len(at):
+        key = places[at] * wide + places[at + step] + 1
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        head = places[at]
+        index = np.arange(len(at))
+        bucket = np.maximum.accumulate(np.where(np.append(True, head[1:] != head[:-1]), index, 0))
+        new = np.append(True, key[1:] != key[:-1])
+        group = np.maximum.accumulate(np.where(new, index, 0))
+        places[at] = head + group - bucket
+        step *= 2
+        at = at[~(new & np.append(new[1:], True)) & (far[at] >= step)]
 
-def _induce(t: np.ndarray, size: int, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Order of all suffixes from the order of the leftmost-smaller ones (seeds).
 
-    Buckets are the symbols. Going up, each suffix in a bucket puts the larger-type suffix before it
-    at the head of that one's bucket; going down, each puts the smaller-type suffix before it at the
-    tail. All suffixes of a bucket do so at once; those that land in the same bucket form the next wave.
+def _induce(heads: np.ndarray, small: np.ndarray, far: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places of all suffixes from those of the leftmost-smaller ones, in `places`.
+
+    First the larger-type suffixes are placed from the heads of their buckets, each by the suffix
+    after it, a leftmost-smaller one in the end; then all smaller-type ones, each by the larger-type
+    one at the end of its run.
     """
-    n = len(t)
-    larger: list[list[np.ndarray]] = [[] for _ in range(size)]
-    tail: list[list[np.ndarray]] = [[] for _ in range(size)]
-    _deal(tail, seeds, t[seeds])
-    larger[t[n - 1]].append(np.array([n - 1]))
-    heads: list[np.ndarray] = [np.empty(0, np.int64)] * size
-    for c in range(size):
-        done: list[np.ndarray] = []
-        wave = _join(larger[c])
-        while len(wave):
-            done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[~small[before]]
-            symbols = t[before]
-            own = symbols == c
-            _deal(larger, before[~own], symbols[~own])
-            wave = before[own]
-        heads[c] = _join(done)
-        if tail[c]:
-            seeds_here = _join(tail[c])
-            before = seeds_here[seeds_here > 0] - 1
-            before = before[~small[before]]
-            _deal(larger, before, t[before])
-    smaller: list[list[np.ndarray]] = [[] for _ in range(size)]
-    out: list[np.ndarray] = []
-    for c in range(size - 1, -1, -1):
-        done = []
-        wave = _join(smaller[c])  # from the bucket's end backwards
-        while len(wave):
-            done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[small[before]]
-            symbols = t[before]
-            own = symbols == c
-            _deal(smaller, before[~own], symbols[~own])
-            wave = before[own]
-        back = heads[c][::-1]
-        before = back[back > 0] - 1
-        before = before[small[before]]
-        _deal(smaller, before, t[before])
-        out += [*done, back]
-    return np.concatenate(out)[::-1]
-
-
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by ranks of prefixes of doubling length; only tied suffixes are sorted again."""
-    n = len(t)
-    order = np.argsort(t, kind="stable")
-    rank = np.empty(n, np.int64)
-    step = 1
-    s = t[order]
-    start = np.append(True, s[1:] != s[:-1])
-    while True:
-        first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        rank[order] = first
-        tied = ~(start & np.append(start[1:], True))
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order
-        own = order[at]
-        ahead = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
-        again = np.lexsort((ahead, first[at]))
-        order[at] = own[again]
-        ahead = ahead[again]
-        start[at[1:]] |= (ahead[1:] != ahead[:-1]) | (first[at][1:] != first[at][:-1])
-        step *= 2
+    _place(places, np.flatnonzero(~small), far)
+    s = np.flatnonzero(small)
+    places[s] = heads[s]
+    _place(places, s, far)
+    return places
 
 
-def suffix_array(t: np.ndarray, size: int | None = None) -> np.ndarray:
-    """Start positions of the suffixes of t (non-negative integers below size) in order."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Start positions of the suffixes of t (non-negative integers) in order.
+
+    Suffixes are of larger or smaller type than the one after them. The substrings from each
+    leftmost smaller one to the next are sorted by induction from unsorted ones and named by their
+    rank; where names repeat, the string of names is sorted in the same way, so the leftmost-smaller
+    suffixes are in order, and all others follow by induction.
+    """
     t = np.asarray(t, np.int64)
     n = len(t)
     if n < 2:
         return np.arange(n)
-    size = int(t.max()) + 1 if size is None else size
-    if size > INDUCED_ALPHABET:
-        return _doubling(t)
     small = _smaller(t)
+    far = _next_other(small)
+    kind = 2 * t + small
+    sizes = np.bincount(kind)
+    heads = (np.cumsum(sizes) - sizes)[kind]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) < 2:
-        return _induce(t, size, small, lms)
-    order = _induce(t, size, small, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = order[is_lms[order]]
-    # Two leftmost-smaller substrings, each up to and including the next one's first symbol, are equal if their
-    # lengths and hashes are.
-    mixed = (t.astype(np.uint64) + np.uint64(1)) * _ODD
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(27)
-    power = np.cumprod(np.full(n + 1, _ODD))
-    prefix = np.append(np.uint64(0), np.cumsum(mixed * power[:n]))
-    number = np.empty(n, np.int64)
-    number[lms] = np.arange(len(lms))
-    last = np.append(lms[1:] + 1, n)
-    length = last - lms
-    # Substrings at different places are compared after both are moved to the same power.
-    inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(_ODD), -1, 1 << 64))))
-    value = (prefix[last] - prefix[lms]) * inverse[lms]
-    k = number[order]
-    new = np.append(True, (length[k][1:] != length[k][:-1]) | (value[k][1:] != value[k][:-1]))
-    # The last one ends at the end of the string, before every symbol: it equals no other.
-    tail = k == len(lms) - 1
-    new |= tail
-    new[1:] |= tail[:-1]
-    name = np.empty(len(lms), np.int64)
-    name[k] = np.cumsum(new) - 1
-    if new.all():
-        seeds = order
-    else:
-        seeds = lms[suffix_array(name, int(name.max()) + 1)]
-    return _induce(t, size, small, seeds)
+    places = np.append(heads, -1)
+    if len(lms) > 1:
+        found = _induce(heads, small, far, places.copy())[lms]
+        order = np.argsort(found)
+        names = np.empty(len(lms), np.int64)
+        names[order] = np.cumsum(np.append(False, found[order][1:] != found[order][:-1]))
+        if names[order[-1]] + 1 < len(lms):
+            order = suffix_array(names)
+        # Leftmost-smaller suffixes of a bucket stand one after the other from its smaller part's head.
+        sorted_heads = heads[lms[order]]
+        index = np.arange(len(order))
+        bucket = np.maximum.accumulate(np.where(np.append(True, sorted_heads[1:] != sorted_heads[:-1]), index, 0))
+        places[lms[order]] = sorted_heads + index - bucket
+    places = _induce(heads, small, far, places)
+    out = np.empty(n, np.int64)
+    out[places[:n]] = np.arange(n)
+    return out
 
 
 def common_prefixes(raw: np.ndarray, order: np.ndarray, room: np.ndarray) -> np.ndarray:

@@ -227,14 +227,24 @@ def test_components_of_a_path_and_a_star(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("alphabet", [1024, 3])
-def test_suffix_arrays(alphabet, monkeypatch):
-    monkeypatch.setattr(suffixes, "INDUCED_ALPHABET", alphabet)
+def test_suffix_arrays():
     rng = np.random.default_rng(0)
-    for k in range(150):
-        t = rng.integers(0, rng.integers(1, 6), rng.integers(0, 50))
-        t = np.tile(t, 3) if k % 4 == 0 else t
+    for k in range(400):
+        t = rng.integers(0, [2, 3, 6, 5000][k % 4], rng.integers(0, 60))
+        t = np.tile(t, 3) if k % 5 == 0 else t
         assert suffixes.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    t = np.tile(rng.integers(0, 3000, 700), 3)  # deep recursion over large alphabets
+    assert suffixes.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert suffixes.suffix_array(np.zeros(5000, int)).tolist() == list(range(4999, -1, -1))
+
+
+def test_repeats_within_a_task_are_told_by_place():
+    seen = substrings._Seen(most=3)
+    cell = lambda rows: {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("anchor", "content", "check", "n", "key", "text_id", "s"))}
+    assert seen.again(cell([(1, 7, 7, 2, 5, 0, 0), (1, 7, 7, 2, 3, 0, 9), (1, 7, 7, 2, 3, 0, 9), (1, 8, 8, 2, 9, 0, 0)])).tolist() == [True, False, False, False]
+    assert seen.again(cell([(1, 7, 7, 2, 4, 0, 0), (1, 7, 7, 2, 2, 0, 0), (1, 8, 8, 2, 9, 9, 9)])).tolist() == [True, False, False]
+    assert seen.again(cell([(1, 7, 7, 2, 3, 0, 9)])).tolist() == [True]
+    assert seen.again(cell([])).tolist() == []
 
 
 @pytest.mark.parametrize("hot", [8_000_000, 300])
