@@ -466,6 +466,29 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def oracle(length: int = LENGTH) -> str:
+    """DuckDB SQL of repeat_digests: every window is looked up among all earlier ones."""
+    block = 1000
+    return f"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (SELECT doc_id, s, least({block}, n - {length - 1} - s) AS m, substr(h, (2 * s + 1)::BIGINT, {2 * (block + length - 1)}) AS part
+  FROM (SELECT *, unnest(range(0, n - {length - 1}, {block})) AS s FROM docs)),
+windows AS (SELECT doc_id, s + i AS s, md5_number(substr(part, (2 * i + 1)::BIGINT, {2 * length})) AS k FROM (SELECT *, unnest(range(m)) AS i FROM blocks)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1),
+cuts AS (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > {length}, TRUE)::INT AS cut FROM again),
+runs AS (SELECT doc_id, min(s) AS b, max(s) + {length} AS e FROM (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM cuts) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a, b FROM runs
+  UNION ALL SELECT doc_id, max(e), NULL FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (coalesce(b, n) - a))::BIGINT), '' ORDER BY a) AS left_hex, count(*) - 1 AS spans
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - coalesce(length(left_hex), 2 * n) // 2)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(left_hex, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple[int, bytes]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
     """The same figures from a set of all windows: for small tables, to test against."""
     seen: set[bytes] = set()
