@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def _flag(flags: Column, number: Column, size: int) -> Column:
     return F.getbit(F.get(flags, F.shiftright(k, 6).cast("int")), k.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+def _whole(words: Column) -> Column:
+    """Hash of a list of words and their number."""
+    return F.xxhash64(words, F.size(words))
+
+
+def _brief_pairs(rows: DataFrame, brief: DataFrame, lengths: list[int], seed_known: Callable, token_known: Callable) -> DataFrame:
+    """(doc_id, item_id, x) of items shorter than the window: where all their words stand in a document."""
+    found = []
+    for n in lengths:
+        starts = F.when(F.size("w") >= n, F.filter(F.sequence(F.lit(0), F.size("w") - n), lambda i: token_known(F.get("w", i))))
+        cut = F.transform(starts, lambda i, n=n: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("doc_words")))
+        keyed = F.transform(cut, lambda c: F.struct(c["i"].alias("i"), _whole(c["doc_words"]).alias("h"), c["doc_words"].alias("doc_words")))
+        found.append(F.coalesce(F.filter(keyed, lambda c: seed_known(c["h"])), F.array()))
+    hits = rows.select("doc_id", F.explode(F.concat(*found)).alias("s")).select("doc_id", "s.i", "s.h", "s.doc_words")
+    small = brief.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
+    pairs = hits.join(F.broadcast(brief) if small else brief, "h").where("doc_words = item_words")
+    return pairs.select("doc_id", "item_id", F.struct(F.col("n").alias("matched"), F.col("i").alias("at")).alias("x"))
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -62,8 +83,9 @@ def overlaps(
     item has. Within a document the hits stay in its row, so no text is shuffled.
 
     first_word and last_word are the smallest and largest start of such a window in the document,
-    matched the most equal words in one. Null and empty texts and
-    texts or items with fewer than `window` words match nothing. Rows that repeat a doc_id or
+    matched the most equal words in one. An item with fewer than `window` words is met by all of
+    them, one after another and unchanged; its hash is that of all its words. Null texts and texts
+    without a word match nothing, nor do texts shorter than what an item needs. Rows that repeat a doc_id or
     item_id count as one. A null doc_id or item_id is kept as a pair's null. Empty tables give no row.
     """
     span = len(masks[0])
@@ -78,11 +100,16 @@ def overlaps(
         part = at.select("item_id", _seed(F.col("w"), F.col("p"), number, mask).alias("h"), _around(F.col("w"), F.col("p"), reach, span).alias("item_words"))
         seeds = part if seeds is None else seeds.union(part)
     seeds = seeds.distinct()
+    brief = items.where((F.size("w") > 0) & (F.size("w") < window))
+    brief = brief.select("item_id", F.size("w").alias("n"), _whole(F.col("w")).alias("h"), F.col("w").alias("item_words")).distinct()
+    lengths = sorted(r["n"] for r in brief.select("n").distinct().collect())  # window - 1 at most
     words = items.select(F.explode(F.transform("w", lambda x: x.bitwiseAND(F.lit(token_flags - 1)))).alias("k"))
     token_known = _flags(words, token_flags)
-    seed_known = _flags(seeds.select((F.col("h").bitwiseAND(F.lit(seed_flags - 1))).alias("k")), seed_flags)
+    all_seeds = seeds.select("h").union(brief.select("h"))
+    seed_known = _flags(all_seeds.select((F.col("h").bitwiseAND(F.lit(seed_flags - 1))).alias("k")), seed_flags)
 
     rows = docs.select("doc_id", _hashes(words_of(F.col("text"))).alias("w"))
+    whole_rows = rows
     starts = F.when(F.size("w") >= span, F.sequence(F.lit(0), F.size("w") - span))
     known = F.filter(starts, lambda i: _flag(token_known, F.get("w", i), token_flags))
     rows = rows.select("doc_id", "w", known.alias("known"))
@@ -101,6 +128,8 @@ def overlaps(
     )
     good = F.filter(sums, lambda x: x["matched"] >= window - substitutions)
     pairs = pairs.select("doc_id", "item_id", F.explode(good).alias("x"))
+    if lengths:
+        pairs = pairs.union(_brief_pairs(whole_rows, brief, lengths, lambda h: _flag(seed_known, h, seed_flags), lambda w: _flag(token_known, w, token_flags)))
     return pairs.groupBy("doc_id", "item_id").agg(
         F.min("x.at").cast("long").alias("first_word"), F.max("x.at").cast("long").alias("last_word"), F.max("x.matched").cast("long").alias("matched")
     )
@@ -132,7 +161,11 @@ iw AS (SELECT item_id, len(w) AS ni, unnest(w) AS word, generate_subscripts(w, 1
 pairs AS (SELECT doc_id, item_id, nd, ni, p - q AS d, p FROM dw JOIN iw USING (word)),
 long AS (SELECT doc_id, item_id, d FROM pairs GROUP BY ALL HAVING count(*) >= {need}),
 equal AS (SELECT p.* FROM pairs p SEMI JOIN long l ON p.doc_id = l.doc_id AND p.item_id = l.item_id AND p.d = l.d),
-starts AS ({starts})
-SELECT doc_id, item_id, min(first)::BIGINT AS first_word, max(first)::BIGINT AS last_word, max(matched)::BIGINT AS matched FROM starts
-WHERE matched >= {need} AND first >= 0 AND first + {window} <= nd AND first - d >= 0 AND first - d + {window} <= ni GROUP BY doc_id, item_id
+starts AS ({starts}),
+brief AS (SELECT doc_id, item_id, nd, ni, d, d AS first, count(*) AS matched FROM pairs WHERE ni < {window} GROUP BY ALL HAVING count(*) = ni),
+found AS (
+  SELECT doc_id, item_id, first, matched FROM starts
+  WHERE matched >= {need} AND first >= 0 AND first + {window} <= nd AND first - d >= 0 AND first - d + {window} <= ni
+  UNION ALL SELECT doc_id, item_id, first, matched FROM brief)
+SELECT doc_id, item_id, min(first)::BIGINT AS first_word, max(first)::BIGINT AS last_word, max(matched)::BIGINT AS matched FROM found GROUP BY doc_id, item_id
 """

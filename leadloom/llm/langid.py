@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,8 @@ EMBEDDING = 8
 UNKNOWN = "und"
 #: For texts with a letter when nothing was learned, where a caller wants to tell them from those without.
 UNLEARNED = "unlearned"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script, for Spark's rlike.
+LETTER = r"\p{L}"
 
 
 def windows(text: str | bytes, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAIN_
     driver: the rows and their size are bounded.
     """
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), folds) != held_out))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (fold(F.col("doc_id"), folds) != held_out))
     some = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring(F.col("text"), start, WINDOW).alias("text"))
     total = docs.where(F.col("lang").isNotNull()).count()
     got = lowest_hashed(some, "doc_id", rows, total).collect()
@@ -158,9 +158,8 @@ def identify(docs: DataFrame, network: ByteNetwork | None, unlearned: str = UNKN
         tables = network.tables() if network else []
         for b in batches:
             names, scores = [], []
-            for text in b.column(at):
+            for text, letter in zip(b.column(at), b.column(len(names_in)).to_pylist(), strict=True):
                 text = text.as_py()
-                letter = text is not None and _LETTER.search(text)
                 if network is None or not letter:
                     names.append(unlearned if letter else UNKNOWN)
                     scores.append(0.0)
@@ -170,13 +169,19 @@ def identify(docs: DataFrame, network: ByteNetwork | None, unlearned: str = UNKN
                 k = int(p.argmax())
                 names.append(network.names[k])
                 scores.append(min(1.0, float(p[k])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*names_in, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*names_in, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.select("*", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs; an empty table gives no row."""
+    """doc_id, held_out, lang_pred, score for every row of docs.
+
+    lang_pred is a learned language, or `und` with score 0 for null and empty texts, texts without a
+    letter (Unicode category L), and all texts when no label can be learned from. Rows that repeat a
+    doc_id each get a row, a null doc_id stays null and counts as the empty text for its fold, texts
+    of any length are read whole, other columns are ignored, an empty table gives no row.
+    """
     network = train(docs, folds, held_out)
     found = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), network)
     return found.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score")

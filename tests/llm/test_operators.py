@@ -380,6 +380,31 @@ def test_factorization_machine_learns_pairs():
     assert p["insult group"] > 0.5 > max(p["insult"], p["group"], p[""])
 
 
+def test_factorization_machine_learns_exclusive_terms():
+    """Neither word alone is associated with the label, only the pair is."""
+    rng = np.random.default_rng(1)
+
+    def rows(n):
+        pairs = [tuple(map(bool, rng.random(2) < 0.5)) for _ in range(n)]
+        return [toxicity.terms(" ".join(["insult"] * a + ["group"] * b + list(rng.choice(WORDS, 20)))) for a, b in pairs], [int(a != b) for a, b in pairs]
+
+    m = toxicity.fit(*rows(2000))
+    docs, y = rows(400)
+    assert np.mean([(m.margin(d) > 0) == v for d, v in zip(docs, y, strict=True)]) > 0.95
+
+
+def test_factorization_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.FactorizationMachine(0.3, rng.normal(size=toxicity.SLOTS).astype(np.float32), rng.normal(size=(toxicity.SLOTS, 4)).astype(np.float32))
+    for n in (0, 1, 2, 30):
+        s = toxicity.terms(text(n, n))
+        want = 0.3 + sum(float(m.linear[i]) for i in s) + sum(float(np.dot(m.factors[i].astype(float), m.factors[j])) for k, i in enumerate(s) for j in s[:k])
+        assert m.margin(s) == pytest.approx(want, abs=1e-6)
+        assert m.score(text(n, n)) == pytest.approx(1 / (1 + math.exp(-want)) if abs(want) < 30 else float(want > 0), abs=1e-9)
+    for slots in (s, np.arange(0, toxicity.SLOTS, 3, dtype=np.uint32), np.empty(0, np.uint32)):
+        assert toxicity._unpacked(toxicity._packed(slots)).tolist() == slots.tolist()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(12, 16))
@@ -410,10 +435,11 @@ def test_language(spark, docs, empty):
     rng = np.random.default_rng(4)
     syllables = {"xx": ["ka", "ti", "mo"], "yy": ["schu", "berg", "ein"]}
     rows = [(k, " ".join("".join(rng.choice(syllables[g], 3)) for _ in range(80)), g) for k, g in enumerate(["xx", "yy"] * 150)]
-    rows += [(1000, None, "xx"), (1001, "123 !!", "yy"), (1002, "", None)]
+    rows += [(1000, None, "xx"), (1001, "123 !!", "yy"), (1002, "", None), (1003, "½ ² ① Ⅷ", None), (1004, "_" * 900 + "ª", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.language_id(df).collect()}
-    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1000, 1001, 1002))
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1000, 1001, 1002, 1003))
+    assert got[1004]["lang_pred"] in syllables
     assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
     held = [(k, g) for k, _, g in rows[:300] if got[k]["held_out"]]
     assert np.mean([got[k]["lang_pred"] == g for k, g in held]) > 0.95
@@ -422,6 +448,22 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_byte_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 256, (40, 32)).astype(np.uint8)
+    net = langid.fit(rows, [["aa", "bb", "cc"][k % 3] for k in range(40)], epochs=2)
+    got = net.probabilities(rows[:5], net.tables())
+    for x, p in zip(rows[:5], got, strict=True):
+        x, pooled = [*x.tolist(), 0, 0, 0], []
+        for c, kernel in enumerate(net.kernels):
+            for f in range(kernel.shape[2]):
+                sums = [sum(float(net.embedding[x[i + j]] @ kernel[j, :, f]) for j in range(kernel.shape[0])) for i in range(32)]
+                pooled.append(max(0.0, max(sums) + float(net.biases[c * langid.FILTERS + f])))
+        z = np.array(pooled) @ net.dense + net.offset
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert p == pytest.approx(want, abs=1e-4)
+
+
 def test_masks_tolerate_two_substitutions_anywhere():
     for a in range(13):
         for b in range(13):
@@ -430,7 +472,7 @@ def test_masks_tolerate_two_substitutions_anywhere():
 
 def test_decontamination_by_brute_force(spark, docs, empty):
     rng = np.random.default_rng(8)
-    items = [(k, text(50 + k, 20)) for k in range(6)] + [(6, None), (7, "short"), (None, text(60, 15))]
+    items = [(k, text(50 + k, 20)) for k in range(6)] + [(6, None), (7, "short"), (None, text(60, 15)), (8, text(61, 9)), (9, text(62, 4)), (10, "!!"), (11, text(63, 12))]
     rows = []
     for k in range(60):
         w = text(200 + k, 60).split()
@@ -440,15 +482,17 @@ def test_decontamination_by_brute_force(spark, docs, empty):
             passage[rng.integers(0, 20)] = "zzz"
         at = rng.integers(0, 60)
         rows.append((k, " ".join(w[:at] + passage[: rng.integers(10, 21)] + w[at:])))
-    rows += [(None, text(60, 15)), (70, None), (71, "")]
+    rows += [(None, text(60, 15)), (70, None), (71, ""), (72, "x " + text(61, 9) + " y"), (73, text(62, 4)), (74, "Short!"), (75, text(61, 8)), (76, text(63, 12)), (77, text(63, 11) + " other " + text(63, 12))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {}
     for d, t in rows:
         for i, u in items:
             w, q = (t or "").split(), (u or "").split()
-            hits = [(x, sum(w[x + k] == q[y + k] for k in range(13))) for x in range(len(w) - 12) for y in range(len(q) - 12)]
-            good = [(x, m) for x, m in hits if m >= 11]
+            span = min(13, len(q))
+            need = span - (2 if len(q) >= 13 else 0)
+            hits = [(x, sum(w[x + k] == q[y + k] for k in range(span))) for x in range(len(w) - span + 1) for y in range(len(q) - span + 1)] if q else []
+            good = [(x, m) for x, m in hits if m >= need]
             if good:
                 want[d, i] = (min(x for x, _ in good), max(x for x, _ in good), max(m for _, m in good))
     got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["last_word"], r["matched"]) for r in decontaminate.overlaps(df, bench).collect()}
