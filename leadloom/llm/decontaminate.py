@@ -50,12 +50,16 @@ def _whole(words: Column) -> Column:
     return F.xxhash64(words, F.size(words))
 
 
+def _run_of(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("doc_words"))
+
+
 def _brief_pairs(rows: DataFrame, brief: DataFrame, lengths: list[int], seed_known: Callable, token_known: Callable) -> DataFrame:
     """(doc_id, item_id, x) of items shorter than the window: where all their words stand in a document."""
     found = []
     for n in lengths:
         starts = F.when(F.size("w") >= n, F.filter(F.sequence(F.lit(0), F.size("w") - n), lambda i: token_known(F.get("w", i))))
-        cut = F.transform(starts, lambda i, n=n: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("doc_words")))
+        cut = F.transform(starts, _run_of(n))
         keyed = F.transform(cut, lambda c: F.struct(c["i"].alias("i"), _whole(c["doc_words"]).alias("h"), c["doc_words"].alias("doc_words")))
         found.append(F.coalesce(F.filter(keyed, lambda c: seed_known(c["h"])), F.array()))
     hits = rows.select("doc_id", F.explode(F.concat(*found)).alias("s")).select("doc_id", "s.i", "s.h", "s.doc_words")
