@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import string
 import uuid
 
@@ -14,8 +15,14 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; a local one only where the session names none."""
+    """Folder that the driver and all executors share, as spark.checkpoint.dir or the context names it.
+
+    Without one, a local session gets a folder of its machine; a cluster's executors would each
+    write to their own disk, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "file:///tmp/checkpoints/leadloom").rstrip("/")
 
 
@@ -43,6 +50,13 @@ def materialize(df: DataFrame, compression: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that materialize() has returned and nothing will read again."""
+    jvm = table.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -74,14 +88,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star steps: each step sends only (node, neighbour) pairs and a
     minimum per node, so no neighbourhood is ever gathered. A node with very many neighbours is
     joined to one row, which AQE splits when it is skewed. Each round's pairs are a table in the
-    shared folder. Empty input gives an empty result; self-loops only name their node.
+    shared folder, which goes when the next round's is written. Empty input gives an empty result; self-loops only name their node.
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).distinct()
     pairs = _ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
     pairs = materialize(pairs)
     before = None
     while True:
-        pairs = materialize(_small_star(_large_star(pairs)))
+        spent = pairs
+        pairs = materialize(_small_star(_large_star(spent)))
+        discard(spent)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -18,8 +18,6 @@ from .toxicity import fold
 CHUNK_BYTES = 16_000_000
 #: Contexts are this many bytes at most.
 DEPTH = 4
-#: Rows of byte-string scores that are broadcast at most (16 bytes each); more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
 END = b"\n"
 #: Marks keys of byte strings; keys of tokens have this bit clear.
 _GRAM = 1 << 62
@@ -52,11 +50,19 @@ def _collect(parts: list[bytes]) -> np.ndarray:
     return np.concatenate([_grams(np.frombuffer(p, np.uint8)) for p in parts]) if parts else np.empty(0, np.int64)
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+
+
 def _count_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     """chunk, key, n: every token and byte string of the chunk's texts, n times in those to learn from."""
     learned: Counter = Counter()
     other: set[bytes] = set()
-    grams: dict[int, int] = {}
+    keys, counts = [], []
     for train in (True, False):
         parts, size = [], 0
         texts = pdf.loc[pdf["train"] == train, "text"]
@@ -70,13 +76,16 @@ def _count_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
             size += len(parts[-1])
             if size > 2_000_000 or k == len(texts):
                 found, n = np.unique(_collect(parts), return_counts=True)
-                for g, c in zip(found.tolist(), n.tolist(), strict=True):
-                    grams[g] = grams.get(g, 0) + (c if train else 0)
+                keys.append(found)
+                counts.append(n if train else np.zeros(len(n), np.int64))
                 parts, size = [], 0
+                if len(keys) > 8:
+                    keys, counts = ([x] for x in _merged(keys, counts))
+    gram, times = _merged(keys, counts)
     words = list(learned) + [w for w in other if w not in learned]
-    keys = np.array([_key(w) for w in words] + [g | _GRAM for g in grams], np.int64)
-    n = np.array([learned[w] if w in learned else 0 for w in words] + list(grams.values()), np.int64)
-    return pd.DataFrame({"chunk": np.full(len(keys), pdf["chunk"].iat[0]), "key": keys, "n": n})
+    key = np.append(np.array([_key(w) for w in words], np.int64), gram | _GRAM)
+    n = np.append(np.array([learned.get(w, 0) for w in words], np.int64), times)
+    return pd.DataFrame({"chunk": np.full(len(key), pdf["chunk"].iat[0]), "key": key, "n": n})
 
 
 def _lgamma(x: Column) -> Column:
@@ -179,8 +188,9 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
 
     Counts are taken of all texts for which `train` holds. Documents are dealt to chunks by a hash;
     a chunk sends each of its distinct tokens and byte strings once, gets back its count or score
-    over the whole corpus, and scores its texts with them. So nothing that grows with the corpus is
-    broadcast or sent to the driver, and no row is joined per occurrence. Tokens are known by 62 bits
+    over the whole corpus, and scores its texts with them. Counts are summed up with partial sums and
+    joined back, which AQE splits where a token stands in very many chunks. So nothing that grows
+    with the corpus is broadcast or sent to the driver, and no row is joined per occurrence. Tokens are known by 62 bits
     of XXH64.
 
     base_score: the sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the text's tokens. score: log10
@@ -192,21 +202,18 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
     text = F.col("text").cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
-    place = F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(chunks)).cast("int")
+    place = F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).cast("int")
     rows = docs.select(place.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = rows.select("chunk", "text", "train").groupBy("chunk").applyInPandas(_count_chunk, "chunk int, key long, n long")
-    by_key = Window.partitionBy("key")
-    table = counts.select("chunk", "key", F.sum("n").over(by_key).alias("c"), (F.row_number().over(by_key.orderBy("chunk")) == 1).alias("first"))
-    table = materialize(table, "zstd")
+    counts = materialize(rows.select("chunk", "text", "train").groupBy("chunk").applyInPandas(_count_chunk, "chunk int, key long, n long"), "zstd")
+    totals = materialize(counts.groupBy("key").agg(F.sum("n").alias("c")), "zstd")
     is_gram = F.col("key") >= F.lit(_GRAM)
-    n_all, v_all = table.where(~is_gram & F.col("first")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n_all, v_all = totals.where(~is_gram).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
 
-    grams = table.where(is_gram & F.col("first")).select(F.col("key").bitwiseXOR(F.lit(_GRAM)).alias("gram"), F.col("c").alias("n"))
+    grams = totals.where(is_gram).select(F.col("key").bitwiseXOR(F.lit(_GRAM)).alias("gram"), F.col("c").alias("n"))
     scores = materialize(gram_scores(grams, context_tree(grams)))
-    few = scores.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     of_gram = scores.select(F.col("gram").bitwiseOR(F.lit(_GRAM)).alias("key"), F.col("score").alias("value"))
-    found = table.where(is_gram).select("chunk", "key").join(F.broadcast(of_gram) if few else of_gram, "key").select("chunk", "key", "value")
-    values = table.where(~is_gram).select("chunk", "key", F.col("c").cast("double").alias("value")).union(found)
+    of_key = totals.where(~is_gram).select("key", F.col("c").cast("double").alias("value")).union(of_gram)
+    values = counts.select("chunk", "key").join(of_key, "key").select("chunk", "key", "value")
     below = math.log10(n_all + 0.5 * (v_all + 1))
 
     def score_chunk(pdf: pd.DataFrame, vals: pd.DataFrame) -> pd.DataFrame:

@@ -65,4 +65,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_sharding, op3_packing, op4_simhash, op5_substrings, op6_lm, op7_toxicity, op8_embeddings, op9_language, op10_decontamination)}
-ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op2_sharding": sharding.oracle(SHARDS, SLOTS), "op5_substrings": substrings.oracle(), "op10_decontamination": decontaminate.oracle()}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op2_sharding": sharding.oracle(SHARDS, SLOTS), "op5_substrings": substrings.oracle(), "op8_embeddings": vectors.oracle(), "op10_decontamination": decontaminate.oracle()}

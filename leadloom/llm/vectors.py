@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, connected_components, key_to_id, materialize
 
-TABLES = 24
-PROJECTIONS = 8
+#: Width of the cells of a projection, and the share of pairs at the threshold that is to be found.
 WIDTH = 0.8
+RECALL = 0.98
+#: Vectors that are nowhere near and still share a bucket with a vector, over all tables, about.
+STRANGERS = 8
 #: Members of a bucket that are compared in one piece; larger buckets are cut and every two pieces meet.
 PIECE = 512
 
@@ -25,11 +29,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
+def _meet(distance: float, width: float) -> float:
+    """Probability that two vectors at a distance fall into one cell of a random projection."""
+    r = width / distance
+    return 1 - math.erfc(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def plan(rows: int, threshold: float, width: float = WIDTH, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, projections) for so many rows.
+
+    Projections grow with the logarithm of the rows, so that a vector meets about as many vectors at
+    right angles to it however many there are; tables grow with a small power of the rows, so that a
+    pair at the threshold is met with probability `recall`.
+    """
+    near, far = _meet(math.sqrt(2 - 2 * threshold), width), _meet(math.sqrt(2), width)
+    projections = tables = 1
+    while True:
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - near**projections))
+        if rows * tables * far**projections <= STRANGERS:
+            return tables, projections
+        projections += 1
+
+
+@lru_cache(maxsize=8)
+def _projections(n: int, tables: int, projections: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([seed, n])
+    return rng.normal(size=(n, tables * projections)), rng.uniform(0, width, tables * projections)
+
+
 def signatures(x: np.ndarray, tables: int, projections: int, width: float, seed: int = 3) -> np.ndarray:
     """For each normalised row and table: a hash of its quantised random projections."""
-    rng = np.random.default_rng([seed, x.shape[1]])
-    a = rng.normal(size=(x.shape[1], tables * projections))
-    b = rng.uniform(0, width, tables * projections)
+    a, b = _projections(x.shape[1], tables, projections, width, seed)
     cells = np.floor((x @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(x), tables, projections)
     h = np.zeros((len(x), tables), np.uint64)
     for k in range(projections):
@@ -46,11 +76,17 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, _matrix(column.take(pa.array(at)))
 
 
+def _vector(vectors: DataFrame, vector_col: str) -> Column:
+    """The vectors as they are if they are of single precision, else in double precision."""
+    kind = dict(vectors.dtypes)[vector_col]
+    return F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
+
+
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """One row per distinct label and usable vector, numbered: c, label, v, least id, number of rows m."""
     fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
     ok = vectors.where(F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & fine)
-    rows = ok.select(F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+    rows = ok.select(F.col(label_col).alias("label"), _vector(vectors, vector_col).alias("v"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
     groups = rows.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("m"))
     return groups.withColumn("c", F.monotonically_increasing_id())
 
@@ -87,8 +123,8 @@ def near_duplicates(
     vector_col: str = "embedding",
     label_col: str = "label",
     threshold: float = 0.98,
-    tables: int = TABLES,
-    projections: int = PROJECTIONS,
+    tables: int | None = None,
+    projections: int | None = None,
     width: float = WIDTH,
     piece: int = PIECE,
 ) -> DataFrame:
@@ -119,8 +155,11 @@ def near_duplicates(
                 )
 
     kind = dict(classes.dtypes)["label"]
-    if classes.isEmpty():
+    n = classes.count()
+    if not n:
         return _nothing(vectors, id_col)
+    planned = plan(n, threshold, width)
+    tables, projections = tables or planned[0], projections or planned[1]
     signed = classes.select("c", "v", "label").mapInArrow(sign, f"c long, label {kind}, size long, t int, bucket long")
     keyed = signed.select("c", "t", F.xxhash64("label", "size", "t", "bucket").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -147,7 +186,7 @@ def near_duplicates(
     of = of.select("label", "v", "least", F.coalesce("root", "c").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     least = of.groupBy("root").agg(F.min("least").alias("component"))
     of = of.join(least, "root").select("label", "v", "n_links", "component")
-    each = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    each = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(label_col).alias("label"), _vector(vectors, vector_col).alias("v"))
     out = each.join(of, ["label", "v"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
     return _named(out, id_col)
 
@@ -180,3 +219,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             last = now
     if held:
         yield pa.Table.from_batches(held)
+
+
+def oracle(threshold: float = 0.98) -> str:
+    """DuckDB SQL of near_duplicates on embeddings: all pairs of a label, and components by reachability."""
+    return f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= {threshold}),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS vec_id, min(least(a, b)) AS root FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id)::BIGINT AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""

@@ -37,6 +37,21 @@ DOCS = [
 ]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session).startswith("file:")
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     """Extra columns have names that the operators use themselves."""
@@ -427,10 +442,25 @@ def test_vectors(spark):
         assert sum(have.values()) >= 0.95 * sum(links.values()) and all(have[k] <= links[k] for k in have)
         assert have[106] == have[107] == 1
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None and r["component_id"] is not None)
+    plain = df.where("vec_id < 90")
+    pairs = [(i, j) for i, a, g in usable for j, b, h in usable if i is not None and j is not None and max(i, j) < 90 and i != j and g == h and a.shape == b.shape and a @ b >= 0.98]
+    root = {k: k for k in range(90)}
+    for _ in range(90):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    for kind in ("array<double>", "array<float>"):
+        got = vectors.near_duplicates(plain.dropDuplicates(["vec_id"]).withColumn("embedding", F.col("embedding").cast(kind)), tables=200, projections=6).collect()
+        assert {r["vec_id"]: r["component_id"] for r in got} == root
     assert vectors.near_duplicates(df.limit(0)).count() == 0
     assert vectors.near_duplicates(df.where("vec_id = 101")).first()["component_id"] == 101
 
 
+def test_plan_of_tables_grows_slowly():
+    small, large = vectors.plan(10_000, 0.98), vectors.plan(1_000_000_000, 0.98)
+    assert small[0] < large[0] < 9 * small[0] and small[1] < large[1] < 3 * small[1]
+    assert vectors._meet(0.2, 0.8) == pytest.approx(0.8005, abs=1e-3)
+
+
 def test_language(spark, docs, empty):
     rng = np.random.default_rng(4)
     syllables = {"xx": ["ka", "ti", "mo"], "yy": ["schu", "berg", "ein"]}
@@ -482,7 +512,7 @@ def test_decontamination_by_brute_force(spark, docs, empty):
             passage[rng.integers(0, 20)] = "zzz"
         at = rng.integers(0, 60)
         rows.append((k, " ".join(w[:at] + passage[: rng.integers(10, 21)] + w[at:])))
-    rows += [(None, text(60, 15)), (70, None), (71, ""), (72, "x " + text(61, 9) + " y"), (73, text(62, 4)), (74, "Short!"), (75, text(61, 8)), (76, text(63, 12)), (77, text(63, 11) + " other " + text(63, 12))]
+    rows += [(None, text(60, 15)), (70, None), (71, ""), (72, "x " + text(61, 9) + " y"), (73, text(62, 4)), (74, "short"), (75, text(61, 8)), (76, text(63, 12)), (77, text(63, 11) + " other " + text(63, 12))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {}
