@@ -49,6 +49,35 @@ def test_decontamination_goes_by_text(spark, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == [(1, "clean two"), (3, "clean two"), (None, "clean one"), (None, None)]
 
 
+def test_language_stage_fills_missing_labels(spark):
+    rows = [(k, ("kati moka tiko " if k % 2 else "schubein bergein ein ") * 30, ["yy", "xx"][k % 2]) for k in range(200)]
+    rows += [(500, "tiko kati moka " * 20, None), (501, "bergein schubein " * 20, None), (502, "½ ²", None)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert got == {k: ["yy", "xx"][k % 2] for k in range(200)} | {500: "xx", 501: "yy"}
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, key long, kept int"
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows and columns with the operators' own names."""
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, None), (None, ""), (None, "some words"), (None, "some words"), (1, "other text here"), (1, "other text here"), (2, None), (3, "é" * 400)]
+    docs = spark.createDataFrame([(k, t, None, None, None, 0.5, 7, 7, 1) for k, t in rows], KIND)
+    texts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        texts.append(sorted((r["text"] for r in got.collect()), key=str))
+    every = sorted((t for _, t in rows), key=str)
+    assert texts[0] == sorted(t for t in every if t)
+    assert texts[1] == sorted(["some words", "other text here", "é" * 400, None], key=str) and len(texts[2]) == len(rows)
+    assert texts[2].count("some words") == 2 and texts[3] == every
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_language_stage_without_labels(spark):
     rows = [(0, "readable words", None), (1, "12 !", None), (2, None, None), (None, "more words", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
