@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with a letter stay as they are. Repeated rows and null ids are judged row by row; an empty table
     gives an empty one.
     """
-    found = langid.identify(docs, langid.train(docs), langid.UNLEARNED).where(F.col("lang_pred") != langid.UNKNOWN)
-    learned = F.when(F.col("lang_pred") != langid.UNLEARNED, F.col("lang_pred"))
+    found = langid.identify(docs, langid.train(docs), langid.UNLEARNED, ("_lang_found", "_lang_score")).where(F.col("_lang_found") != langid.UNKNOWN)
+    learned = F.when(F.col("_lang_found") != langid.UNLEARNED, F.col("_lang_found"))
     return found.withColumn("lang", F.coalesce("lang", learned)).select(*docs.columns)
 
 
