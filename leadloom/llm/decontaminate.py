@@ -146,8 +146,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFr
     doc_id, or under null, have no say.
     """
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = overlaps(docs.select(digest.alias("doc_id"), "text"), benchmark, **parameters).select(F.col("doc_id").alias("bad_digest")).distinct()
-    return docs.join(bad, digest == F.col("bad_digest"), "left_anti")
+    bad = overlaps(docs.select(digest.alias("doc_id"), "text"), benchmark, **parameters).select(F.col("doc_id").alias("_bad_digest")).distinct()
+    return docs.join(bad, digest == F.col("_bad_digest"), "left_anti")
 
 
 def oracle(window: int = 13, substitutions: int = 2) -> str:

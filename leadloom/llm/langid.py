@@ -140,36 +140,36 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAIN_
     return fit(np.vstack([windows(r["text"])[0][:1] for r in got]), [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, network: ByteNetwork | None, unlearned: str = UNKNOWN) -> DataFrame:
-    """docs' columns with lang_pred and score added: one pass, no shuffle.
+def identify(docs: DataFrame, network: ByteNetwork | None, unlearned: str = UNKNOWN, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns with the language and its score added, as `lang_pred` and `score` or other `names`: one pass, no shuffle.
 
     A text's probabilities are the mean over all its windows, weighted by their lengths. Null texts
     and texts without a letter are `und` with score 0; when nothing was learned the others are
-    `unlearned`, also with score 0. Columns of docs named lang_pred or score are replaced; repeated
+    `unlearned`, also with score 0. Columns of docs that have these names are replaced; repeated
     rows each get their result.
     """
     short_batches(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score")
-    schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    kept = docs.drop(*names)
+    schema = kept.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
     names_in = list(kept.columns)
     at = names_in.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables() if network else []
         for b in batches:
-            names, scores = [], []
+            found, scores = [], []
             for text, letter in zip(b.column(at), b.column(len(names_in)).to_pylist(), strict=True):
                 text = text.as_py()
                 if network is None or not letter:
-                    names.append(unlearned if letter else UNKNOWN)
+                    found.append(unlearned if letter else UNKNOWN)
                     scores.append(0.0)
                     continue
                 x, lengths = windows(text)
                 p = np.average(network.probabilities(x, tables), axis=0, weights=lengths)
                 k = int(p.argmax())
-                names.append(network.names[k])
+                found.append(network.names[k])
                 scores.append(min(1.0, float(p[k])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*names_in, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names_in, *names])
 
     return kept.select("*", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter")).mapInArrow(run, schema)
 

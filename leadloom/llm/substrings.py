@@ -414,39 +414,39 @@ def _kept(raw: bytes, spans) -> tuple[bytes, int]:
     return b"".join(left), len(begin)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
-    """docs with `kept` (the remaining bytes) and `n_spans` (maximal removed runs) added.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, names: tuple[str, str] = ("kept", "n_spans"), **parameters) -> DataFrame:
+    """docs with the remaining bytes and the number of maximal removed runs added, as `kept` and `n_spans` or other `names`.
 
     Every byte covered by a `length`-byte string that also starts earlier, in a document with a
     smaller doc_id or further ahead in the same one, is removed; matches never cross documents and
     are judged on the input. Null and short texts keep all they have; a null doc_id comes before all
     others. Rows that repeat a doc_id (or null) with the same text are one document and share its
     result; with another text they are documents of their own, in the order of their texts' hashes.
-    Columns of docs named kept or n_spans are replaced; an empty table gives no row.
+    Columns of docs that have these names are replaced; an empty table gives no row.
     """
     short_batches(docs.sparkSession)
-    kept = docs.drop("kept", "n_spans")
-    names = list(kept.columns)
+    kept = docs.drop(*names)
+    columns = list(kept.columns)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans = repeated_spans(docs.select(doc_key().alias("key"), F.xxhash64(text).alias("text_id"), F.encode(text, "UTF-8").alias("raw")), length, **parameters)
     lists = spans.groupBy(F.col("key").alias("span_key"), F.col("text_id").alias("span_text")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = kept.join(lists, (doc_key() == F.col("span_key")) & (F.xxhash64(text) == F.col("span_text")), "left").drop("span_key", "span_text")
-    at = names.index("text")
+    at = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_kept((t.as_py() or "").encode(), s if s.is_valid else None) for t, s in zip(b.column(at), b.column(len(names)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], [*names, "kept", "n_spans"])
+            got = [_kept((t.as_py() or "").encode(), s if s.is_valid else None) for t, s in zip(b.column(at), b.column(len(columns)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], [*columns, *names])
 
-    schema = kept.select("*", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_spans")).schema
+    schema = kept.select("*", F.lit(b"").alias(names[0]), F.lit(0).cast("long").alias(names[1])).schema
     return joined.mapInArrow(cut, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
     """docs with text replaced by what remove_repeats() keeps of it; bytes of cut characters are left out too."""
-    done = remove_repeats(docs, length, **parameters)
+    done = remove_repeats(docs, length, ("_kept_bytes", "_removed_runs"), **parameters)
     names = list(docs.columns)
-    at, kept = names.index("text"), done.columns.index("kept")
+    at, kept = names.index("text"), done.columns.index("_kept_bytes")
     order = [done.columns.index(c) for c in names]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
