@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .toxicity import fold
 
 #: Bytes of text in a chunk, about.
@@ -210,7 +210,10 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
     n_all, v_all = totals.where(~is_gram).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
 
     grams = totals.where(is_gram).select(F.col("key").bitwiseXOR(F.lit(_GRAM)).alias("gram"), F.col("c").alias("n"))
-    scores = materialize(gram_scores(grams, context_tree(grams)))
+    tree = context_tree(grams)
+    scores = materialize(gram_scores(grams, tree))
+    for level in tree:
+        discard(level)
     of_gram = scores.select(F.col("gram").bitwiseOR(F.lit(_GRAM)).alias("key"), F.col("score").alias("value"))
     of_key = totals.where(~is_gram).select("key", F.col("c").cast("double").alias("value")).union(of_gram)
     values = counts.select("chunk", "key").join(of_key, "key").select("chunk", "key", "value")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_to_id, materialize, short_batches
+from .common import discard, doc_key, key_to_id, materialize, short_batches
 from .suffixes import common_prefixes, suffix_array
 
 #: Repeats of this many bytes are removed.
@@ -68,8 +68,8 @@ def cells(keys: np.ndarray, ids: np.ndarray, texts: list[bytes], length: int = L
 
     The anchor of a window of `length` bytes is the least hash of the strings in it. A cell is a run
     of n window starts, from s on, with one anchor. Equal windows have equal anchors, so they are in
-    cells of one anchor; content and check are independent 64-bit hashes of all the bytes that the cell's windows
-    cover. twice tells that the anchor stands in the cell more than once: else no two of its windows are equal.
+    cells of one anchor; content (64 bits) and check (32 bits) are independent hashes of all the bytes that the cell's
+    windows cover. twice tells that the anchor stands in the cell more than once: else no two of its windows are equal.
     """
     wide = length - GRAM + 1
     empty = np.empty(0, np.int64)
@@ -101,7 +101,7 @@ def cells(keys: np.ndarray, ids: np.ndarray, texts: list[bytes], length: int = L
     hit = h[np.arange(size.sum()) + np.repeat(s - begin, size)] == np.repeat(low[start], size)
     twice = (np.add.reduceat(hit, begin, dtype=np.int64) > 1).astype(np.int64)
     key, text_id = (np.asarray(x)[keep][doc[start]] for x in (keys, ids))
-    return {"anchor": low[start].view(np.int64), "content": content.view(np.int64), "check": check.view(np.int64), "n": n, "key": key, "text_id": text_id, "s": s - offset[doc[start]], "twice": twice}
+    return {"anchor": low[start].view(np.int64), "content": content.view(np.int64), "check": check.view(np.int64) >> 32, "n": n, "key": key, "text_id": text_id, "s": s - offset[doc[start]], "twice": twice}
 
 
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -119,7 +119,7 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], lis
         yield keys, ids, texts
 
 
-CELLS = "anchor long, content long, check long, n long, key long, text_id long, s long, twice long"
+CELLS = "anchor long, content long, check int, n long, key long, text_id long, s long, twice long"
 #: kind 0: a cell that repeats one with the same content; kind 1: the first of its content, to be sorted.
 FOUND = "kind int, anchor long, n long, key long, text_id long, s long"
 #: One document: rows with both equal are the same text under the same doc_id. Also the order in which a text counts as earlier.
@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
 
     Texts are cut into cells (see cells()); each cell's hashes and place, not its text, are sorted by
     anchor. Cells with the same content as an earlier one are repeats as a whole; content is
-    identified by its length and 192 bits of three hashes (anchor, content and check). A task tells
+    identified by its length and 160 bits of three hashes (anchor, content and check). A task tells
     most repeats of frequent cells itself and deals them out evenly. The first of each content is
     sorted with those of the same anchor: their bytes are sent to a shard by the anchor, and a suffix
     array of the shard finds which of their windows occur earlier. As equal windows have equal
@@ -324,6 +324,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     texts = docs.select(*DOC, "raw")
     sorted_cells = texts.mapInArrow(_cut_for(length), CELLS).repartition("anchor").sortWithinPartitions("anchor", "content", "check", "n", *DOC, "s")
     found = materialize(sorted_cells.mapInArrow(_firsts, FOUND), "zstd")
+    spent = [found]
     spans = found.where("kind = 0").select(*DOC, F.col("s").alias("begin"), (F.col("s") + F.col("n") + length - 1).alias("end"))
 
     first = found.where("kind = 1")
@@ -348,7 +349,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
                 yield pa.RecordBatch.from_pydict({"anchor": anchor, "parts": parts, "key": np.full(len(s), doc[0]), "text_id": np.full(len(s), doc[1]), "s": s, "raw": pa.array([raw[x : x + y + length - 1] for x, y in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())})
 
     pieces = texts.join(lists.hint("merge"), DOC).select(*DOC, "raw", "cells").mapInArrow(fetch, "anchor long, parts int, key long, text_id long, s long, raw binary")
-    pieces = materialize(pieces) if hot else pieces
+    if hot:
+        pieces = materialize(pieces)
+        spent.append(pieces)
     recut = 0
     while True:
         shards = max(1, math.ceil(total / shard_bytes))
@@ -356,11 +359,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
         cold = pieces.where("parts = 0").select(shard, *DOC, "s", "raw").groupBy("shard")
         spans = spans.union(cold.applyInPandas(lambda pdf: _sort(pdf, length), "key long, text_id long, begin long, end long"))
         if not hot:
-            return materialize(spans)
+            out = materialize(spans)
+            for table in spent:
+                discard(table)
+            return out
         recut += 1
         salt = F.pmod(F.xxhash64(*DOC, "s"), "parts").alias("salt")
         dealt = pieces.where("parts > 0").select("anchor", salt, *DOC, "s", "raw").groupBy("anchor", "salt")
         done = materialize(dealt.applyInPandas(_part_sorter(length, recut), "anchor long, key long, text_id long, s long, end long, raw binary"))
+        spent.append(done)
         spans = spans.union(done.where("end >= 0").select(*DOC, F.col("s").alias("begin"), "end"))
         left = done.where("end < 0").drop("end")
         size = F.octet_length("raw").cast("long")
@@ -389,6 +396,8 @@ def _cut_for(length: int):
             spread = (c["text_id"].view(np.uint64) ^ (c["s"].view(np.uint64) * _C1)) * _C3
             c["anchor"] = np.where(again, spread.view(np.int64), c["anchor"])
             c["twice"] = c["twice"] | (2 * again)
+            c["content"] = np.where(again, 0, c["content"])
+            c["check"] = np.where(again, 0, c["check"]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(c)
 
     return cut
