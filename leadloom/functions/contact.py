@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans import catalog
 from .text import clean, fold_accents
 
+# The shapes of mail addresses and phones.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 # Mailboxes and hosts of templates, file endings, and mailboxes that rank higher or lower.
 _JUNK = r"(?i)^(?:example|test|your|email|name|user|sentry|wixpress|sample|no-?reply|donotreply)@|@(?:example|sentry|wix|squarespace|godaddy|shopify|wordpress|gmail\.example)\."
@@ -31,6 +32,11 @@ def free_mail(c: Column) -> Column:
     return email_domain(c).isin(catalog.FREE_MAIL)
 
 
+def free_mail_name(c: Column) -> Column:
+    """Whether the host's first label is that of a free mail service, whatever follows it."""
+    return F.coalesce(F.lower(c).rlike(f"@(?:{'|'.join(catalog.FREE_MAIL_NAMES)})\\."), F.lit(False))
+
+
 def phone(c: Column) -> Column:
     """+1 and ten digits where it can be, else + and the digits; none: empty."""
     d = F.regexp_replace(clean(c, 30), r"[^0-9]", "")

@@ -18,7 +18,7 @@ from .segments import sector, sector_segment
 
 # Wordings that decide.
 HOME_WORDINGS = [r"(?i)microenterprise\s+home\s+kitchen", word("mhko"), r"(?i)home\s+kitchen", r"(?i)cottage\s+food", word("residential"), word("residence"), r"(?i)private\s+home"]
-UNIT_ADDRESS = [word(r"p\.?\s?o\.?\s*box"), word("pmb"), word(r"apt|apartment\s+\d+"), word(r"unit\s*[0-9a-z]*"), r"#\s*\d+", word("spc|space")]
+UNIT_ADDRESS = [word(r"p\.?\s?o\.?\s*box"), word("pmb"), word("apt"), r"(?i)(?<![A-Za-z0-9_])apartment\s+\d", word(r"unit\s*[0-9a-z]*"), r"(?<=[A-Za-z0-9_])#\s*\d+(?![A-Za-z0-9_])", word("spc|space")]
 NOT_COMMERCIAL_ADDRESS = [*UNIT_ADDRESS, word(r"private\s+mail"), word("apartment"), word(r"mobile\s+home"), word("trailer"), word("residence|residential")]
 PERSON_SHAPES = [r"^\p{Lu}[\p{L}'’-]+\s*,\s*\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+)?$", r"^\p{Lu}[\p{L}'’-]+\s+\p{Lu}\.?\s+\p{Lu}[\p{L}'’-]+$", r"(?i)(?<![A-Za-z0-9_])(?:jr|sr|iii|iv|md|dds|dmd|do|esq)\.?$"]
 TWO_NAMES = r"^\p{Lu}[\p{L}'’-]+\s+\p{Lu}[\p{L}'’-]+$"

@@ -66,8 +66,10 @@ def plan_changes(existing: DataFrame, desired: DataFrame, key: str, fields: list
 
 def apply_plan(existing: DataFrame, desired: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """existing after the changes: desired values win where they aren't null or blank, missing rows are added."""
+    kinds = dict(desired.dtypes)
     j = existing.select(key, *[F.col(f).alias(f"old_{f}") for f in fields]).join(desired.select(key, *fields), key, "full")
-    return j.select(key, *[F.coalesce(F.col(f), F.col(f"old_{f}")).alias(f) for f in fields])
+    given = lambda f: F.when(F.trim(f) != "", F.col(f)) if kinds[f] == "string" else F.col(f)
+    return j.select(key, *[F.coalesce(given(f), F.col(f"old_{f}")).alias(f) for f in fields])
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

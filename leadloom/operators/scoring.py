@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contact import free_mail
+from ..functions.contact import email_domain, free_mail, free_mail_name
 from ..plans import catalog
 from ..plans.chain import all_failures
 
@@ -14,8 +16,9 @@ Points = list[tuple[str, Column]]
 
 def _explained(df: DataFrame, points: Points, prefix: str) -> DataFrame:
     """Score clamped to 0..100 and the reasons, an array of structs of points and reason, for the rules that gave any."""
-    given = F.filter(F.array(*[F.struct(F.coalesce(p.cast("int"), F.lit(0)).alias("points"), F.lit(r).alias("reason")) for r, p in points]), lambda x: x["points"] != 0)
-    total = F.aggregate(given, F.lit(0), lambda acc, x: acc + x["points"])
+    parts = [(r, F.coalesce(p.cast("int"), F.lit(0))) for r, p in points]
+    total = reduce(lambda a, b: a + b, [p for _, p in parts])  # a plain sum: compiled with the rest of the stage
+    given = F.filter(F.array(*[F.struct(p.alias("points"), F.lit(r).alias("reason")) for r, p in parts]), lambda x: x["points"] != 0)
     return df.select("*", F.least(F.greatest(total, F.lit(0)), F.lit(100)).alias(f"{prefix}score"), given.alias(f"{prefix}reasons"))
 
 
@@ -36,9 +39,9 @@ def score_leads(quoted: DataFrame, as_of: str) -> DataFrame:
         ("phone", F.when(c("phone").isNotNull() & (c("phone") != ""), 10).otherwise(-5)),
         ("preferred_date", F.when(days <= 3, 15).when(days <= 7, 10).when(days <= 14, 5)),
         ("area", F.when(c("in_area"), 8).otherwise(-15)),
-        ("business_mail", F.when(commercial & ~free_mail(c("email")), 7)),
+        ("business_mail", F.when(commercial & (email_domain(c("email")) != "") & ~free_mail(c("email")), 7)),
         ("message", F.when(c("message_length") > 40, 5)),
-        ("paid_click", F.when(c("utm_medium") == "cpc", 5)),
+        ("paid_click", F.when(F.lower("utm_medium").isin(catalog.PAID_MEDIA) | (F.coalesce(c("gclid"), F.lit("")) != ""), 5)),
     ]
     out = _explained(quoted, points, "")
     return out.withColumn("temperature", temperature(c("score")))
@@ -51,7 +54,7 @@ def score_prospects(df: DataFrame) -> DataFrame:
     for name, (w, _, _) in catalog.SEGMENTS.items():
         weight = F.when(c("segment") == name, w).otherwise(weight)
     finaled, opened = c("signal_type") == "permit_finaled", c("signal_type") == "new_business"
-    own_mail = (F.coalesce(c("email"), F.lit("")) != "") & ~free_mail(c("email"))
+    own_mail = (F.coalesce(c("email"), F.lit("")) != "") & ~free_mail_name(c("email"))
     points: Points = [
         ("segment", weight),
         ("value", F.when(c("annual_value") >= 20000, 22).when(c("annual_value") >= 8000, 15).when(c("annual_value") > 0, 8).when(c("visit_value") >= 500, 10)),
@@ -82,7 +85,11 @@ def prospect_verdict(df: DataFrame, threshold: int = 45) -> Column:
 
 
 def enrichment_plan(df: DataFrame) -> DataFrame:
-    """score, rating, stage and action for companies with has_channel, in_area, official, has_address, and their current values."""
+    """score, rating, stage, changes, action and not_proposed for companies with has_channel, in_area, official, has_address,
+    segment, email, website, phone, and their current old_rating, old_stage and service_area.
+
+    The service area is proposed only where it is blank: what somebody wrote stays.
+    """
     c = F.col
     points: Points = [
         ("channel", F.when(c("has_channel"), 25)),
@@ -93,7 +100,9 @@ def enrichment_plan(df: DataFrame) -> DataFrame:
     out = _explained(df, points, "plan_")
     rating = F.when(c("plan_score") >= 70, 4).when(c("plan_score") >= 50, 3).when(c("plan_score") >= 30, 2).otherwise(1)
     out = out.withColumn("rating", rating).withColumn("stage", F.when(c("has_channel"), "QUALIFIED").otherwise("NEW"))
-    changed = all_failures([("rating", ~c("rating").eqNullSafe(c("old_rating"))), ("stage", ~c("stage").eqNullSafe(c("old_stage"))), ("area", ~c("in_area").eqNullSafe(c("old_in_area")))])
+    changed = all_failures([("rating", ~c("rating").eqNullSafe(c("old_rating"))), ("stage", ~c("stage").eqNullSafe(c("old_stage"))), ("area", F.trim(F.coalesce(c("service_area"), F.lit(""))) == "")])
+    lacks = lambda name: F.trim(F.coalesce(c(name), F.lit(""))) == ""
+    out = out.withColumn("not_proposed", all_failures([(name, lacks(name)) for name in ("segment", "email", "website", "phone")]))
     out = out.withColumn("changes", changed)
     return out.withColumn("action", F.when(F.size("changes") > 0, "update").otherwise("noop"))
 

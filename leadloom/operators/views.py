@@ -31,10 +31,11 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderkey % 2 = 0 THEN array(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'floor_wax' ELSE 'fridge' END, 'laundry', 'laundry', 'unknown') ELSE array() END AS addons",
         "CASE o_orderstatus WHEN 'F' THEN 'won' WHEN 'O' THEN 'new' ELSE 'quoted' END AS status",
         "element_at(array('google', 'facebook', '', 'referral', 'yelp'), cast(o_custkey % 5 AS int) + 1) AS utm_source",
-        "CASE WHEN o_orderkey % 11 = 0 THEN 'cpc' ELSE 'organic' END AS utm_medium",
+        "element_at(array('cpc', 'PPC', 'paid', 'Paid_Social', 'organic', 'email', '', 'organic', 'referral', 'organic', 'organic'), cast(o_orderkey % 11 AS int) + 1) AS utm_medium",
+        "CASE WHEN o_orderkey % 29 = 0 THEN 'click' END AS gclid",
         "cast(90000 + o_custkey % 50 AS string) AS zip",
         "CASE WHEN o_orderkey % 3 <> 0 THEN concat('(619) 555-', lpad(cast(o_custkey % 10000 AS string), 4, '0')) END AS phone",
-        "concat('lead', o_custkey, CASE WHEN o_custkey % 3 = 0 THEN '@gmail.com' ELSE concat('@biz', o_custkey % 400, '.com') END) AS email",
+        "CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_custkey % 19 = 0 THEN 'nodomain' ELSE concat('lead', o_custkey, CASE WHEN o_custkey % 3 = 0 THEN '@gmail.com' ELSE concat('@biz', o_custkey % 400, '.com') END) END AS email",
         "date_add(date '2001-07-25', cast(o_orderkey % 25 AS int)) AS preferred_date",
         "cast(o_orderkey % 80 AS int) AS message_length",
         "(90000 + o_custkey % 50) % 7 <> 0 AS in_area",
@@ -45,7 +46,7 @@ def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prospect per supplier; its business words come from the part of the same number."""
     s, n, p = (table(spark, sf_dir, t) for t in ("supplier", "nation", "part"))
     r = table(spark, sf_dir, "region")
-    joined = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey).join(p, s.s_suppkey == p.p_partkey, "left")
+    joined = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).join(p, s.s_suppkey == p.p_partkey, "left")
     return joined.selectExpr(
         "s_suppkey AS id",
         "concat(coalesce(p_name, s_name), ' ', element_at(array('Dental Clinic', 'Bar and Grill', 'Property Management LLC', 'General Contractor Inc', 'Vacation Rental', 'Holdings'), cast(s_suppkey % 6 AS int) + 1)) AS business_name",
@@ -56,7 +57,7 @@ def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "r_name AS source",
         "n_name AS city",
         "s_acctbal AS balance",
-        "CASE WHEN s_suppkey % 4 <> 0 THEN concat('info@site', s_suppkey % 50, '.com') ELSE '' END AS email",
+        "CASE WHEN s_suppkey % 23 = 1 THEN 'owner@yahoo.co.uk' WHEN s_suppkey % 23 = 2 THEN 'me@proton.me' WHEN s_suppkey % 4 <> 0 THEN concat('info@site', s_suppkey % 50, '.com') ELSE '' END AS email",
         "CASE WHEN s_suppkey % 3 <> 0 THEN concat('619555', lpad(cast(s_suppkey % 10000 AS string), 4, '0')) ELSE '' END AS phone",
         "CASE WHEN s_suppkey % 4 = 1 THEN concat('https://www.Site', s_suppkey % 50, '.com/about') END AS website",
         "concat(s_suppkey % 900, ' Main St') AS address",

@@ -59,6 +59,8 @@ STOP_STATUSES = ["won", "lost", "booked", "customer", "spam"]
 # Mail domains.
 DISPOSABLE = ["mailinator.com", "yopmail.com", "tempmail.com", "guerrillamail.com", "sharklasers.com", "10minutemail.com", "trashmail.com"]
 FREE_MAIL = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "aol.com", "live.com", "msn.com", "proton.me", "protonmail.com"]
+FREE_MAIL_NAMES = ["gmail", "yahoo", "hotmail", "outlook", "aol", "icloud", "live", "msn"]
+PAID_MEDIA = ["cpc", "ppc", "paid", "paid_social"]
 
 # Industry sectors by two digits, the segment of each, and codes that are left out.
 SECTOR_SEGMENT = {23: "post_construction", 42: "retail", 44: "retail", 45: "retail", 53: "property_managers", 54: "offices", 55: "offices", 56: "offices", 62: "offices", 71: "offices", 72: "restaurants", 81: "offices"}
@@ -74,11 +76,15 @@ LICENSE_RATING = {4: ["41", "47", "75", "42", "48", "61"], 3: ["50", "51", "52",
 INBOUND_SIGNALS = [
     ("opt_out", ["unsubscribe", "remove me", "opt[- ]?out", "no me (?:escriban|contacten)", "dar de baja"]),
     ("negative", ["not interested", "no thanks", "we (?:already )?have a (?:vendor|cleaner|service)", "no (?:nos )?interesa"]),
-    ("quote_request", ["quote", "estimate", "pricing", "how much", "presupuesto", "cotizar", "walk[- ]?through", "site visit"]),
+    ("quote_request", ["quote", "estimate", "pricing", "how much", "presupuesto", "cotiza(?:r|ción)", "walk[- ]?through", "site visit"]),
     ("service_question", ["do you (?:offer|clean|service)", "availability", "schedule", "horario", "(?:ofrecen|hacen|cubren)", "what (?:services|areas)"]),
     ("administrative", ["invoice", "w-?9", "certificate of insurance", "factura", "contrato", "purchase order"]),
 ]
 
+#: Categories of messages for which an answer is drafted, and why none is for the others.
+DRAFTS = {"quote_request": "about your request for a quote", "service_question": "about our services", "administrative": "about your administrative request"}
+NO_DRAFT = {"opt_out": "respected, not answered", "negative": "not argued with", "unrelated": "a person reads it"}
+
 # Words that are not part of a name, for the two name keys.
 STOP_WORDS_A = ["inc", "llc", "corp", "co", "ltd", "the", "a", "and", "de", "del", "la", "el"]
 STOP_WORDS_B = ["inc", "llc", "corp", "corporation", "company", "co", "ltd", "lp", "the", "and", "de", "del", "la", "el", "dba"]

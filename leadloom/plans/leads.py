@@ -19,11 +19,13 @@ _LEADS = """WITH v_leads AS (
       ELSE (['standard', 'deep', 'move', 'post_construction'])[o_orderkey % 4 + 1] END AS service_type,
     o_orderkey % 7 AS bed, 1 + o_orderkey % 4 AS bath, 500 + (o_custkey % 40) * 250 AS sqft, o_orderkey % 2 = 0 AS extras,
     CASE o_orderstatus WHEN 'F' THEN 'won' WHEN 'O' THEN 'new' ELSE 'quoted' END AS status,
-    (['google', 'facebook', '', 'referral', 'yelp'])[o_custkey % 5 + 1] AS utm_source, o_orderkey % 11 = 0 AS paid,
+    (['google', 'facebook', '', 'referral', 'yelp'])[o_custkey % 5 + 1] AS utm_source, 
+    (['cpc', 'PPC', 'paid', 'Paid_Social', 'organic', 'email', '', 'organic', 'referral', 'organic', 'organic'])[o_orderkey % 11 + 1] AS utm_medium, CASE WHEN o_orderkey % 29 = 0 THEN 'click' END AS gclid,
+    lower(utm_medium) IN ('cpc', 'ppc', 'paid', 'paid_social') OR coalesce(gclid, '') <> '' AS paid,
     CAST(90000 + o_custkey % 50 AS VARCHAR) AS zip,
     CASE WHEN o_orderkey % 3 <> 0 THEN '(619) 555-' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') END AS phone,
-    'lead' || o_custkey || CASE WHEN o_custkey % 3 = 0 THEN '@gmail.com' ELSE '@biz' || (o_custkey % 400) || '.com' END AS email,
-    o_custkey % 3 = 0 AS free, DATE '2001-07-25' + CAST(o_orderkey % 25 AS INT) AS preferred, o_orderkey % 80 AS msg, (90000 + o_custkey % 50) % 7 <> 0 AS in_area
+    CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_custkey % 19 = 0 THEN 'nodomain' ELSE 'lead' || o_custkey || CASE WHEN o_custkey % 3 = 0 THEN '@gmail.com' ELSE '@biz' || (o_custkey % 400) || '.com' END END AS email,
+    coalesce(split_part(email, '@', 2), '') AS host, host IN ('gmail.com', 'yahoo.com', 'hotmail.com', 'outlook.com', 'icloud.com', 'aol.com', 'live.com', 'msn.com', 'proton.me', 'protonmail.com') AS free, host <> '' AND NOT free AS own_host, DATE '2001-07-25' + CAST(o_orderkey % 25 AS INT) AS preferred, o_orderkey % 80 AS msg, (90000 + o_custkey % 50) % 7 <> 0 AS in_area
   FROM orders JOIN customer ON o_custkey = c_custkey),
 priced AS (SELECT *,
   CASE WHEN com THEN greatest(189.0::DOUBLE, (greatest(189.0::DOUBLE, 0.12::DOUBLE * sqft) * (CASE service_type WHEN 'retail' THEN 1.05 WHEN 'medical' THEN 1.35 WHEN 'restaurant' THEN 1.4 WHEN 'post_construction' THEN 1.8 ELSE 1.0 END)::DOUBLE
@@ -39,7 +41,7 @@ scored0 AS (SELECT *, date_diff('day', DATE '2001-08-02', preferred) AS days FRO
 scored1 AS (SELECT *, CAST(least(100, greatest(0, CASE WHEN com THEN 25 ELSE 0 END + CASE WHEN frequency IN ('weekly', 'daily') THEN 25 WHEN frequency = 'biweekly' THEN 20 WHEN frequency = 'monthly' THEN 14 ELSE 0 END
   + CASE WHEN annual_value >= 10000 THEN 20 WHEN annual_value >= 4000 THEN 13 WHEN annual_value > 0 THEN 7 ELSE 0 END + CASE WHEN quote_price >= 400 THEN 10 WHEN quote_price >= 250 THEN 6 ELSE 0 END
   + CASE WHEN phone IS NOT NULL THEN 10 ELSE -5 END + CASE WHEN days <= 3 THEN 15 WHEN days <= 7 THEN 10 WHEN days <= 14 THEN 5 ELSE 0 END + CASE WHEN in_area THEN 8 ELSE -15 END
-  + CASE WHEN com AND NOT free THEN 7 ELSE 0 END + CASE WHEN msg > 40 THEN 5 ELSE 0 END + CASE WHEN paid THEN 5 ELSE 0 END)) AS INT) AS score FROM scored0),
+  + CASE WHEN com AND own_host THEN 7 ELSE 0 END + CASE WHEN msg > 40 THEN 5 ELSE 0 END + CASE WHEN paid THEN 5 ELSE 0 END)) AS INT) AS score FROM scored0),
 scored AS (SELECT *, CASE WHEN score >= 68 THEN 'hot' WHEN score >= 42 THEN 'warm' ELSE 'cold' END AS temperature FROM scored1)
 """
 
@@ -73,7 +75,7 @@ def quotes(spark, sf_dir):
     return pricing.with_quote(views.leads(spark, sf_dir)).select("id", "quote_price", "quote_low", "quote_high", "annual_value", "hours")
 
 
-@query(_LEADS + "SELECT id, score, temperature, concat_ws('|', CASE WHEN com THEN '25:commercial' END, CASE WHEN frequency IN ('weekly', 'daily') THEN '25:frequency' WHEN frequency = 'biweekly' THEN '20:frequency' WHEN frequency = 'monthly' THEN '14:frequency' END, CASE WHEN annual_value >= 10000 THEN '20:annual_value' WHEN annual_value >= 4000 THEN '13:annual_value' WHEN annual_value > 0 THEN '7:annual_value' END, CASE WHEN quote_price >= 400 THEN '10:price' WHEN quote_price >= 250 THEN '6:price' END, CASE WHEN phone IS NOT NULL THEN '10:phone' ELSE '-5:phone' END, CASE WHEN days <= 3 THEN '15:preferred_date' WHEN days <= 7 THEN '10:preferred_date' WHEN days <= 14 THEN '5:preferred_date' END, CASE WHEN in_area THEN '8:area' ELSE '-15:area' END, CASE WHEN com AND NOT free THEN '7:business_mail' END, CASE WHEN msg > 40 THEN '5:message' END, CASE WHEN paid THEN '5:paid_click' END) AS reasons FROM scored")
+@query(_LEADS + "SELECT id, score, temperature, concat_ws('|', CASE WHEN com THEN '25:commercial' END, CASE WHEN frequency IN ('weekly', 'daily') THEN '25:frequency' WHEN frequency = 'biweekly' THEN '20:frequency' WHEN frequency = 'monthly' THEN '14:frequency' END, CASE WHEN annual_value >= 10000 THEN '20:annual_value' WHEN annual_value >= 4000 THEN '13:annual_value' WHEN annual_value > 0 THEN '7:annual_value' END, CASE WHEN quote_price >= 400 THEN '10:price' WHEN quote_price >= 250 THEN '6:price' END, CASE WHEN phone IS NOT NULL THEN '10:phone' ELSE '-5:phone' END, CASE WHEN days <= 3 THEN '15:preferred_date' WHEN days <= 7 THEN '10:preferred_date' WHEN days <= 14 THEN '5:preferred_date' END, CASE WHEN in_area THEN '8:area' ELSE '-15:area' END, CASE WHEN com AND own_host THEN '7:business_mail' END, CASE WHEN msg > 40 THEN '5:message' END, CASE WHEN paid THEN '5:paid_click' END) AS reasons FROM scored")
 def lead_score_reasons(spark, sf_dir):
     reasons = F.array_join(F.transform("reasons", lambda r: F.concat_ws(":", r["points"].cast("string"), r["reason"])), "|")
     return scored(spark, sf_dir).select("id", "score", "temperature", reasons.alias("reasons"))
@@ -125,7 +127,7 @@ def reason_rollup(spark, sf_dir):
     return scored(spark, sf_dir).rollup("segment", "temperature").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-@query(_LEADS + "SELECT id, CASE WHEN phone IS NULL THEN '' ELSE '+1' || regexp_replace(phone, '[^0-9]', '', 'g') END AS phone, CASE WHEN NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[a-z]{2,}$') THEN 'invalid' ELSE 'valid' END AS email_status, split_part(email, '@', 2) AS domain, free AS free_mail, '$' || format('{:,}', quote_price) AS price_text FROM quoted")
+@query(_LEADS + "SELECT id, CASE WHEN phone IS NULL THEN '' ELSE '+1' || regexp_replace(phone, '[^0-9]', '', 'g') END AS phone, CASE WHEN NOT regexp_matches(coalesce(email, ''), '^[^\\s@]+@[^\\s@]+\\.[a-z]{2,}$') THEN 'invalid' ELSE 'valid' END AS email_status, host AS domain, free AS free_mail, '$' || format('{:,}', quote_price) AS price_text FROM quoted")
 def contact_normalized(spark, sf_dir):
     return pricing.with_quote(views.leads(spark, sf_dir)).select(
         "id", contact.phone(F.col("phone")).alias("phone"), contact.email_status(F.col("email")).alias("email_status"), contact.email_domain(F.col("email")).alias("domain"),
@@ -154,7 +156,7 @@ def lead_detail_nested(spark, sf_dir):
     return ranked.groupBy("customer").agg(F.count("*").alias("n_leads"), F.array_join(F.transform(items, lambda x: x["t"]), ",").alias("latest"))
 
 
-@query(_LEADS + "SELECT id, email || ' · ' || segment || ' · ' || service_type AS label, '…' || right(CAST(id + 100000000 AS VARCHAR), 8) AS masked, CASE WHEN annual_value > 0 THEN annual_value ELSE quote_price END * 1000000 AS amount_micros FROM quoted")
+@query(_LEADS + "SELECT id, concat_ws(' · ', email, segment, service_type) AS label, '…' || right(CAST(id + 100000000 AS VARCHAR), 8) AS masked, CASE WHEN annual_value > 0 THEN annual_value ELSE quote_price END * 1000000 AS amount_micros FROM quoted")
 def opportunity_projection(spark, sf_dir):
     """PRJ-08, PRJ-15, PRJ-16."""
     amount = F.when(F.col("annual_value") > 0, F.col("annual_value")).otherwise(F.col("quote_price")) * F.lit(1000000)

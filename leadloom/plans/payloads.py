@@ -24,7 +24,7 @@ def query(oracle: str | None = None):
     return add
 
 
-@query(_LEADS + "SELECT id, 'Service: ' || segment || ' · ' || service_type || ' · ' || frequency || chr(10) || 'Estimate: $' || quote_price || ' a visit' || CASE WHEN annual_value > 0 THEN ' · $' || annual_value || ' a year' ELSE '' END || chr(10) || 'Score: ' || score || '/100 (' || temperature || ')' || chr(10) || array_to_string(list_filter([CASE WHEN com THEN '  +25 commercial' END, CASE WHEN frequency IN ('weekly', 'daily') THEN '  +25 frequency' WHEN frequency = 'biweekly' THEN '  +20 frequency' WHEN frequency = 'monthly' THEN '  +14 frequency' END, CASE WHEN annual_value >= 10000 THEN '  +20 annual_value' WHEN annual_value >= 4000 THEN '  +13 annual_value' WHEN annual_value > 0 THEN '  +7 annual_value' END, CASE WHEN quote_price >= 400 THEN '  +10 price' WHEN quote_price >= 250 THEN '  +6 price' END, CASE WHEN phone IS NOT NULL THEN '  +10 phone' ELSE '  -5 phone' END, CASE WHEN days <= 3 THEN '  +15 preferred_date' WHEN days <= 7 THEN '  +10 preferred_date' WHEN days <= 14 THEN '  +5 preferred_date' END, CASE WHEN in_area THEN '  +8 area' ELSE '  -15 area' END, CASE WHEN com AND NOT free THEN '  +7 business_mail' END, CASE WHEN msg > 40 THEN '  +5 message' END, CASE WHEN paid THEN '  +5 paid_click' END], lambda x: x IS NOT NULL)[1:6], chr(10)) AS description FROM scored")
+@query(_LEADS + "SELECT id, 'Service: ' || segment || ' · ' || service_type || ' · ' || frequency || chr(10) || 'Estimate: $' || quote_price || ' a visit' || CASE WHEN annual_value > 0 THEN ' · $' || annual_value || ' a year' ELSE '' END || chr(10) || 'Score: ' || score || '/100 (' || temperature || ')' || chr(10) || array_to_string(list_filter([CASE WHEN com THEN '  +25 commercial' END, CASE WHEN frequency IN ('weekly', 'daily') THEN '  +25 frequency' WHEN frequency = 'biweekly' THEN '  +20 frequency' WHEN frequency = 'monthly' THEN '  +14 frequency' END, CASE WHEN annual_value >= 10000 THEN '  +20 annual_value' WHEN annual_value >= 4000 THEN '  +13 annual_value' WHEN annual_value > 0 THEN '  +7 annual_value' END, CASE WHEN quote_price >= 400 THEN '  +10 price' WHEN quote_price >= 250 THEN '  +6 price' END, CASE WHEN phone IS NOT NULL THEN '  +10 phone' ELSE '  -5 phone' END, CASE WHEN days <= 3 THEN '  +15 preferred_date' WHEN days <= 7 THEN '  +10 preferred_date' WHEN days <= 14 THEN '  +5 preferred_date' END, CASE WHEN in_area THEN '  +8 area' ELSE '  -15 area' END, CASE WHEN com AND own_host THEN '  +7 business_mail' END, CASE WHEN msg > 40 THEN '  +5 message' END, CASE WHEN paid THEN '  +5 paid_click' END], lambda x: x IS NOT NULL)[1:6], chr(10)) AS description FROM scored")
 def lead_description(spark, sf_dir):
     """PRJ-09 and PRJ-17."""
     p = payloads.lead_payload(leads.scored(spark, sf_dir))

@@ -29,7 +29,7 @@ _PROSPECTS = """WITH v_prospects AS (
     (['621210', '722511', '531312', '236118', '721199', '444110', ''])[s_suppkey % 7 + 1] AS naics,
     CASE WHEN s_suppkey % 13 = 0 THEN 'permit_finaled' WHEN s_suppkey % 5 = 0 THEN 'new_business' ELSE 'active_permit' END AS signal_type,
     s_suppkey % 60 AS signal_days, CAST(91900 + s_suppkey % 300 AS VARCHAR) AS zip, r_name AS source, n_name AS city,
-    CASE WHEN s_suppkey % 4 <> 0 THEN 'info@site' || (s_suppkey % 50) || '.com' ELSE '' END AS email,
+    CASE WHEN s_suppkey % 23 = 1 THEN 'owner@yahoo.co.uk' WHEN s_suppkey % 23 = 2 THEN 'me@proton.me' WHEN s_suppkey % 4 <> 0 THEN 'info@site' || (s_suppkey % 50) || '.com' ELSE '' END AS email,
     CASE WHEN s_suppkey % 3 <> 0 THEN '619555' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') ELSE '' END AS phone,
     CASE WHEN s_suppkey % 4 = 1 THEN 'https://www.Site' || (s_suppkey % 50) || '.com/about' END AS website, (s_suppkey % 900) || ' Main St' AS address, s_suppkey % 7 <> 0 AS in_area
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON s_suppkey = p_partkey),
@@ -90,7 +90,7 @@ _SCORED = (
     + """icp AS (SELECT *, CAST(least(100, greatest(0, CASE segment WHEN 'property_manager' THEN 30 WHEN 'office_clinic' THEN 26 WHEN 'post_construction' THEN 24 WHEN 'restaurant_retail' THEN 22 WHEN 'str_host' THEN 20 ELSE 0 END
   + CASE WHEN annual_value >= 20000 THEN 22 WHEN annual_value >= 8000 THEN 15 WHEN annual_value > 0 THEN 8 WHEN visit_value >= 500 THEN 10 ELSE 0 END
   + CASE WHEN signal_type = 'permit_finaled' AND signal_days <= 14 THEN 20 WHEN signal_type = 'permit_finaled' AND signal_days <= 45 THEN 10 ELSE 0 END
-  + CASE WHEN signal_type = 'new_business' AND signal_days <= 60 THEN 14 ELSE 0 END + CASE WHEN email <> '' THEN 8 ELSE 0 END + CASE WHEN phone <> '' THEN 5 ELSE 0 END + CASE WHEN website IS NOT NULL THEN 5 ELSE 0 END
+  + CASE WHEN signal_type = 'new_business' AND signal_days <= 60 THEN 14 ELSE 0 END + CASE WHEN email <> '' AND NOT regexp_matches(lower(email), '@(gmail|yahoo|hotmail|outlook|aol|icloud|live|msn)\\.') THEN 8 ELSE 0 END + CASE WHEN phone <> '' THEN 5 ELSE 0 END + CASE WHEN website IS NOT NULL THEN 5 ELSE 0 END
   + CASE WHEN in_area THEN 8 ELSE -25 END + CASE WHEN confidence < 0.4 THEN -8 ELSE 0 END)) AS INT) AS icp_score FROM valued)
 """
 )
@@ -267,9 +267,9 @@ def ambiguous_key(spark, sf_dir):
     return j.select("id", F.when(F.col("n") > 1, "AMBIGUOUS").when(F.col("n") == 1, "FOUND").otherwise("MISSING").alias("status"))
 
 
-@query(_PROSPECTS + "e AS (SELECT id, phone <> '' AS ch, in_area, signal_type <> 'active_permit' AS official, id % 900 <> 0 AS adr, id % 4 + 1 AS old_rating, CASE WHEN id % 2 = 0 THEN 'NEW' ELSE 'QUALIFIED' END AS old_stage, id % 3 <> 0 AS old_area FROM v_prospects), s AS (SELECT *, CASE WHEN ch THEN 25 ELSE 0 END + CASE WHEN in_area THEN 15 ELSE 0 END + CASE WHEN official THEN 10 ELSE 0 END + CASE WHEN adr THEN 10 ELSE 0 END AS plan_score FROM e), r AS (SELECT *, CASE WHEN plan_score >= 70 THEN 4 WHEN plan_score >= 50 THEN 3 WHEN plan_score >= 30 THEN 2 ELSE 1 END AS rating, CASE WHEN ch THEN 'QUALIFIED' ELSE 'NEW' END AS stage FROM s) SELECT id, plan_score::INT AS plan_score, rating::INT AS rating, stage, concat_ws(',', CASE WHEN rating <> old_rating THEN 'rating' END, CASE WHEN stage <> old_stage THEN 'stage' END, CASE WHEN in_area <> old_area THEN 'area' END) AS changes, CASE WHEN rating <> old_rating OR stage <> old_stage OR in_area <> old_area THEN 'update' ELSE 'noop' END AS action FROM r")
+@query(_PROSPECTS + "e AS (SELECT id, phone <> '' AS ch, in_area, signal_type <> 'active_permit' AS official, id % 900 <> 0 AS adr, id % 4 + 1 AS old_rating, CASE WHEN id % 2 = 0 THEN 'NEW' ELSE 'QUALIFIED' END AS old_stage, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'San Diego' ELSE NULL END AS old_area, email, website, phone FROM v_prospects), s AS (SELECT *, CASE WHEN ch THEN 25 ELSE 0 END + CASE WHEN in_area THEN 15 ELSE 0 END + CASE WHEN official THEN 10 ELSE 0 END + CASE WHEN adr THEN 10 ELSE 0 END AS plan_score FROM e), r AS (SELECT *, CASE WHEN plan_score >= 70 THEN 4 WHEN plan_score >= 50 THEN 3 WHEN plan_score >= 30 THEN 2 ELSE 1 END AS rating, CASE WHEN ch THEN 'QUALIFIED' ELSE 'NEW' END AS stage FROM s) SELECT id, plan_score::INT AS plan_score, rating::INT AS rating, stage, concat_ws(',', CASE WHEN rating <> old_rating THEN 'rating' END, CASE WHEN stage <> old_stage THEN 'stage' END, CASE WHEN coalesce(old_area, '') = '' THEN 'area' END) AS changes, CASE WHEN rating <> old_rating OR stage <> old_stage OR coalesce(old_area, '') = '' THEN 'update' ELSE 'noop' END AS action FROM r")
 def enrich_plan(spark, sf_dir):
-    p = views.prospects(spark, sf_dir).selectExpr("id", "phone <> '' AS has_channel", "in_area", "signal_type <> 'active_permit' AS official", "id % 900 <> 0 AS has_address", "cast(id % 4 + 1 AS int) AS old_rating", "CASE WHEN id % 2 = 0 THEN 'NEW' ELSE 'QUALIFIED' END AS old_stage", "id % 3 <> 0 AS old_in_area")
+    p = views.prospects(spark, sf_dir).selectExpr("id", "phone <> '' AS has_channel", "in_area", "signal_type <> 'active_permit' AS official", "id % 900 <> 0 AS has_address", "cast(id % 4 + 1 AS int) AS old_rating", "CASE WHEN id % 2 = 0 THEN 'NEW' ELSE 'QUALIFIED' END AS old_stage", "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'San Diego' END AS service_area", "CASE WHEN id % 5 > 0 THEN 'office' END AS segment", "email", "website", "phone")
     return scoring.enrichment_plan(p).select("id", "plan_score", "rating", "stage", F.array_join("changes", ",").alias("changes"), "action")
 
 

@@ -76,13 +76,18 @@ def robots_decision(spark, sf_dir):
 
 def _inbound_sql() -> str:
     cases = " ".join(f"WHEN regexp_matches(t, '(?i)(?:^|[^A-Za-z0-9_])(?:{'|'.join(signals)})(?:[^A-Za-z0-9_]|$)') THEN '{name}'" for name, signals in catalog.INBOUND_SIGNALS)
-    return f"WITH m AS (SELECT conv_id, turn, coalesce(text, '') || CASE conv_id % 6 WHEN 0 THEN ' Please unsubscribe me, how much?' WHEN 1 THEN ' How much is it' WHEN 2 THEN ' send the invoice' WHEN 3 THEN ' requote' ELSE '' END AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE {cases} ELSE 'unrelated' END AS category FROM m"
+    return f"WITH m AS (SELECT conv_id, turn, coalesce(text, '') || CASE conv_id % 6 WHEN 0 THEN ' Please unsubscribe me, how much?' WHEN 1 THEN ' How much is it' WHEN 2 THEN ' send the invoice' WHEN 3 THEN ' requote' WHEN 4 THEN ' solicito cotización por favor' ELSE '' END AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE {cases} ELSE 'unrelated' END AS category FROM m"
+
+
+def inbound_messages(spark, sf_dir):
+    """Messages of users, some with one of the signals at the end."""
+    tail = "concat(coalesce(text, ''), CASE conv_id % 6 WHEN 0 THEN ' Please unsubscribe me, how much?' WHEN 1 THEN ' How much is it' WHEN 2 THEN ' send the invoice' WHEN 3 THEN ' requote' WHEN 4 THEN ' solicito cotización por favor' ELSE '' END)"
+    return views.messages(spark, sf_dir).selectExpr("conv_id", "turn", f"{tail} AS text")
 
 
 @query(_inbound_sql())
 def inbound_category(spark, sf_dir):
-    tail = "concat(coalesce(text, ''), CASE conv_id % 6 WHEN 0 THEN ' Please unsubscribe me, how much?' WHEN 1 THEN ' How much is it' WHEN 2 THEN ' send the invoice' WHEN 3 THEN ' requote' ELSE '' END)"
-    m = views.messages(spark, sf_dir).selectExpr("conv_id", "turn", f"{tail} AS text")
+    m = inbound_messages(spark, sf_dir)
     return m.select("conv_id", "turn", segments.inbound_category(F.col("text")).alias("category"))
 
 

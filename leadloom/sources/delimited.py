@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,17 +22,28 @@ def header_gap(actual: list[str], expected: list[str]) -> tuple[list[str], list[
 def read_register(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", banner_lines: int = 0) -> DataFrame:
     """Rows of a delimited register, all columns strings, and `_corrupt` with the whole text of ragged rows.
 
-    columns name the file's columns in its order. With banner lines the file is read as text, the
-    first lines and the header dropped by their position in it, and the rest parsed: fields then
-    can't contain line breaks. Without, quoted line breaks are part of a field.
+    The header is read and compared with `columns`, whatever their order and case: a column that is
+    missing is an error; others of the file are left out. With banner lines the file is read as
+    text, the first lines and the header dropped by their position in it, and the rest parsed: fields
+    then can't contain line breaks. Without, quoted line breaks are part of a field.
     """
-    kind = T.StructType([T.StructField(c.strip(), T.StringType()) for c in [*columns, CORRUPT]])
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": str(MAX_FIELD), "maxColumns": str(MAX_COLUMNS)}
+    top = spark.read.text(path).limit(banner_lines + 1).collect()
+    if len(top) <= banner_lines:
+        raise ValueError(f"{path} has no header")
+    header = [c.strip().lstrip("\ufeff").strip() for c in next(csv.reader([top[banner_lines][0]], delimiter=delimiter))]
+    missing, _ = header_gap(header, columns)
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    kind = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+    place = {c.lower(): k for k, c in enumerate(header)}
+    wanted = [F.col(f"`{header[place[c.strip().lower()]]}`").alias(c.strip()) for c in columns]
     if not banner_lines:
-        return spark.read.schema(kind).options(**options, header="true", multiLine="true", enforceSchema="true").csv(path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("n", "line"))
+        rows = spark.read.schema(kind).options(**options, header="true", multiLine="true", enforceSchema="true").csv(path)
+        return rows.select(*wanted, CORRUPT)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("n", "line"))
     body = lines.where((F.col("n") > banner_lines) & (F.trim("line") != ""))
-    return body.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in kind), options).alias("r")).select("r.*")
+    return body.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in kind), options).alias("r")).select("r.*").select(*wanted, CORRUPT)
 
 
 def closed(df: DataFrame, allowed: list[str]) -> DataFrame:

@@ -17,7 +17,10 @@ class _Page(InputPartition):
 
 
 class FeatureReader(DataSourceReader):
-    """Reads pages of `page_size` features up to `max_pages`; the fields are those of the schema, never all."""
+    """Reads pages of `pagesize` features, `maxpages` of them; the fields are those of the schema, never all.
+
+    Nothing is cut silently: a last page that says there is more, or one that is shorter than asked
+    for and says so, is an error."""
 
     def __init__(self, schema, options: dict):
         self.fields = [f.name for f in schema.fields]
@@ -41,6 +44,9 @@ class FeatureReader(DataSourceReader):
             raise
         if "error" in page:
             raise ValueError(f"the service answered with an error: {page['error']}")
+        more, n = page.get("exceededTransferLimit", False), len(page.get("features", []))
+        if more and (n < self.size or partition.offset + self.size >= self.pages * self.size):
+            raise ValueError(f"{self.url} has more than its pages give: raise maxpages above {self.pages}, or lower pagesize to {n or 1}")
         for feature in page.get("features", []):
             a = feature["attributes"]
             yield tuple(None if a.get(f) is None else str(a[f]) for f in self.fields)

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from leadloom.plans import events, leads, payloads, prospects, texts
+from leadloom.plans import events, leads, payloads, prospects, records, texts
 
-QUERIES = leads.QUERIES | prospects.QUERIES | texts.QUERIES | events.QUERIES | payloads.QUERIES
-ORACLES = leads.ORACLES | prospects.ORACLES | texts.ORACLES | events.ORACLES | payloads.ORACLES
+QUERIES = leads.QUERIES | prospects.QUERIES | texts.QUERIES | events.QUERIES | payloads.QUERIES | records.QUERIES
+ORACLES = leads.ORACLES | prospects.ORACLES | texts.ORACLES | events.ORACLES | payloads.ORACLES | records.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

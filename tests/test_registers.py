@@ -52,7 +52,7 @@ def test_building_permits(spark):
     cases = [
         (None, {}), ("inactive", {"APPROVAL_STATUS": "issued"}), ("unverifiable", {"APPROVAL_ISSUE_DATE": "2024-02-30"}), ("stale", {"APPROVAL_ISSUE_DATE": "2023-10-01"}), ("unverifiable", {"APPROVAL_ISSUE_DATE": "2024-02-01"}), ("unverifiable", {"APPROVAL_ID": ""}),
         ("unverifiable", {"JOB_BC_CODE_DESCRIPTION": None}), ("mixed_use_ambiguous", {"JOB_BC_CODE_DESCRIPTION": "Mixed"}), ("not_relevant", {"APPROVAL_TYPE": "Sign - Permanent"}), ("not_commercial", {"JOB_BC_CODE_DESCRIPTION": "Garage"}), ("residential", {"PROJECT_TITLE": "New ADU"}),
-        ("unverifiable", {"GIS_ADDRESS": ""}), ("unverifiable", {"GIS_ADDRESS": "1 B St [Pending]"}), ("residential", {"GIS_ADDRESS": "1 B St #4"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega - Ola Builders Inc"}), (None, {"APPROVAL_PERMIT_HOLDER": "Coastal Plumbing"}),
+        ("unverifiable", {"GIS_ADDRESS": ""}), ("unverifiable", {"GIS_ADDRESS": "1 B St [Pending]"}), ("residential", {"GIS_ADDRESS": "1 B St#4"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega - Ola Builders Inc"}), (None, {"APPROVAL_PERMIT_HOLDER": "Coastal Plumbing"}),
     ]
     run(spark, registers.building_permits, good, cases, as_of="2024-01-31", commercial=["Office"], ambiguous=["Mixed"])
 
