@@ -33,10 +33,16 @@ def allowance(day: Column, start: str | None, limit: int = catalog.DAILY_LIMIT)
     return F.least(F.lit(limit), catalog.WARMUP_START + catalog.WARMUP_STEP * F.greatest(F.lit(0), F.datediff(day, F.lit(start).cast("date"))))
 
 
-def within_budget(queue: DataFrame, start: str | None, *order: Column) -> DataFrame:
-    """queue (with a date `day`) with `sent`: whether the row is within its day's allowance."""
+def within_budget(queue: DataFrame, start: str | None, *order: Column, key: str = "id", limit: int = catalog.DAILY_LIMIT) -> DataFrame:
+    """queue (with a date `day` and a unique key) with `sent`: whether the row is within its day's allowance.
+
+    No day sends more than `limit`, so each task keeps that many rows of a day at most before they
+    meet; only their keys are joined back.
+    """
     rank = F.row_number().over(Window.partitionBy("day").orderBy(*order))
-    return queue.withColumn("sent", rank <= allowance(F.col("day"), start))
+    first = queue.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    first = first.where(F.col("_rank") <= allowance(F.col("day"), start, limit)).select(key, F.lit(True).alias("_sent"))
+    return queue.join(first, key, "left").withColumn("sent", F.coalesce("_sent", F.lit(False))).drop("_sent")
 
 
 def in_send_hours(ts: Column, zone: str = "America/Los_Angeles", first: int = 8, last: int = 20) -> Column:
