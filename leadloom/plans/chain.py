@@ -39,3 +39,8 @@ def case_map(c: Column, mapping: dict, default=None) -> Column:
     for k, v in reversed(mapping.items()):
         out = F.when(c == k, F.lit(v)).otherwise(out)
     return out
+
+
+def computed_once(df, *names: str):
+    """df with the named columns behind a generator: expressions that use them several times don't repeat their work."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, money, text
 from ..operators import kpi, pricing, scoring, views
+from .chain import computed_once
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +60,8 @@ def query(oracle: str | None = None):
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_leads(pricing.with_quote(views.leads(spark, sf_dir)), views.LEADS_AS_OF)
+    quoted = computed_once(pricing.with_quote(views.leads(spark, sf_dir)), "quote_price", "annual_value")
+    return scoring.score_leads(quoted, views.LEADS_AS_OF)
 
 
 @query(_LEADS + "SELECT segment, count(*) AS leads, sum(quote_price)::BIGINT AS pipeline, sum(annual_value)::BIGINT AS annual, floor(avg(score) + 0.5)::BIGINT AS avg_score, count(*) FILTER (status = 'won') AS won, count(*) FILTER (temperature = 'hot') AS hot FROM scored GROUP BY segment")

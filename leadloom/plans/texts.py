@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import contact, keys, text
 from ..operators import segments, views, web
 from ..plans import catalog
+from .chain import computed_once
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +50,8 @@ def emails_extracted(spark, sf_dir):
 
 @query(_FOUND + ", s AS (SELECT *, CASE WHEN regexp_replace(split_part(e, '@', 2), '^www\\.', '') = regexp_replace(host, '^www\\.', '') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(e, '^(?:info|hello|contact|admin|office|hola|contacto|ventas|sales)@') THEN 4 ELSE 0 END - CASE WHEN regexp_matches(e, '^(?:support|help|jobs|careers|privacy|legal|press|media)@') THEN 3 ELSE 0 END AS score FROM ok) SELECT page_id, arg_min(e, (-score, i)) AS best FROM s GROUP BY page_id")
 def emails_ranked(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.get(contact.ranked_emails(F.col("html"), F.col("host")), F.lit(0)).alias("best")).where("best IS NOT NULL")
+    best = _pages(spark, sf_dir).select("page_id", F.get(contact.ranked_emails(F.col("html"), F.col("host")), F.lit(0)).alias("best"))
+    return computed_once(best, "best").where("best IS NOT NULL")
 
 
 @query(_PAGES + ", t AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM p) SELECT page_id, CASE WHEN regexp_matches(t, '(?:\\+?1[-.\\s]?)?\\(?([2-9]\\d{2})\\)?[-.\\s]?(\\d{3})[-.\\s]?(\\d{4})') THEN '+1' || regexp_extract(t, '(?:\\+?1[-.\\s]?)?\\(?([2-9]\\d{2})\\)?[-.\\s]?(\\d{3})[-.\\s]?(\\d{4})', 1) || regexp_extract(t, '(?:\\+?1[-.\\s]?)?\\(?([2-9]\\d{2})\\)?[-.\\s]?(\\d{3})[-.\\s]?(\\d{4})', 2) || regexp_extract(t, '(?:\\+?1[-.\\s]?)?\\(?([2-9]\\d{2})\\)?[-.\\s]?(\\d{3})[-.\\s]?(\\d{4})', 3) ELSE '' END AS phone FROM t")
