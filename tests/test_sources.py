@@ -71,3 +71,41 @@ def test_sealed(spark, tmp_path):
     rows = spark.read.parquet(f"{p}/rows").collect()
     spark.createDataFrame([r if r["id"] == 1 else (3, "forged", r["row_hash"]) for r in rows], "id int, name string, row_hash string").write.mode("overwrite").parquet(f"{p}/rows")
     assert "seal" in sealed.check_sealed(spark, p, "county", "2024-01-31 12:00:00").first()["problems"]
+
+
+def test_register_columns_go_by_name(spark, tmp_path):
+    import pytest
+
+    from leadloom.sources.delimited import read_register
+
+    path = tmp_path / "swapped.csv"
+    path.write_text('B,a,more\n1,2,x\n"3\n4",5,y\n')
+    assert [(r["a"], r["b"]) for r in read_register(spark, str(path), ["a", "b"]).collect()] == [("2", "1"), ("5", "3\n4")]
+    with pytest.raises(ValueError):
+        read_register(spark, str(path), ["a", "c"])
+
+
+def test_pages_never_end_silently(tmp_path):
+    import json
+
+    import pytest
+    from pyspark.sql import types as T
+
+    from leadloom.sources.paged import FeatureReader
+
+    kind = T.StructType([T.StructField("k", T.StringType())])
+    (tmp_path / "0.json").write_text(json.dumps({"features": [{"attributes": {"k": 1}}, {"attributes": {"k": 2}}], "exceededTransferLimit": True}))
+    (tmp_path / "2.json").write_text(json.dumps({"features": [{"attributes": {"k": 3}}]}))
+    pages = lambda n, size: [list(r.read(p)) for r in [FeatureReader(kind, {"url": f"file://{tmp_path}", "pagesize": size, "maxpages": n})] for p in r.partitions()]
+    assert pages(3, 2) == [[("1",), ("2",)], [("3",)], []]
+    for n, size in ((1, 2), (3, 4)):
+        with pytest.raises(ValueError):
+            pages(n, size)
+
+
+def test_blank_proposals_change_nothing(spark):
+    from leadloom.operators import resolve
+
+    old = spark.createDataFrame([(1, "a", 5)], "id int, t string, n int")
+    new = spark.createDataFrame([(1, " ", None), (2, "b", 3)], "id int, t string, n int")
+    assert sorted(map(tuple, resolve.apply_plan(old, new, "id", ["t", "n"]).collect())) == [(1, "a", 5), (2, "b", 3)]
