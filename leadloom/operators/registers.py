@@ -1,4 +1,4 @@
-"""Rule sets of five public registers: which rows are businesses that can be shown to be so, and why others aren't.
+"""Rule sets of six public registers: which rows are businesses that can be shown to be so, and why others aren't.
 
 Each takes a DataFrame of string columns and gives it with kind and reason (null for accepted rows).
 Missing columns' values are nulls and count as blank. Lists and limits are parameters.
@@ -11,36 +11,59 @@ from pyspark.sql import functions as F
 
 from ..functions.contact import zip_in_ranges
 from ..functions.keys import is_owner_name
-from ..functions.text import any_of, word
 from ..plans import catalog
 from ..plans.chain import verdict
 from .segments import sector, sector_segment
 
-# Wordings that decide.
-HOME_WORDINGS = [r"(?i)microenterprise\s+home\s+kitchen", word("mhko"), r"(?i)home\s+kitchen", r"(?i)cottage\s+food", word("residential"), word("residence"), r"(?i)private\s+home"]
-UNIT_ADDRESS = [word(r"p\.?\s?o\.?\s*box"), word("pmb"), word("apt"), r"(?i)(?<![A-Za-z0-9_])apartment\s+\d", word(r"unit\s*[0-9a-z]*"), r"(?<=[A-Za-z0-9_])#\s*\d+(?![A-Za-z0-9_])", word("spc|space")]
-NOT_COMMERCIAL_ADDRESS = [*UNIT_ADDRESS, word(r"private\s+mail"), word("apartment"), word(r"mobile\s+home"), word("trailer"), word("residence|residential")]
-PERSON_SHAPES = [r"^\p{Lu}[\p{L}'’-]+\s*,\s*\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+)?$", r"^\p{Lu}[\p{L}'’-]+\s+\p{Lu}\.?\s+\p{Lu}[\p{L}'’-]+$", r"(?i)(?<![A-Za-z0-9_])(?:jr|sr|iii|iv|md|dds|dmd|do|esq)\.?$"]
-TWO_NAMES = r"^\p{Lu}[\p{L}'’-]+\s+\p{Lu}[\p{L}'’-]+$"
-BUSINESS_WORDS = word(
-    "inc|llc|l\\.l\\.c|corp|co|company|ltd|group|holdings|enterprises|partners|restaurant|taqueria|taquería|cafe|café|coffee|market|deli|bakery|panaderia|panadería|pizza|grill|bar|kitchen|catering|"
-    "caterer|foods?|services?|school|hospital|center|centre|store|shop|mart|liquor|hotel|motel|club|association|church|university|college|district|county|city"
+# Patterns that decide, a table for each rule, whatever the case unless said otherwise.
+HOME_WORDINGS = [r"microenterprise\s+home\s+kitchen", r"\bmhko\b", r"home\s+kitchen", r"cottage\s+food", r"\bresidential\b", r"\bresidence\b", r"private\s+home"]
+ONE_DWELLING = [r"\bp\.?\s?o\.?\s*box\b", r"\bpmb\b", r"\bapt\b|\bapartment\s+\d", r"\bunit\s*[0-9a-z]*\b", r"\b#\s*\d+\b", r"\bspc\b|\bspace\b"]
+NOT_COMMERCIAL_ADDRESS = [
+    r"\bp\.?\s?o\.?\s*box\b", r"\bpmb\b", r"\bprivate\s+mail\b", r"\bapt\b|\bapartment\b", r"\bunit\s*[0-9a-z]*\b", r"\b#\s*\d+\b", r"\bspc\b|\bspace\b", r"\bmobile\s+home\b", r"\btrailer\b",
+    r"\bresidence\b|\bresidential\b",
+]
+NOT_INSTITUTIONAL = [r"single\s*family|vacant|land|mobile\s*home|duplex|triplex"]
+NO_SCHOOL = [r"^no\s*data$", r"^no\s*school$", r"^n/?a$", r"^none$", r"^\s*$"]
+HOME_BASED = [r"family\s+child\s+care\s+home", r"\bfcch\b", r"child\s+care\s+home", r"home[-\s]?based", r"in[-\s]?home", r"\bresiden(ce|tial)\b"]
+PERMIT_HOME = [
+    r"\bresidential?\b", r"\bsingle[-\s]?family\b", r"\bmulti[-\s]?family\b", r"\bduplex\b|\btriplex\b", r"\bapartments?\b", r"\bcondo(minium)?s?\b", r"\btownhomes?\b|\btownhouses?\b", r"\bdwelling\b",
+    r"\bsdu\b", r"\badu\b", r"\bjadu\b", r"\bcompanion\s+unit\b", r"\baccessory\s+(dwelling|apt)\b",
+]
+SIGNS = [r"\bsigns?\s*-\s*(permanent|temporary)\b", r"\bsign\s+p(er)?mt\b"]
+NOT_A_PREMISE = [r"\bp\.?\s?o\.?\s*box\b", r"\bpost\s+office\s+box\b", r"\bpmb\b", r"^\s*(?:none|n/?a|unknown|same)\s*$"]
+LICENSE_HOME = [r"\bapt\b|\bapartment\s+\d", r"\bresiden(ce|tial)\b", r"\bmobile\s*home\b", r"\btrailer\b"]
+SURNAME_FIRST = r"^[\p{Lu}][\p{L}'’-]+\s*,\s*[\p{Lu}][\p{L}'’-]+(\s+[\p{Lu}][\p{L}'’-]+)?$"  # as written
+INITIAL_BETWEEN = r"^[\p{Lu}][\p{L}'’-]+\s+[\p{Lu}]\.?\s+[\p{Lu}][\p{L}'’-]+$"  # as written
+TWO_NAMES = r"^[\p{Lu}][\p{L}'’-]+\s+[\p{Lu}][\p{L}'’-]+$"  # as written
+PERSON_SUFFIX = r"\b(jr|sr|iii|iv|md|dds|dmd|do|esq)\.?$"
+PERMIT_PERSON = [r"\b(jr|sr|iii|iv)\.?$", r"\bdba\s*:?\s*$"]
+BUSINESS_WORDS = (
+    r"\b(inc|llc|l\.l\.c|corp|co|company|ltd|group|holdings|enterprises|partners|restaurant|taqueria|taquería|cafe|café|coffee|market|deli|bakery|panaderia|panadería|pizza|grill|bar|kitchen|catering|"
+    r"caterer|foods?|services?|school|hospital|center|centre|store|shop|mart|liquor|hotel|motel|club|association|church|university|college|district|county|city)\b"
 )
-ENTITY_WORDS = word(
-    "inc|incorporated|llc|l\\.l\\.c|llp|lp|plc|pc|corp|corporation|co|company|ltd|limited|group|holdings?|enterprises?|partners?|associates?|services?|systems?|solutions?|properties|apartments?|villas?|"
-    "manor|plaza|center|centre|centro|hospital|clinic|medical|health|care|hospice|surgery|laboratory|pharmacy|school|university|college|church|foundation|trust\\s+co|authority|district|village|terrace|"
-    "gardens?|towers?|commons|residences|housing|senior|living|construction|builders?|contracting|contractors?|electric|plumbing|roofing|mechanical|industries"
+ENTITY_WORDS = (
+    r"\b(inc|incorporated|llc|l\.l\.c|llp|lp|plc|pc|corp|corporation|co|company|ltd|limited|group|holdings?|enterprises?|partners?|associates?|services?|systems?|solutions?|properties|apartments?|villas?|"
+    r"manor|plaza|center|centre|centro|hospital|clinic|medical|health|care|hospice|surgery|laboratory|pharmacy|school|university|college|church|foundation|trust\s+co|authority|district|village|terrace|"
+    r"gardens?|towers?|commons|residences|housing|senior|living|construction|builders?|contracting|contractors?|electric|plumbing|roofing|mechanical|industries)\b"
 )
-LEGAL_SUFFIX = r"(?i)[\s,.](?:l\.?l\.?c|l\.?l\.?p|l\.?p|p\.?c|p\.?l\.?l\.?c|inc|incorporated|corp|corporation|co|company|ltd|limited|partnership)\.?$"
-ACTIVITY_WORDS = word(
-    "construction|contracting|contractors?|builders?|building|development|developers?|properties|realty|group|enterprises?|industries|services|systems|solutions|electric(?:al)?|plumbing|roofing|mechanical|"
-    "hvac|engineering|architects|interiors|restaurant|hospitality|brewing|coffee|market|retail|hotel|motel|clinic|dental|medical|laboratories|logistics|storage|automotive|manufacturing"
+LEGAL_SUFFIX = r"[\s,.](l\.?l\.?c|l\.?l\.?p|l\.?p|p\.?c|p\.?l\.?l\.?c|inc|incorporated|corp|corporation|co|company|ltd|limited|partnership)\.?$"
+ACTIVITY_WORDS = (
+    r"\b(construction|contracting|contractors?|builders?|building|development|developers?|properties|realty|group|enterprises?|industries|services|systems|solutions|electric(?:al)?|plumbing|roofing|mechanical|"
+    r"hvac|engineering|architects|interiors|restaurant|hospitality|brewing|coffee|market|retail|hotel|motel|clinic|dental|medical|laboratories|logistics|storage|automotive|manufacturing)\b"
 )
-SCHOOL_WORDS = r"(?i)school|academy|elementary|middle|high|college|institute|center|centre|preschool|kinder|campus|charter|education"
-HOME_BASED = [r"(?i)family\s+child\s+care\s+home", word("fcch"), r"(?i)child\s+care\s+home", r"(?i)home[-\s]?based", r"(?i)in[-\s]?home", word("residen(?:ce|tial)")]
-PERMIT_HOME = [word(r"residential?|single[-\s]?family|multi[-\s]?family|duplex|triplex|apartments?|condo(?:minium)?s?|townhomes?|townhouses?|dwelling|sdu|adu|jadu|companion\s+unit|accessory\s+(?:dwelling|apt)")]
-SIGNS = [word(r"signs?\s*-\s*(?:permanent|temporary)|sign\s+p(?:er)?mt")]
-NAME_SEPARATOR = r"(?i)\s*[/|]\s*|\s+-\s+|\s*(?<![A-Za-z0-9_])(?:and|&)(?![A-Za-z0-9_])\s*"
+SCHOOL_WORDS = r"school|academy|elementary|middle|high|college|institute|center|centre|preschool|kinder|campus|charter|education"
+NAME_SEPARATOR = r"\s*[/|]\s*|\s+-\s+|\s*\b(?:and|&)\b\s*"
+
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def java(*patterns: str, case: bool = False) -> str:
+    r"""All patterns as one, so that a text is read once; \b is an edge of ASCII words, as Java's own counts accented letters, too."""
+    return ("" if case else "(?i)") + "|".join(f"(?:{p})" for p in patterns).replace(r"\b", _EDGE)
+
+
+def says(c: Column, *patterns: str, case: bool = False) -> Column:
+    return c.rlike(java(*patterns, case=case))
 
 
 def _v(name: str) -> Column:
@@ -56,19 +79,23 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"[.,\s]+$", "")
 
 
+def _shaped(n: Column) -> Column:
+    return says(n, SURNAME_FIRST, INITIAL_BETWEEN, case=True) | says(n, PERSON_SUFFIX)
+
+
 def is_person(name: Column, exceptions: list[str]) -> Column:
     """Whether a name has a person's shape, or is two names without a word of business."""
     n = _bare(name)
-    return any_of(n, PERSON_SHAPES) | (n.rlike(TWO_NAMES) & ~any_of(n, exceptions))
+    return _shaped(n) | (n.rlike(TWO_NAMES) & ~says(n, *exceptions))
 
 
 def is_organization(name: Column) -> Column:
-    return F.trim(name).rlike(ENTITY_WORDS)
+    return says(F.trim(name), ENTITY_WORDS)
 
 
 def _mixed(name: Column, exceptions: list[str]) -> Column:
     """Whether one of several parts of a name is a person."""
-    parts = F.filter(F.split(F.trim(name), NAME_SEPARATOR), lambda p: p != "")
+    parts = F.filter(F.split(F.trim(name), java(NAME_SEPARATOR)), lambda p: p != "")
     return (F.size(parts) > 1) & F.exists(parts, lambda p: is_person(p, exceptions))
 
 
@@ -76,14 +103,14 @@ def holder_tier(name: Column) -> Column:
     """1 for a legal suffix, 2 for a word of business, null for persons, mixtures and anything else."""
     n = _bare(F.coalesce(name, F.lit("")))
     person = _mixed(n, [ACTIVITY_WORDS]) | is_person(n, [ACTIVITY_WORDS])
-    return F.when((n == "") | person, None).when(n.rlike(LEGAL_SUFFIX), 1).when(n.rlike(ACTIVITY_WORDS), 2)
+    return F.when((n == "") | person, None).when(says(n, LEGAL_SUFFIX), 1).when(says(n, ACTIVITY_WORDS), 2)
 
 
 def trade_name(trade: Column, holder: Column) -> Column:
     """The trade name unless it is a person's; else the holder if it is marked as an entity; else null."""
     words = [ACTIVITY_WORDS, ENTITY_WORDS]
     t, h = _bare(F.coalesce(trade, F.lit(""))), _bare(F.coalesce(holder, F.lit("")))
-    own = (h != "") & ~_mixed(h, words) & ~is_person(h, words) & h.rlike(ENTITY_WORDS)
+    own = (h != "") & ~_mixed(h, words) & ~is_person(h, words) & says(h, ENTITY_WORDS)
     return F.when((t != "") & ~is_person(t, words), t).when(own, h)
 
 
@@ -96,16 +123,18 @@ def is_active(flag: Column, flags: list[str], status: Column, excluded: list[str
 
 
 def food_permits(df: DataFrame, flags=("A",), excluded=("Expired",), allowed=("Issued", "Permit Renewed")) -> DataFrame:
-    df = _with(df, ["record_id", "record_name", "permit_status", "active_permit", "business_type", "address", "zip"])
+    names = ["record_id", "record_name", "permit_status", "active_permit", "business_type", "address", "zip"]
+    df = _with(df, names)
     home = F.lit(False)
     for c in ("business_type", "record_name", "permit_status", "address"):
-        home = home | any_of(_v(c), HOME_WORDINGS)
+        home = home | says(_v(c), *HOME_WORDINGS)
     blank = (_v("record_name") == "") | (_v("address") == "") | ~_v("zip").rlike(r"^\d{5}") | (_v("business_type") == "")
-    person = any_of(_v("record_name"), [PERSON_SHAPES[0], r"(?i)(?<![A-Za-z0-9_])(?:jr|sr|iii|iv)\.?$", r"(?i)(?<![A-Za-z0-9_])dba\s*:?\s*$"]) & ~_v("record_name").rlike(BUSINESS_WORDS)
+    name = _v("record_name")
+    person = (says(name, SURNAME_FIRST, case=True) | says(name, *PERMIT_PERSON)) & ~says(name, BUSINESS_WORDS)
     return verdict(
         df,
         [
-            ("invalid", "no record", _v("record_id") == ""),
+            ("invalid", "no record", F.coalesce(*[F.col(n) for n in names]).isNull()),
             ("residential", "a home", home),
             ("inactive", "not active", ~is_active(_v("active_permit"), list(flags), _v("permit_status"), list(excluded), list(allowed))),
             ("unverifiable", "incomplete", blank),
@@ -140,7 +169,7 @@ def city_certificates(df: DataFrame, as_of: str, city: str = r"(?i)san\s*diego")
             ("unverifiable", "industry sector", F.col("segment").isNull()),
             ("unverifiable", "address incomplete", (_v("address_no") == "") | (_v("address_road") == "") | (_v("address_city") == "") | ~F.substring(_v("address_zip"), 1, 5).rlike(r"^\d{5}$")),
             ("unverifiable", "other city", ~_v("address_city").rlike(city)),
-            ("residential", "not a commercial address", any_of(full, NOT_COMMERCIAL_ADDRESS) | any_of(_v("dba_name"), NOT_COMMERCIAL_ADDRESS)),
+            ("residential", "not a commercial address", says(full, *NOT_COMMERCIAL_ADDRESS) | says(_v("dba_name"), *NOT_COMMERCIAL_ADDRESS)),
         ],
     )
     return out.drop("business_owner_name")
@@ -148,7 +177,9 @@ def city_certificates(df: DataFrame, as_of: str, city: str = r"(?i)san\s*diego")
 
 def multifamily(df: DataFrame, cities: list[str], state: str = "CA", min_units: int = 5, ranges=tuple(catalog.COUNTY_ZIP_RANGES)) -> DataFrame:
     df = _with(df, ["PROPERTY_ID", "PROPERTY_NAME_TEXT", "TOTAL_UNIT_COUNT", "PROPERTY_CATEGORY_NAME", "STD_ADDR", "STD_CITY", "STD_ST", "STD_ZIP5"])
-    units, postal = _v("TOTAL_UNIT_COUNT").try_cast("double"), F.substring(_v("STD_ZIP5"), 1, 5)
+    count = _v("TOTAL_UNIT_COUNT")
+    units = F.when(count == "", 0.0).when(count.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), count.try_cast("double"))
+    postal = F.substring(_v("STD_ZIP5"), 1, 5)
     inside = F.lower(_v("STD_CITY")).isin([c.lower() for c in cities]) | zip_in_ranges(postal, list(ranges))
     return verdict(
         df,
@@ -156,10 +187,10 @@ def multifamily(df: DataFrame, cities: list[str], state: str = "CA", min_units:
             ("out_of_area", "state", F.upper(_v("STD_ST")) != state),
             ("unverifiable", "units", units.isNull()),
             ("residential", "too few units", units < min_units),
-            ("residential", "category", _v("PROPERTY_CATEGORY_NAME").rlike(r"(?i)single\s*family|vacant|land|mobile\s*home|duplex|triplex")),
+            ("residential", "category", says(_v("PROPERTY_CATEGORY_NAME"), *NOT_INSTITUTIONAL)),
             ("out_of_area", "city and zip", ~inside),
             ("unverifiable", "address", (_v("STD_ADDR") == "") | (_v("STD_CITY") == "") | ~postal.rlike(r"^\d{5}$")),
-            ("residential", "one dwelling", any_of(_v("STD_ADDR"), UNIT_ADDRESS)),
+            ("residential", "one dwelling", says(_v("STD_ADDR"), *ONE_DWELLING)),
             ("unverifiable", "no id", _v("PROPERTY_ID") == ""),
             ("personal", "not an organization", ~is_organization(_v("PROPERTY_NAME_TEXT"))),
         ],
@@ -175,13 +206,13 @@ def schools(df: DataFrame, county: str = "San Diego", status: str = "Active") ->
         [
             ("out_of_area", "county", F.lower(_v("County")) != county.lower()),
             ("inactive", "status", F.lower(_v("StatusType")) != status.lower()),
-            ("unverifiable", "not a school", name.rlike(r"(?i)^(?:no\s*data|no\s*school|n/?a|none|\s*)$")),
-            ("residential", "home-based", any_of(everywhere, HOME_BASED)),
+            ("unverifiable", "not a school", says(name, *NO_SCHOOL)),
+            ("residential", "home-based", says(everywhere, *HOME_BASED)),
             ("unverifiable", "virtual", _v("Virtual").rlike(r"(?i)^y(?:es)?$")),
             ("unverifiable", "address", (_v("Street") == "") | (_v("City") == "") | ~postal.rlike(r"^\d{5}$")),
-            ("residential", "one dwelling", any_of(_v("Street"), UNIT_ADDRESS)),
+            ("residential", "one dwelling", says(_v("Street"), *ONE_DWELLING)),
             ("unverifiable", "no code", _v("CDSCode") == ""),
-            ("personal", "not an institution", ~(is_organization(name) | name.rlike(SCHOOL_WORDS))),
+            ("personal", "not an institution", ~(is_organization(name) | says(name, SCHOOL_WORDS))),
         ],
     )
 
@@ -205,12 +236,12 @@ def building_permits(df: DataFrame, as_of: str, commercial: list[str], ambiguous
             ("unverifiable", "no id", _v("APPROVAL_ID") == ""),
             ("unverifiable", "no class", kind == ""),
             ("mixed_use_ambiguous", "class", kind.isin(ambiguous)),
-            ("not_relevant", "a sign", any_of(kind, SIGNS) | any_of(_v("APPROVAL_TYPE"), SIGNS)),
+            ("not_relevant", "a sign", says(kind, *SIGNS) | says(_v("APPROVAL_TYPE"), *SIGNS)),
             ("not_commercial", "class", ~kind.isin(commercial)),
-            ("residential", "scope", any_of(scope, PERMIT_HOME)),
+            ("residential", "scope", says(scope, *PERMIT_HOME)),
             ("unverifiable", "no address", _v("GIS_ADDRESS") == ""),
             ("unverifiable", "address pending", _v("GIS_ADDRESS").rlike(r"(?i)\[pending\]")),
-            ("residential", "one dwelling", any_of(_v("GIS_ADDRESS"), UNIT_ADDRESS)),
+            ("residential", "one dwelling", says(_v("GIS_ADDRESS"), *ONE_DWELLING)),
             ("personal", "holder", F.col("holder_tier").isNull()),
         ],
     )
@@ -231,8 +262,8 @@ def active_licenses(df: DataFrame, types: list[str], county: str = "SAN DIEGO",
             ("not_relevant", "type", ~F.col("license_type").isin(types)),
             ("unverifiable", "no file number", _v("File Number") == ""),
             ("unverifiable", "address", (street == "") | (_v("Prem City") == "") | ~F.substring(_v("Prem Zip"), 1, 5).rlike(r"^\d{5}$")),
-            ("unverifiable", "not a premise", any_of(street, [word(r"p\.?\s?o\.?\s*box|post\s+office\s+box|pmb"), r"(?i)^\s*(?:none|n/?a|unknown|same)\s*$"])),
-            ("residential", "a dwelling", any_of(street, [word(r"apt|apartment\s+\d+|residen(?:ce|tial)|mobile\s*home|trailer")])),
+            ("unverifiable", "not a premise", says(street, *NOT_A_PREMISE)),
+            ("residential", "a dwelling", says(street, *LICENSE_HOME)),
             ("personal", "name", F.col("business_name").isNull()),
         ],
     )

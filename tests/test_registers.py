@@ -15,7 +15,7 @@ def run(spark, f, good, cases, **kw):
 
 def test_food_permits(spark):
     good = {"record_id": "1", "record_name": "Ola Grill", "permit_status": "Issued", "active_permit": "a", "business_type": "Restaurant", "address": "1 Main St", "zip": "92101-1"}
-    run(spark, registers.food_permits, good, [(None, {}), ("invalid", {"record_id": None}), ("residential", {"business_type": "Microenterprise Home Kitchen"}), ("inactive", {"permit_status": "expired"}), ("inactive", {"active_permit": "B"}), ("unverifiable", {"zip": "9210"}), ("unverifiable", {"record_name": "Vega, Luz"}), (None, {"record_name": "Vega, Luz Inc"})])
+    run(spark, registers.food_permits, good, [(None, {}), ("invalid", dict.fromkeys(good)), (None, {"record_id": None}), ("residential", {"business_type": "Microenterprise Home Kitchen"}), ("inactive", {"permit_status": "expired"}), ("inactive", {"active_permit": "B"}), ("unverifiable", {"zip": "9210"}), ("unverifiable", {"record_name": "Vega, Luz"}), (None, {"record_name": "Vega, Luz Inc"})])
 
 
 def test_city_certificates(spark):
@@ -32,7 +32,7 @@ def test_city_certificates(spark):
 def test_multifamily(spark):
     good = dict(PROPERTY_ID="7", PROPERTY_NAME_TEXT="Palm Villas", TOTAL_UNIT_COUNT="40", PROPERTY_CATEGORY_NAME="Insured", STD_ADDR="1 Palm Ave", STD_CITY="Chula Vista", STD_ST="CA", STD_ZIP5="91910")
     cases = [
-        (None, {}), ("out_of_area", {"STD_ST": "NV"}), ("unverifiable", {"TOTAL_UNIT_COUNT": "many"}), ("residential", {"TOTAL_UNIT_COUNT": "4"}), ("residential", {"PROPERTY_CATEGORY_NAME": "Single Family"}), ("out_of_area", {"STD_CITY": "Elsewhere", "STD_ZIP5": "90001"}),
+        (None, {}), ("out_of_area", {"STD_ST": "NV"}), ("unverifiable", {"TOTAL_UNIT_COUNT": "many"}), ("residential", {"TOTAL_UNIT_COUNT": "4"}), ("residential", {"TOTAL_UNIT_COUNT": None}), ("residential", {"PROPERTY_CATEGORY_NAME": "Single Family"}), ("out_of_area", {"STD_CITY": "Elsewhere", "STD_ZIP5": "90001"}),
         (None, {"STD_CITY": "Elsewhere", "STD_ZIP5": "91910"}), ("unverifiable", {"STD_ADDR": None}), ("residential", {"STD_ADDR": "1 Palm Ave Unit 3"}), ("unverifiable", {"PROPERTY_ID": ""}), ("personal", {"PROPERTY_NAME_TEXT": "Vega, Luz"}),
     ]
     run(spark, registers.multifamily, good, cases, cities=["Chula Vista"])
@@ -52,7 +52,7 @@ def test_building_permits(spark):
     cases = [
         (None, {}), ("inactive", {"APPROVAL_STATUS": "issued"}), ("unverifiable", {"APPROVAL_ISSUE_DATE": "2024-02-30"}), ("stale", {"APPROVAL_ISSUE_DATE": "2023-10-01"}), ("unverifiable", {"APPROVAL_ISSUE_DATE": "2024-02-01"}), ("unverifiable", {"APPROVAL_ID": ""}),
         ("unverifiable", {"JOB_BC_CODE_DESCRIPTION": None}), ("mixed_use_ambiguous", {"JOB_BC_CODE_DESCRIPTION": "Mixed"}), ("not_relevant", {"APPROVAL_TYPE": "Sign - Permanent"}), ("not_commercial", {"JOB_BC_CODE_DESCRIPTION": "Garage"}), ("residential", {"PROJECT_TITLE": "New ADU"}),
-        ("unverifiable", {"GIS_ADDRESS": ""}), ("unverifiable", {"GIS_ADDRESS": "1 B St [Pending]"}), ("residential", {"GIS_ADDRESS": "1 B St#4"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega - Ola Builders Inc"}), (None, {"APPROVAL_PERMIT_HOLDER": "Coastal Plumbing"}),
+        ("unverifiable", {"GIS_ADDRESS": ""}), ("unverifiable", {"GIS_ADDRESS": "1 B St [Pending]"}), ("residential", {"GIS_ADDRESS": "1 B St#4"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega - Ola Builders Inc"}), (None, {"APPROVAL_PERMIT_HOLDER": "Coastal Plumbing"}), (None, {"GIS_ADDRESS": "1 B St #4"}), (None, {"APPROVAL_PERMIT_HOLDER": "Luz Vega & Ola LLC"}), ("personal", {"APPROVAL_PERMIT_HOLDER": "Luz Vega&Ola LLC"}),
     ]
     run(spark, registers.building_permits, good, cases, as_of="2024-01-31", commercial=["Office"], ambiguous=["Mixed"])
 
@@ -61,6 +61,15 @@ def test_active_licenses(spark):
     good = {"License Type": "41", "File Number": "9", "Type Status": "active", "Primary Name": "VEGA, LUZ", "DBA Name": "Ola Restaurant", "Prem Addr 1": "1 B St", "Prem Addr 2": "", "Prem City": "San Diego", "Prem State": "CA", "Prem Zip": "92101", "Prem County": "San Diego"}
     cases = [
         (None, {}), ("out_of_area", {"Prem County": "KERN"}), ("out_of_area", {"Prem State": "NV"}), ("inactive", {"Type Status": "SUREND"}), ("not_relevant", {"License Type": "99"}), (None, {"License Type": "7"}), ("unverifiable", {"File Number": None}), ("unverifiable", {"Prem Zip": ""}),
-        ("unverifiable", {"Prem Addr 1": "PO Box 7"}), ("residential", {"Prem Addr 2": "Apt 4"}), ("personal", {"DBA Name": "Luz Vega", "Primary Name": "Vega, Luz"}), (None, {"DBA Name": "Luz Vega", "Primary Name": "Ola Holdings LLC"}), ("personal", {"DBA Name": "", "Primary Name": "Luz Vega / Ola LLC"}),
+        ("unverifiable", {"Prem Addr 1": "PO Box 7"}), ("residential", {"Prem Addr 2": "Apt 4"}), ("residential", {"Prem Addr 2": "Apartment 12B"}), ("personal", {"DBA Name": "Luz Vega", "Primary Name": "Vega, Luz"}), (None, {"DBA Name": "Luz Vega", "Primary Name": "Ola Holdings LLC"}), ("personal", {"DBA Name": "", "Primary Name": "Luz Vega / Ola LLC"}),
     ]
     run(spark, registers.active_licenses, good, cases, types=["41", "07"])
+
+
+def test_the_queries_meet_every_rule(spark, sf_dir):
+    from leadloom.plans.registers import QUERIES
+
+    reasons = {"register_food_permits": 4, "register_city_certificates": 15, "register_multifamily": 9, "register_schools": 9, "register_building_permits": 14, "register_licenses": 9}
+    for name, n in reasons.items():
+        kinds = QUERIES[name](spark, sf_dir).groupBy("kind", "reason").count().collect()
+        assert len({(r["kind"], r["reason"]) for r in kinds if r["kind"]}) == n and any(r["kind"] is None for r in kinds), name
