@@ -65,14 +65,27 @@ def page_match(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.array_join(found, ",").alias("evidence"))
 
 
-_ROBOTS = "User-agent: otherbot # not us\nDisallow: /\n\nUser-agent: *\nUser-agent: leadloom\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\nDisallow: /end$\nDisallow:\n"
-
-
-@query("WITH n AS (SELECT nation.*, (['/private/a', '/private/open/b', '/end', '/ends', '/other'])[n_nationkey % 5 + 1] AS path FROM nation) SELECT n_name AS host, path, path NOT IN ('/private/a', '/end') AS allowed FROM n")
+#: Robots files by the customer's number: a star group, an own group after it, an own group that forbids nothing, only another's group.
+_ROBOTS = [
+    "# all\nUser-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /end$\n",
+    "Disallow: /lost\nUser-agent: *\nDisallow: /\n\nUser-agent: x\nUSER-AGENT: LeadLoom # us\nDisallow: /a/b*.pdf\nAllow: /a/b/c\nCrawl-delay: 3\nDisallow: /e\nAllow: /e\n",
+    "User-agent: leadloom\r\nDisallow:\r\nUser-agent: *\r\nDisallow: /\r\n",
+    "User-agent: otherbot\nDisallow: /\n",
+]
+_ASKED = ["/", "/a", "/a/b/x", "/a/b/c.html", "/end", "/ends", "/e2", "/b"]
+
+
+@query(
+    "WITH rules(variant, allow, path, written) AS (VALUES (0, false, '/a', 2), (0, true, '/a/b', 4), (1, false, '/a/b', 9), (1, true, '/a/b/c', 6), (1, false, '/e', 2), (1, true, '/e', 2)), "
+    f"asked AS (SELECT c_name AS host, c_custkey % 4 AS variant, unnest({_ASKED}) AS path FROM customer), "
+    "ranked AS (SELECT a.*, r.allow, row_number() OVER (PARTITION BY a.host, a.path ORDER BY r.written DESC NULLS LAST, r.allow DESC) AS n FROM asked a LEFT JOIN rules r ON r.variant = a.variant AND starts_with(a.path, r.path)) "
+    "SELECT host, path, coalesce(allow, true) AND NOT (variant = 0 AND path = '/end') AS allowed FROM ranked WHERE n = 1"
+)
 def robots_decision(spark, sf_dir):
-    n = views.table(spark, sf_dir, "nation")
-    files = n.select(F.col("n_name").alias("host"), F.lit(_ROBOTS).alias("robots"))
-    paths = n.selectExpr("n_name AS host", "element_at(array('/private/a', '/private/open/b', '/end', '/ends', '/other'), cast(n_nationkey % 5 AS int) + 1) AS path")
+    """A robots file per customer, eight paths asked of each."""
+    c = views.table(spark, sf_dir, "customer")
+    files = c.select(F.col("c_name").alias("host"), F.get(F.array(*map(F.lit, _ROBOTS)), (F.col("c_custkey") % 4).cast("int")).alias("robots"))
+    paths = c.select(F.col("c_name").alias("host"), F.explode(F.array(*map(F.lit, _ASKED))).alias("path"))
     return web.robots_decision(paths, web.robots_rules(files, "leadloom"))
 
 
@@ -111,18 +124,36 @@ def duplicate_documents(spark, sf_dir):
     return d.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-@query("SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'O''Reilly''s Café' WHEN 1 THEN 'Panadería El Sol' WHEN 2 THEN 'D''Angelo & Sons' ELSE 'Miguel''s Cocina-Bar' END AS title FROM nation")
+#: A title per part, in SQL of both engines.
+_TITLE = (
+    "concat(CASE p_partkey % 7 WHEN 0 THEN concat(' O', chr(39)) WHEN 1 THEN 'd’' WHEN 2 THEN concat('x', chr(39)) WHEN 3 THEN 'éL ' WHEN 4 THEN concat('L', chr(39), 'Ñ') ELSE '  ' END, "
+    "CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END, CASE p_partkey % 3 WHEN 0 THEN concat(chr(39), 's CAFÉ') WHEN 1 THEN '-BAR & GRILL ' ELSE '2go' END)"
+)
+
+
+@query(
+    f"WITH t AS (SELECT p_partkey AS id, regexp_extract_all(lower(trim({_TITLE})), '[\\p{{L}}\\p{{N}}''’]+|[^\\p{{L}}\\p{{N}}''’]+') AS parts FROM part) "
+    "SELECT id, array_to_string(list_transform(parts, lambda w: CASE WHEN regexp_matches(w, '^[odl][''’]\\p{L}') THEN upper(w[1]) || w[2] || upper(w[3]) || w[4:] ELSE upper(w[1]) || w[2:] END), '') AS title FROM t"
+)
 def title_case(spark, sf_dir):
-    raw = "CASE n_nationkey % 4 WHEN 0 THEN \"o'REILLY's café\" WHEN 1 THEN ' PANADERÍA el sol' WHEN 2 THEN \"d'angelo & SONS\" ELSE \"MIGUEL'S cocina-bar\" END"
-    return views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.title_case(F.expr(raw)).alias("title"))
+    p = views.table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), text.title_case(F.expr(_TITLE)).alias("title"))
+
+
+#: The owner of each part, in SQL of both engines: the name itself, with a legal form, turned around, with more words, none.
+_OWNER = (
+    "CASE p_partkey % 7 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('The ', p_name, ', L.L.C') WHEN 2 THEN concat(split_part(p_name, ' ', 2), ', ', split_part(p_name, ' ', 1)) WHEN 3 THEN concat(p_name, ' owner') "
+    "WHEN 4 THEN replace(p_name, 'a', 'á') WHEN 5 THEN split_part(p_name, ' ', 1) END"
+)
+_OWNED = r"regexp_replace(regexp_replace(strip_accents(lower(trim({0}))), '\b(l\.l\.c|inc|llc|corp|corporation|company|co|ltd|lp|the|and|de|del|la|el|dba)\b', '', 'g'), '[^a-z0-9]', '', 'g')"
+_LETTERS = "list_sort(list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^a-z]+'), lambda w: len(w) > 1))"
 
 
-@query("SELECT p_partkey AS id, p_size % 10 = 0 AS is_owner FROM part")
+@query(f"WITH o AS (SELECT p_partkey AS id, p_name AS trade, coalesce({_OWNER}, '') AS owner FROM part) SELECT id, {_OWNED.format('owner')} <> '' AND {_OWNED.format('trade')} <> '' AND ({_OWNED.format('owner')} = {_OWNED.format('trade')} OR ({_LETTERS.format('owner')} = {_LETTERS.format('trade')} AND len({_LETTERS.format('trade')}) > 0)) AS is_owner FROM o")
 def owner_names(spark, sf_dir):
-    """CLS-13 on part names: every tenth size has its words turned around as the owner's name."""
+    """CLS-13 on part names."""
     p = views.table(spark, sf_dir, "part")
-    owner = F.when(F.col("p_size") % 10 == 0, F.array_join(F.reverse(F.split("p_name", " ")), " ")).otherwise(F.concat(F.col("p_name"), F.lit(" owner")))
-    return p.select(F.col("p_partkey").alias("id"), keys.is_owner_name(F.col("p_name"), owner).alias("is_owner"))
+    return p.select(F.col("p_partkey").alias("id"), keys.is_owner_name(F.col("p_name"), F.coalesce(F.expr(_OWNER), F.lit(""))).alias("is_owner"))
 
 
 @query("WITH p AS (SELECT s_suppkey % 40 AS site, s_suppkey AS ord, (['alpha', 'beta', 'gamma'])[s_suppkey % 3 + 1] AS product, (s_suppkey % 20) / 20.0::DOUBLE AS confidence FROM supplier), b AS (SELECT *, coalesce(max(confidence) OVER (PARTITION BY site ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT site, arg_max(product, (confidence, -ord)) AS product, max(confidence) AS confidence FROM b WHERE before < 0.85 GROUP BY site")
