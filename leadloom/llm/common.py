@@ -52,8 +52,11 @@ def materialize(df: DataFrame, compression: str = "lz4") -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that materialize() has returned and nothing will read again."""
+    files = table.inputFiles()
+    if not files:
+        return
     jvm = table.sparkSession.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    at = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
     at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
