@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, merkle, packing, sharding, simhash, substrings, toxicity, vectors, whitening
+from . import decontaminate, langid, licenses, lm, merkle, packing, pii, sharding, simhash, substrings, toxicity, vectors, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -64,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(_read(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"))
 
@@ -73,5 +77,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_sharding, op3_packing, op4_simhash, op5_substrings, op6_lm, op7_toxicity, op8_embeddings, op9_language, op10_decontamination, op12_merkle, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_sharding, op3_packing, op4_simhash, op5_substrings, op6_lm, op7_toxicity, op8_embeddings, op9_language, op10_decontamination, op11_pii, op12_merkle, op13_whitening)}
 ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op2_sharding": sharding.oracle(SHARDS, SLOTS), "op5_substrings": substrings.oracle(), "op8_embeddings": vectors.oracle(), "op10_decontamination": decontaminate.oracle(), "op12_merkle": merkle.oracle()}
