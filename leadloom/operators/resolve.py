@@ -65,16 +65,30 @@ def plan_changes(existing: DataFrame, desired: DataFrame, key: str, fields: list
 
 
 def apply_plan(existing: DataFrame, desired: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """existing after the changes: desired values win where they aren't null or blank, missing rows are added."""
+    """existing after the actions of plan_changes(): desired values win where they aren't null or blank, missing rows are added.
+
+    Rows whose key is ambiguous stay as they are, and nothing is added for it. Null keys match nothing:
+    each is a row of its own. A key that `desired` repeats has no one value to take: it is left alone, too.
+    """
     kinds = dict(desired.dtypes)
-    j = existing.select(key, *[F.col(f).alias(f"old_{f}") for f in fields]).join(desired.select(key, *fields), key, "full")
+    repeated = lambda df: df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    unclear = repeated(existing).union(repeated(desired)).distinct().withColumn("_unclear", F.lit(True))
+    old = existing.select(key, *[F.col(f).alias(f"old_{f}") for f in fields]).join(unclear, key, "left")
+    new = desired.select(key, *fields).join(unclear, key, "left_anti")
+    j = old.join(new, key, "full")
     given = lambda f: F.when(F.trim(f) != "", F.col(f)) if kinds[f] == "string" else F.col(f)
     return j.select(key, *[F.coalesce(given(f), F.col(f"old_{f}")).alias(f) for f in fields])
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """existing and the new rows whose keys it lacks, each key once."""
-    fresh = new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """existing and the new rows whose keys it lacks; of new rows with the same keys the first by `order`, then by all columns.
+
+    A null in a key equals nothing, so each such row is added. Columns that one side lacks are null.
+    """
+    given = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    place = F.struct(*order, *[c for c in new.columns if c not in order])
+    first = new.where(given).groupBy(*keys).agg(F.min(place).alias("_first")).select(*[F.col("_first")[c].alias(c) for c in new.columns])
+    fresh = first.join(existing.select(*keys), keys, "left_anti").select(*new.columns).union(new.where(f"NOT ({given})"))
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

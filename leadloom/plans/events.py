@@ -32,14 +32,14 @@ _ORDERED = "o AS (SELECT event_id, user_id, ts, event_type, row_number() OVER (P
     f"WITH RECURSIVE {_ORDERED}, s AS (SELECT event_id, user_id, rn, ts AS start, 1 AS cnt, true AS allowed FROM o WHERE rn = 1 UNION ALL SELECT o.event_id, o.user_id, o.rn, CASE WHEN o.ts - s.start > INTERVAL 24 HOUR THEN o.ts ELSE s.start END, CASE WHEN o.ts - s.start > INTERVAL 24 HOUR THEN 1 WHEN s.cnt >= 3 THEN s.cnt ELSE s.cnt + 1 END, o.ts - s.start > INTERVAL 24 HOUR OR s.cnt < 3 FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1) SELECT event_id, user_id, allowed FROM s"
 )
 def rate_limit_anchored(spark, sf_dir):
-    return sequential.walk(views.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", lambda: sequential.AnchoredWindow(3, 86_400))
+    return sequential.anchored(views.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86_400)
 
 
 @query(
     f"WITH RECURSIVE {_ORDERED}, s AS (SELECT event_id, user_id, rn, CASE WHEN event_type = 'purchase' THEN ts END AS last, true AS allowed FROM o WHERE rn = 1 UNION ALL SELECT o.event_id, o.user_id, o.rn, CASE WHEN (s.last IS NULL OR o.ts - s.last >= INTERVAL 24 HOUR) AND o.event_type = 'purchase' THEN o.ts ELSE s.last END, s.last IS NULL OR o.ts - s.last >= INTERVAL 24 HOUR FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1) SELECT event_id, user_id, allowed FROM s"
 )
 def quota_24h(spark, sf_dir):
-    return sequential.walk(views.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", lambda: sequential.ElapsedQuota(86_400), "event_type = 'purchase'")
+    return sequential.elapsed(views.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400, "event_type = 'purchase'")
 
 
 @query("SELECT event_id AS id, hour(ts - INTERVAL 8 HOUR) BETWEEN 8 AND 19 AS open FROM events")

@@ -113,8 +113,6 @@ def test_anchored_window_restarts_after_it_ends():
     m = sequential.AnchoredWindow(2, 3600)
     at = [0, 10, 20, 3600, 3601, 3602, 3603]
     assert [m.hit(t * 1_000_000) for t in at] == [True, True, False, False, True, True, False]
-    q = sequential.ElapsedQuota(86_400)
-    assert [q.hit(t * 1_000_000, f) for t, f in ((0, False), (1, True), (86_400, True), (86_401, True))] == [True, True, False, True]
 
 
 def test_plan_is_noop_after_it_is_applied(spark):

@@ -19,7 +19,7 @@ def _run(df, tmp_path, name, mode="append"):
 
 def test_rate_limit_stream_equals_batch(spark, sf_dir, tmp_path):
     batch, stream = _stream(spark, sf_dir, tmp_path)
-    want = sequential.walk(batch, "user_id", "ts", "event_id", lambda: sequential.AnchoredWindow(3, 86_400))
+    want = sequential.anchored(batch, "user_id", "ts", "event_id", 3, 86_400)
     got = _run(stateful.rate_limited(stream, 3, 86_400), tmp_path, "limited")
     assert {tuple(r) for r in got.select("event_id", "allowed").collect()} == {tuple(r) for r in want.select("event_id", "allowed").collect()}
 
