@@ -15,6 +15,7 @@ def session(app: str = "leadloom", master: str | None = None, **conf: str) -> Sp
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
