@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drip, ordered, resolve, views
+from ..operators import drip, lookup, ordered, resolve, views
 from . import catalog
 from .leads import _LEADS
 
@@ -164,3 +164,22 @@ def applied_plan(spark, sf_dir):
     old = s.union(s.where("id % 4 = 0").withColumn("name", F.lit("twin")))
     new = s.selectExpr("id", "CASE WHEN id % 3 = 0 THEN concat(upper(name), '!') WHEN id % 3 = 1 THEN ' ' ELSE name END AS name", "nation + 1 AS nation")
     return resolve.apply_plan(old, new.union(s.selectExpr("-1 - id AS id", "name", "0 AS nation")), "id", ["name", "nation"])
+
+
+# ---- catalogs as tables
+
+
+@query("SELECT p_partkey AS part, count(*) AS orders, min(o_orderkey) AS first FROM part JOIN orders ON o_orderkey BETWEEN p_partkey * 7 - 500 AND p_partkey * 7 - 500 + p_size * p_size GROUP BY 1")
+def range_lookup(spark, sf_dir):
+    """JN-17: ranges as a table of any size, some of them below zero; an equality join, no nested loop."""
+    ranges = views.table(spark, sf_dir, "part").selectExpr("p_partkey AS part", "p_partkey * 7 - 500 AS low", "p_partkey * 7 - 500 + p_size * p_size AS high")
+    found = lookup.range_join(views.table(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey", "low", "high")
+    return found.groupBy("part").agg(F.count("*").alias("orders"), F.min("o_orderkey").alias("first"))
+
+
+@query("SELECT DISTINCT doc_id, word FROM documents JOIN (SELECT DISTINCT right(c_name, 4) AS word FROM customer UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part) ON contains(text, word)")
+def keyword_automaton(spark, sf_dir):
+    """JN-16: thousands of keywords against whole texts, one pass over each."""
+    c, p = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "part")
+    words = c.select(F.right("c_name", F.lit(4)).alias("word")).union(p.select(F.explode(F.split("p_name", " "))))
+    return lookup.keyword_hits(views.table(spark, sf_dir, "documents"), words, "doc_id", "text", "word").select("doc_id", "word")
