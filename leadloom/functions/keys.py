@@ -64,3 +64,24 @@ def is_owner_name(trade: Column, owner: Column) -> Column:
 def row_hash(*cols: Column) -> Column:
     """SHA-256 of a row's fields, sorted by the caller; null and empty differ."""
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the keys of all its objects sorted at every level and no blanks; null where it can't be read.
+
+    A variant's objects are kept in the order of their keys, so writing one out sorts them; equal
+    numbers are written alike. Of a key that an object repeats the last value stands.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def document_hash(text: Column, own: str = "sha256") -> Column:
+    """sha256: and the digest of a JSON text's canonical form, fields named `own` with a plain value left out at every level.
+
+    In canonical text `"name":` stands only where a key does: inside a string its quotes are escaped.
+    """
+    value = r'("(?:[^"\\]|\\.)*"|[^,\[\]{}"]+)'
+    bare = canonical_json(text)
+    for pattern, rest in ((rf',"{own}":{value}', ""), (rf'\{{"{own}":{value},', "{"), (rf'\{{"{own}":{value}\}}', "{}")):
+        bare = F.regexp_replace(bare, pattern, rest)
+    return F.concat(F.lit("sha256:"), F.sha2(bare, 256))

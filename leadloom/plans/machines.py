@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..operators import drip, lookup, ordered, resolve, views
+from ..sources.upsert import UpsertTable
+from ..streaming import audit
+from ..tables import shared_folder
 from . import catalog
 from .leads import _LEADS
 
@@ -183,3 +189,46 @@ def keyword_automaton(spark, sf_dir):
     c, p = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "part")
     words = c.select(F.right("c_name", F.lit(4)).alias("word")).union(p.select(F.explode(F.split("p_name", " "))))
     return lookup.keyword_hits(views.table(spark, sf_dir, "documents"), words, "doc_id", "text", "word").select("doc_id", "word")
+
+
+# ---- digests, audit rows, merges
+
+_PLAIN = "'{\"at\":{\"e\":' || event_id || ',\"u\":' || user_id || '},\"k\":' || (props->>'$.k') || ',\"list\":[{\"a\":1,\"b\":\"' || event_type || '\"}]}'"
+
+
+@query(f"SELECT event_id, 'sha256:' || sha256({_PLAIN}) AS digest, true AS same, event_id % 5 = 0 AS altered FROM events")
+def document_digests(spark, sf_dir):
+    """FN-41: nested documents whose keys stand in another order, blanks and a hash of their own included, have the same digest."""
+    e = views.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    one = """concat('{"list": [{"b":"', event_type, '", "a":1}], "sha256":"own", "k":', k, ', "at":{"u": ', user_id, ',"e":', event_id, '}}')"""
+    two = """concat('{"at":{"e":', event_id, ',"sha256":"x","u":', user_id, '},"k" : ', k, ',"list":[ {"a":', if(event_id % 5 = 0, 2, 1), ',"b":"', event_type, '"}]}')"""
+    three = """concat('{"k":', k, ',"list":[{"sha256":"","a":1,"b":"', event_type, '"}],"at":{"e":', event_id, ',"u":', user_id, '}}')"""
+    d = [keys.document_hash(F.expr(t)) for t in (one, two, three)]
+    return e.select("event_id", d[0].alias("digest"), (d[0] == d[2]).alias("same"), (d[0] != d[1]).alias("altered"))
+
+
+@query("SELECT 'rows' AS counter, count(*) AS n FROM events UNION ALL SELECT event_type, count(*) FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1 UNION ALL SELECT 'other', count(*) FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
+def audit_counters(spark, sf_dir):
+    """AGG-19, SNK-10: the audit row of a run that writes all events, counted in the pass that writes them."""
+    path = f"{shared_folder(spark)}/audited-{uuid.uuid4().hex}"
+    row = audit.audited_write(views.table(spark, sf_dir, "events"), path, "run", *audit.outcome_counters("event_type", ["view", "click", "purchase"]))
+    return row.select(F.explode("metrics").alias("counter", "n"))
+
+
+@query(
+    "WITH first AS (SELECT o_custkey AS id, max(o_orderkey) AS ref, arg_max(o_orderpriority, o_orderkey) AS label FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),"
+    " later AS (SELECT o_custkey AS id, arg_max(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END, o_orderkey) AS ignored, arg_max({'r': CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END, 'l': CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE o_orderpriority END}, o_orderkey) AS v FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)"
+    " SELECT id, coalesce(v.r, ref) AS ref, CASE WHEN v.l IS NULL OR trim(v.l) = '' THEN coalesce(label, CASE WHEN first.id IS NULL THEN NULL END) ELSE v.l END AS label FROM first FULL JOIN later USING (id)"
+)
+def merged_orders(spark, sf_dir):
+    """SNK-05, SNK-08, DML-01: a table, a batch merged into it, and the same batch once more, which changes nothing."""
+    o = views.table(spark, sf_dir, "orders")
+    rows = o.selectExpr("o_custkey AS id", "o_orderkey AS ref", "o_orderpriority AS label", "o_orderkey AS seq", "o_orderstatus")
+    table = UpsertTable(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", rows.select("id", "ref", "label").schema, "id", 8)
+    table.merge(rows.where("o_orderstatus = 'F'"), "seq", "run", 0)
+    later = rows.where("o_orderstatus <> 'F'").selectExpr("id", "CASE WHEN ref % 3 <> 0 THEN ref END AS ref", "CASE WHEN ref % 2 = 0 THEN ' ' ELSE label END AS label", "seq")
+    table.merge(later, "seq", "run", 1)
+    again = table.merge(later, "seq", "run", 1)
+    if not again.replayed:
+        raise ValueError("a replayed batch was merged again")
+    return table.read()
