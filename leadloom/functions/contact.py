@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans import catalog
-from .text import clean, fold_accents
+from .text import ascii_edges, clean, fold_accents
 
 # The shapes of mail addresses and phones.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -91,7 +91,7 @@ def page_phone(html: Column) -> Column:
 
 def domain_candidates(name: Column) -> Column:
     """Up to six domains that a business of this name may have."""
-    base = F.regexp_replace(F.lower(fold_accents(name)), r"\b(?:inc|llc|l\.l\.c|corp|corporation|co|company|ltd|the|and|&)\b", " ")
+    base = F.regexp_replace(F.lower(fold_accents(name)), ascii_edges(r"\b(?:inc|llc|l\.l\.c|corp|corporation|co|company|ltd|the|and|&)\b"), " ")
     words = F.filter(F.split(F.regexp_replace(base, r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != "")
     names = F.array_distinct(F.array(F.array_join(words, ""), F.array_join(words, "-"), F.array_join(F.slice(words, 1, 2), "")))
     names = F.filter(names, lambda n: F.length(n).between(4, 40))

@@ -29,6 +29,11 @@ def word(pattern: str) -> str:
     return rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""A pattern whose \b is an edge of ASCII words; Java's own counts accented letters, too."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def any_of(c: Column, patterns: list[str]) -> Column:
     return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
@@ -69,7 +74,7 @@ def html_escape(c: Column) -> Column:
 
 def redact(c: Column) -> Column:
     """Bearer and Basic credentials and key assignments without their secrets."""
-    t = F.regexp_replace(c, r"(?i)\b(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 [REDACTED]")
+    t = F.regexp_replace(c, r"(?i)(?<![A-Za-z0-9_])(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 [REDACTED]")
     return F.regexp_replace(t, r"""(?i)("?(?:authorization|x-api-key|api[_-]?key|token)"?\s*[:=]\s*"?)[^"'\s,}]{8,}""", "$1[REDACTED]")
 
 

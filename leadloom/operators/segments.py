@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, fold_accents, word
+from ..functions.text import any_of, ascii_edges, fold_accents, word
 from ..plans import catalog
 
 
@@ -60,6 +60,26 @@ def sector_segment(code: Column) -> Column:
     return out
 
 
+# Words of an official type, in the order in which they are asked for.
+_TYPE_WORDS = [
+    ("restaurants", r"restaurant|food facility|food service|coffee|deli|bakery|caterer|market|taquer|pizza|grill|bar\b"),
+    ("offices", "health care|medical|dental|clinic"),
+    ("offices", "school|conference|church"),
+    ("retail", "retail|store|shop"),
+    ("property_managers", "property|real estate|management"),
+    ("post_construction", "construction|contractor"),
+]
+
+
+def official_segment(code: Column, kind: Column, description: Column) -> Column:
+    """Segment of a company by its industry code, else by the words of its official type, else (without a type) its description."""
+    text = F.lower(F.coalesce(F.nullif(kind, F.lit("")), description, F.lit("")))
+    out = F.lit(None).cast("string")
+    for segment, words in reversed(_TYPE_WORDS):
+        out = F.when(text.rlike(ascii_edges(words)), segment).otherwise(out)
+    return F.coalesce(sector_segment(code), out)
+
+
 def inbound_category(text: Column) -> Column:
     """First category with a signal in the message, else unrelated."""
     t = F.coalesce(text, F.lit(""))

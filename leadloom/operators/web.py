@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .registers import says
+
 
 def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "robots") -> DataFrame:
     """host, type, path: the rules of each robots file that hold for the agent.
@@ -40,16 +42,25 @@ def robots_decision(paths: DataFrame, rules: DataFrame, host: str = "host", path
     return j.groupBy(host, path).agg(F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
 
+# Forms of personal data in texts, and names of fields that hold some.
+_PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"\b(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b",
+    "coordinate": r"-?\d{1,3}\.\d{5,}",
+    "po_box": r"\bp\.?\s?o\.?\s*box\b",
+    "mailbox": r"\bpmb\b",
+}
+_PERSONAL_KEY = "owner|contact|phone|email|latitude|longitude|administrator|manager_name|person"
+
+
 def pii_flags(c: Column) -> Column:
-    """Names of the kinds of personal data in a text."""
-    found = {
-        "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-        "phone": r"\(?[2-9][0-9]{2}\)?[-. ][0-9]{3}[-. ][0-9]{4}",
-        "coordinate": r"-?[0-9]{1,3}\.[0-9]{5,}",
-        "po_box": r"(?i)\bp\.? ?o\.? *box\b",
-        "mailbox": r"(?i)\bpmb\b",
-    }
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in found.items()]))
+    """Names of the kinds of personal data in a text; words are bounded as ASCII words are."""
+    return F.array_compact(F.array(*[F.when(says(c, p, case=k not in ("po_box", "mailbox")), F.lit(k)) for k, p in _PERSONAL.items()]))
+
+
+def personal_key(name: Column) -> Column:
+    """Whether a field's name tells of personal data."""
+    return F.coalesce(name.rlike(f"(?i){_PERSONAL_KEY}"), F.lit(False))
 
 
 def crm_fingerprint(probes: DataFrame, enough: float = 0.85) -> DataFrame:

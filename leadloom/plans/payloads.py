@@ -37,11 +37,11 @@ def subscriber_groups(spark, sf_dir):
     return s.select("id", F.array_join(payloads.subscriber_groups(F.col("segment"), F.col("temperature")), ",").alias("groups"))
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'unknown' WHEN s_suppkey % 8 = 0 THEN 'no_manifest' WHEN s_suppkey % 3 = 1 THEN 'robots_forbidden' WHEN s_suppkey % 3 = 2 THEN 'robots_unread' WHEN s_suppkey % 7 = 0 THEN 'not_eligible' WHEN s_suppkey % 5 = 0 THEN 'not_enabled' WHEN s_suppkey % 4 = 0 THEN 'not_implemented' WHEN s_suppkey % 2 = 0 THEN 'attestation' END AS gate FROM supplier")
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'unknown' WHEN s_suppkey % 8 = 0 THEN 'no_manifest' WHEN s_suppkey % 3 = 1 THEN 'robots_forbidden' WHEN s_suppkey % 3 = 2 THEN 'robots_unread' WHEN s_suppkey % 7 = 0 THEN 'not_eligible' WHEN s_suppkey % 5 = 0 THEN 'not_enabled' WHEN s_suppkey % 4 = 0 THEN 'not_implemented' WHEN s_suppkey % 13 = 4 THEN 'research_only' WHEN s_suppkey % 2 = 0 THEN 'attestation' END AS gate FROM supplier")
 def source_gates(spark, sf_dir):
     s = views.table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS id", "s_suppkey % 9 <> 0 AS known", "s_suppkey % 8 <> 0 AS has_manifest", "element_at(array('allowed', 'forbidden', 'unread'), cast(s_suppkey % 3 AS int) + 1) AS robots",
-        "s_suppkey % 7 <> 0 AS eligible", "s_suppkey % 5 <> 0 AS enabled", "s_suppkey % 4 <> 0 AS implemented", "s_suppkey % 2 <> 0 AS attested",
+        "s_suppkey % 7 <> 0 AS eligible", "s_suppkey % 5 <> 0 AS enabled", "s_suppkey % 4 <> 0 AS implemented", "CASE WHEN s_suppkey % 13 = 4 THEN false WHEN s_suppkey % 2 = 1 THEN true END AS lead_use", "s_suppkey % 2 <> 0 AS attested",
     )
     return s.select("id", payloads.source_gate(s).alias("gate"))
 

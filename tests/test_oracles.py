@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from leadloom.plans import events, leads, machines, payloads, prospects, records, registers, texts
+from leadloom.plans import events, leads, machines, mappings, payloads, prospects, records, registers, texts
 
-QUERIES = leads.QUERIES | prospects.QUERIES | texts.QUERIES | events.QUERIES | payloads.QUERIES | records.QUERIES | registers.QUERIES | machines.QUERIES
-ORACLES = leads.ORACLES | prospects.ORACLES | texts.ORACLES | events.ORACLES | payloads.ORACLES | records.ORACLES | registers.ORACLES | machines.ORACLES
+QUERIES = leads.QUERIES | prospects.QUERIES | texts.QUERIES | events.QUERIES | payloads.QUERIES | records.QUERIES | registers.QUERIES | machines.QUERIES | mappings.QUERIES
+ORACLES = leads.ORACLES | prospects.ORACLES | texts.ORACLES | events.ORACLES | payloads.ORACLES | records.ORACLES | registers.ORACLES | machines.ORACLES | mappings.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -156,7 +156,7 @@ def test_payload_functions(spark):
     assert one(spark, payloads.retry_seconds(F.lit("later"), now)) is None
     assert one(spark, payloads.signal(F.lit("new"), F.lit("2024-01-01"), F.lit("Permit Renewed"))) == "active_permit"
     assert one(spark, payloads.signal(F.lit("new"), F.lit("2024-01-01"), F.lit(None).cast("string"))) == "new_business"
-    assert one(spark, payloads.duplicate_conflict(F.lit("A Duplicate entry")))
+    assert one(spark, payloads.duplicate_conflict(F.lit(500), F.lit(None).cast("string"), F.lit("A Duplicate entry")))
 
 
 def test_projections(spark):
