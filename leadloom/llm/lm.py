@@ -17,7 +17,9 @@ from .toxicity import fold
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 16_000_000
 #: Contexts are this many bytes at most.
-DEPTH = 4
+DEPTH = 6
+#: Rows of one id and text are counted once, with their number, beyond so many.
+HOT = 1_000
 END = b"\n"
 #: Marks keys of byte strings; keys of tokens have this bit clear.
 _GRAM = 1 << 62
@@ -65,16 +67,21 @@ def _count_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     keys, counts = [], []
     for train in (True, False):
         parts, size = [], 0
-        texts = pdf.loc[pdf["train"] == train, "text"]
-        for k, text in enumerate(texts, 1):
+        some = pdf[pdf["train"] == train]
+        for k, (text, copies) in enumerate(zip(some["text"], some["copies"], strict=True), 1):
             words = tokens(text)
-            if train:
+            if not train:
+                other.update(words)
+            elif copies == 1:
                 learned.update(words)
             else:
-                other.update(words)
+                learned.update({w: int(n * copies) for w, n in Counter(words).items()})
+                found, n = np.unique(_collect([_bytes(words)]), return_counts=True)
+                keys.append(found)
+                counts.append(n * (copies - 1))
             parts.append(_bytes(words))
             size += len(parts[-1])
-            if size > 2_000_000 or k == len(texts):
+            if size > 2_000_000 or k == len(some):
                 found, n = np.unique(_collect(parts), return_counts=True)
                 keys.append(found)
                 counts.append(n if train else np.zeros(len(n), np.int64))
@@ -131,58 +138,82 @@ def context_tree(grams: DataFrame) -> list[DataFrame]:
 def gram_scores(grams: DataFrame, tree: list[DataFrame]) -> DataFrame:
     """(gram, score): log10 probability of the last byte after the others, for every gram.
 
-    At each binary decision the estimates of all depths are mixed from the deepest context that was
-    seen upwards, each with its weight.
+    At each binary decision the estimates of all depths are mixed, each with its weight. A context that training
+    never saw has one half at all its depths: that is what the mixture below the deepest known one begins with.
+    A context's nodes, 255 at most, are one row; a gram meets one row a depth, deepest first, and keeps eight numbers.
     """
-    rows = grams.select("gram", F.expr("gram >> 8").alias("long"), F.expr("cast(gram & 255 as int)").alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    rows = rows.select("gram", "long", F.expr("shiftleft(1, i) | shiftright(byte, 8 - i)").alias("node"), F.expr("shiftright(byte, 7 - i) & 1").alias("bit"))
-    mixed = F.lit(None).cast("double")
-    parts = []
-    for depth, table in enumerate(tree):
-        short = table.select(F.col("ctx").alias(f"c{depth}"), "node", F.col("a").alias(f"a{depth}"), F.col("b").alias(f"b{depth}"), F.col("w").alias(f"w{depth}"))
-        rows = rows.withColumn(f"c{depth}", F.col("long").bitwiseAND(F.lit((1 << 8 * depth) - 1)))
-        # 255 and 65,280 rows at most for the first two depths, whatever the data are.
-        rows = rows.join(F.broadcast(short) if depth < 2 else short, [f"c{depth}", "node"], "left")
-        n = F.when(F.col("bit") == 0, F.col(f"a{depth}")).otherwise(F.col(f"b{depth}"))
-        parts.append(((n + 0.5) / (F.col(f"a{depth}") + F.col(f"b{depth}") + 1), F.col(f"w{depth}")))
-    for own, w in reversed(parts):
-        mixed = F.when(own.isNull(), mixed).when(mixed.isNull(), own).otherwise(w * own + (1 - w) * mixed)
-    return rows.groupBy("gram").agg(F.sum(F.log10(F.coalesce(mixed, F.lit(0.5)))).alias("score"))
+    byte = F.expr("cast(gram & 255 AS int)")
+    rows = grams.select("gram", F.expr("gram >> 8").alias("long"), *[F.lit(0.5).alias(f"m{i}") for i in range(8)])
+    for depth, table in reversed(list(enumerate(tree))):
+        entry = F.struct("node", F.struct("a", "b", "w").alias("s"))
+        known = table.groupBy(F.col("ctx").alias("c")).agg(F.map_from_entries(F.collect_list(entry)).alias("nodes"))
+        rows = rows.withColumn("c", F.col("long").bitwiseAND(F.lit((1 << 8 * depth) - 1)))
+        # One and 256 rows at most for the first two depths, whatever the data are.
+        rows = rows.join(F.broadcast(known) if depth < 2 else known, "c", "left")
+        found, mixed = [], []
+        for i in range(8):
+            node, bit = F.shiftright(byte, 8 - i).bitwiseOR(F.lit(1 << i)), F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1))
+            found += [F.try_element_at("nodes", node).alias(f"s{i}"), bit.alias(f"b{i}")]
+            s = F.col(f"s{i}")
+            own = (F.when(F.col(f"b{i}") == 0, s["a"]).otherwise(s["b"]) + 0.5) / (s["a"] + s["b"] + 1)
+            mixed.append(F.coalesce(s["w"] * own + (1 - s["w"]) * F.col(f"m{i}"), F.lit(0.5)).alias(f"m{i}"))
+        rows = rows.select("gram", "long", *[f"m{i}" for i in range(8)], *found).select("gram", "long", *mixed)
+    total = F.log10("m0")
+    for i in range(1, 8):
+        total = total + F.log10(f"m{i}")
+    return rows.select("gram", total.alias("score"))
 
 
 class _Grams:
-    """Scores of byte strings: one lookup per byte, from the number of a prefix to that of the next longer one."""
+    """Scores of byte strings by open addressing: two to four slots of 12 bytes a string, whatever its bytes are."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        raw = np.unique(np.concatenate([(keys >> s) & 255 for s in range(0, 8 * DEPTH + 8, 8)]))
-        self.code = np.zeros(256, np.int64)
-        self.code[raw] = np.arange(len(raw))
-        self.k = max(1, len(raw))
-        self.steps: list[np.ndarray] = []
-        number = self.code[keys >> 8 * DEPTH]
-        states = self.k
-        for s in range(8 * (DEPTH - 1), 0, -8):
-            at = number * self.k + self.code[(keys >> s) & 255]
-            known, number = np.unique(at, return_inverse=True)
-            step = np.zeros(states * self.k, np.int32)
-            step[known] = np.arange(len(known), dtype=np.int32)
-            self.steps.append(step)
-            states = max(1, len(known))
-        self.value = np.zeros(states * self.k, np.float32)
-        self.value[number * self.k + self.code[keys & 255]] = values
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
+            left = left[self.keys[at] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.last
+        self.value = np.zeros(1 << bits, np.float32)
+        self.value[slot] = values
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def total(self, raw: bytes) -> float:
         out = 0.0
         for i in range(0, len(raw) - DEPTH, 65_536):
-            c = self.code[np.frombuffer(raw[i : i + 65_536 + DEPTH], np.uint8)]
-            n = len(c) - DEPTH
-            number = c[:n]
-            for d, step in enumerate(self.steps, 1):
-                number = step[number * self.k + c[d : d + n]].astype(np.int64)
-            out += float(self.value[number * self.k + c[DEPTH:]].sum(dtype=np.float64))
+            keys = _grams(np.frombuffer(raw[i : i + 65_536 + DEPTH], np.uint8))
+            slot = self._slots(keys)
+            away = np.flatnonzero(self.keys[slot] != keys)
+            while len(away):
+                slot[away] = (slot[away] + 1) & self.last
+                away = away[self.keys[slot[away]] != keys[away]]
+            out += float(self.value[slot].sum(dtype=np.float64))
         return out
 
 
+def _dealt(docs: DataFrame, train: Column, chunks: int) -> DataFrame:
+    """chunk, doc_id, text, train, copies: rows of docs, but such as are repeated more than HOT times once, with their number.
+
+    Repeated rows of one id and text are in one chunk, so a chunk has HOT copies of a text at most.
+    """
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.coalesce(train, F.lit(False)).alias("train"))
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "text"))
+    hot = materialize(rows.groupBy("place").count().where(F.col("count") > HOT).select("place"))
+    once = rows.withColumn("copies", F.lit(1).cast("long"))
+    if not hot.isEmpty():
+        many = rows.join(hot, "place", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+        once = once.join(hot, "place", "left_anti").unionByName(many)
+    return once.select(F.pmod("place", F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", "train", "copies")
+
+
 def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
@@ -195,16 +226,15 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
 
     base_score: the sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the text's tokens. score: log10
     of the probability that context-tree weighting gives the bytes of the same tokens, joined by
-    spaces, with the end. Null texts are empty: their only token is the end. Repeated rows are each
+    spaces, with the end; contexts are DEPTH bytes at most. Null texts are empty: their only token is the end. Repeated rows are each
     learned and scored; null ids stay null; an empty table gives no row; with nothing to learn from
     every decision has probability one half.
     """
     text = F.col("text").cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
-    place = F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).cast("int")
-    rows = docs.select(place.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = materialize(rows.select("chunk", "text", "train").groupBy("chunk").applyInPandas(_count_chunk, "chunk int, key long, n long"), "zstd")
+    rows = _dealt(docs, train, chunks)
+    counts = materialize(rows.select("chunk", "text", "train", "copies").groupBy("chunk").applyInPandas(_count_chunk, "chunk int, key long, n long"), "zstd")
     totals = materialize(counts.groupBy("key").agg(F.sum("n").alias("c")), "zstd")
     is_gram = F.col("key") >= F.lit(_GRAM)
     n_all, v_all = totals.where(~is_gram).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -237,10 +267,11 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
                 known.update(zip(new, (c > 0).tolist(), strict=True))
             out.append((len(words), sum(map(known.__getitem__, words)), math.fsum(map(logs.__getitem__, words)), tree.total(_bytes(words))))
         n, k, base, own = zip(*out, strict=True) if out else ((), (), (), ())
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "n_known": k, "base_score": base, "score": own})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "copies": pdf["copies"], "n_tokens": n, "n_known": k, "base_score": base, "score": own})
 
-    left, right = rows.select("chunk", "doc_id", "text").groupBy("chunk"), values.groupBy("chunk")
-    done = left.cogroup(right).applyInPandas(score_chunk, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    left, right = rows.select("chunk", "doc_id", "text", "copies").groupBy("chunk"), values.groupBy("chunk")
+    done = left.cogroup(right).applyInPandas(score_chunk, "doc_id long, copies long, n_tokens long, n_known long, base_score double, score double")
+    done = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return done.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -348,13 +348,13 @@ def brute_ctw(train, queries, depth):
             node = 1
             for s in range(7, -1, -1):
                 bit = t[i] >> s & 1
-                p = None
+                p = 0.5  # what every context that training never saw gives
                 for d in range(depth, -1, -1):
                     key = (t[i - d : i], node)
                     if key in ab:
                         own = (ab[key][bit] + 0.5) / (sum(ab[key]) + 1)
-                        p = own if p is None else weight[key] * own + (1 - weight[key]) * p
-                total += math.log10(0.5 if p is None else p)
+                        p = weight[key] * own + (1 - weight[key]) * p
+                total += math.log10(p)
                 node = 2 * node + bit
         out.append(total)
     return out
@@ -369,6 +369,44 @@ def test_lm_equals_brute_force(spark):
     assert [got[k] for k in range(12)] == pytest.approx(want, rel=1e-5)
 
 
+def test_lm_counts_hot_rows_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 3)
+    rows = [(1, "same words here")] * 40 + [(2, "same words")] * 2 + [(3, "other")] + [(None, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    few = lm._dealt(df, F.lit(True), 5)
+    assert sorted((r["doc_id"] or 0, r["copies"]) for r in few.collect()) == [(0, 9), (1, 40), (2, 1), (2, 1), (3, 1)]
+    got = lm.score(df, F.lit(True), chunk_bytes=100).collect()
+    monkeypatch.setattr(lm, "HOT", 1000)
+    want = lm.score(df, F.lit(True), chunk_bytes=100).collect()
+    assert len(got) == len(want) == 52
+    key = lambda r: (r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 5))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_lm_tables_take_any_alphabet():
+    rng = np.random.default_rng(3)
+    for symbols in (2, 256):
+        raw = rng.integers(0, symbols, 30_000).astype(np.uint8).tobytes()
+        keys = np.unique(lm._grams(np.frombuffer(raw, np.uint8)))
+        values = rng.random(len(keys)).astype(np.float32)
+        table = lm._Grams(keys, values)
+        want = values[np.searchsorted(keys, lm._grams(np.frombuffer(raw, np.uint8)))].sum(dtype=np.float64)
+        assert table.total(raw) == pytest.approx(want) and len(table.keys) <= 4 * len(keys) + 16
+    assert lm._Grams(np.empty(0, np.int64), np.empty(0)).total(b"") == 0
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    rows = [(5, f"hot row {k}") for k in range(3000)] + [(k, f"plain {k}") for k in range(10, 30)]
+    labels = [(5, 1, 1), (11, 1, 0), (12, 1, 0)]
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda docs, y, *a, **k: seen.append(list(y))
+    try:
+        toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), held_out=7)
+    finally:
+        toxicity.fit = fit
+    assert sorted(seen[0]) == [0, 0, 1]
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(k, text(k, 60) + (" awful" if k % 4 == 0 else "") + (" scum" if k % 8 == 0 else "")) for k in range(400)]
     lab = [(k, 1, int(k % 4 == 0)) for k in range(400)] + [(None, 1, 1), (9999, 1, 1), (5, 1, None)]
