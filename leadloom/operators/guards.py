@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.contact import email_domain
 from ..plans import catalog
 
+#: Parts of a cool-down's days.
+PARTS = 16
+
 
 def suppressed_by(df: DataFrame, suppression: DataFrame, email: str = "email") -> DataFrame:
     """df with suppressed_by: email, domain, no_email or null. suppression has kind and value, unique together."""
@@ -20,10 +23,28 @@ def suppressed_by(df: DataFrame, suppression: DataFrame, email: str = "email") -
 
 
 def recently_contacted(sends: DataFrame, days: int = catalog.COOLDOWN_DAYS, key: str = "domain", ts: str = "ts") -> DataFrame:
-    """sends with `recent`: how many of the key's other sends lie in the days before each."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-days * 86_400_000_000, -1)
-    return sends.withColumn("recent", F.count("*").over(w))
+    """sends with `recent`: how many of the key's other sends lie in the days before each; 0 for one without a time, which counts for none.
+
+    Rows meet by key and a PARTS-th of the days, so that a key however large is spread over time. Of the whole parts
+    before a row only the counts are taken; of the part in which its days begin, what has expired by its time is
+    taken off, for which each row comes once more when its days end.
+    """
+    span = days * 86_400_000_000
+    width = span // PARTS
+    sends = sends.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = sends.withColumn("_part", F.expr(f"floor(_t / {width})").cast("long")).withColumn("_own", F.lit(True))
+    timed = rows.where("_t IS NOT NULL")
+    counts = timed.groupBy(key, "_part").agg(F.count("*").alias("n"))
+    # Parts without a row of their own are asked for, too: a row may be the first of its part.
+    before = Window.partitionBy(key).orderBy("_part").rangeBetween(-PARTS, -1)
+    counts = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    expiring = timed.withColumns({"_part": F.col("_part") + PARTS, "_t": F.col("_t") + span, "_own": F.lit(False)})
+    sofar = Window.partitionBy(key, "_part").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    both = timed.union(expiring).withColumn("_change", F.sum(F.when(F.col("_own"), 1).otherwise(-1)).over(sofar)).where("_own")
+    j = both.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    recent = j.withColumn("recent", F.coalesce("_change", F.lit(0)) + F.col("_before"))
+    names = [c for c in sends.columns if c != "_t"]
+    return recent.select(*names, "recent").union(rows.where("_t IS NULL").select(*names, F.lit(0).cast("long")))
 
 
 def allowance(day: Column, start: str | None, limit: int = catalog.DAILY_LIMIT) -> Column:

@@ -184,3 +184,29 @@ def test_the_stream_and_the_ticks_agree(spark, tmp_path):
         assert state.isEmpty()  # all steps have ended and their leads' time is over
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_recent_contacts_equal_a_count(spark):
+    from leadloom.operators import guards
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["a", "a", "a", "b", None]), None if k % 50 == 7 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.choice([0, 24, 72, rng.randrange(600)]), seconds=rng.choice([0, 0, 1]))) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, domain string, ts timestamp_ntz").repartition(3)
+    got = guards.recently_contacted(df, 3)
+    assert got.columns == ["id", "domain", "ts", "recent"]
+    for r in got.collect():
+        want = 0 if r["ts"] is None else sum(d == r["domain"] and t is not None and r["ts"] - dt.timedelta(days=3) <= t < r["ts"] for _, d, t in rows)
+        assert r["recent"] == want, r
+
+
+def test_first_rows_of_keys_in_a_stream(spark, tmp_path):
+    from leadloom.streaming import stateful
+
+    kind = "k int, event_id int, ts timestamp_ntz"
+    t = dt.datetime(2024, 1, 1)
+    for n, rows in enumerate([[(1, 1, t), (2, 2, t)], [(1, 3, t + dt.timedelta(minutes=1)), (3, 4, t)]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = stateful.first_seen(source, ["k"], "1 hour").writeStream.format("memory").queryName("first_rows").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["k"], r["event_id"]) for r in spark.table("first_rows").collect()} == {(1, 1), (2, 2), (3, 4)}
