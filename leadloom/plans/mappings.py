@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contact, crypto, text
-from ..operators import payloads, segments, views, web
+from ..operators import payloads, segments, shapes, views, web
 from ..sources import sealed
 from . import catalog
 
@@ -119,3 +119,49 @@ def conflict_answers(spark, sf_dir):
     """FN-44: by status, by code, by words; a plain refusal is none."""
     e = views.table(spark, sf_dir, "events").selectExpr("event_id AS id", "CASE WHEN event_id % 6 = 0 THEN 409 WHEN event_id % 6 = 4 THEN 400 END AS status", "CASE WHEN event_id % 6 = 1 THEN '23505' WHEN event_id % 6 = 4 THEN 'E_BAD' END AS code", "CASE event_id % 6 WHEN 2 THEN 'Value must be UNIQUE' WHEN 3 THEN 'Conflict while saving' WHEN 4 THEN 'not valid' END AS message")
     return e.select("id", payloads.duplicate_conflict(F.col("status"), F.col("code"), F.col("message")).alias("conflict"))
+
+
+# ---- bodies of deliveries
+
+_CANONICAL_LEADS = """
+WITH l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'outbound' ELSE 'inbound' END AS channel, CASE o_orderkey % 3 WHEN 0 THEN c_name WHEN 1 THEN '' END AS company,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Ana' WHEN 1 THEN 'Ana  de la Cruz' WHEN 2 THEN ' ' WHEN 3 THEN 'Bo Li' END AS name, 'u' || o_custkey || '@x.com' AS email,
+  CASE WHEN o_orderkey % 2 = 0 THEN '619555' || (o_custkey % 10000) END AS phone, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 7 > 3 THEN 'https://x' || o_custkey || '.com' END AS website,
+  'City' || c_nationkey AS city, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(92000 + o_custkey % 99 AS VARCHAR) END AS zip, CASE WHEN o_orderkey % 8 <> 0 THEN (o_custkey % 500) || ' Main St' END AS address,
+  CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey * 7 END AS BIGINT) AS annual, CAST(CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_custkey + 90 END AS BIGINT) AS quote, c_mktsegment AS segment,
+  CASE WHEN o_orderkey % 10 < 3 THEN 'hot' WHEN o_orderkey % 10 < 5 THEN '' END AS temperature, 'src' || (o_custkey % 5) AS source, 'Order ' || o_orderkey AS description FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _canonical_leads(spark, sf_dir):
+    for t in ("orders", "customer"):
+        views.table(spark, sf_dir, t).createOrReplaceTempView(f"_mappings_{t}")
+    sql = _CANONICAL_LEADS.replace("VARCHAR", "STRING").replace("FROM orders", "FROM _mappings_orders").replace("JOIN customer", "JOIN _mappings_customer")
+    return spark.sql(sql + " SELECT * FROM l")
+
+
+def _json(*fields: str, number: tuple = (), blank: bool = False) -> str:
+    """SQL of a JSON object from `name=expression` fields; blank ones are left out, or kept as empty text."""
+    parts = []
+    for f in fields:
+        k, _, e = f.partition("=")
+        text = f"""'"{k}":' || {e}""" if k in number else f"""'"{k}":"' || {e} || '"'"""
+        parts.append(f"""'"{k}":"' || coalesce({e}, '') || '"'""" if blank and k not in number else f"CASE WHEN trim(CAST({e} AS VARCHAR)) <> '' THEN {text} END")
+    return f"'{{' || concat_ws(',', {', '.join(parts)}) || '}}'"
+
+
+_SHAPED = f"""{_CANONICAL_LEADS}, p AS (SELECT *, split_part(trim(coalesce(name, '')), ' ', 1) AS given, trim(regexp_replace(trim(coalesce(name, '')), '^\\S*\\s*', '')) AS family,
+  CASE WHEN channel = 'outbound' THEN 'Cold Call' ELSE 'Web Site' END AS origin, coalesce(nullif(trim(family), ''), nullif(company, ''), 'Lead') AS last, coalesce(CASE WHEN trim(name) <> '' THEN name END, nullif(company, '')) AS named,
+  CASE WHEN annual > 0 THEN annual WHEN quote > 0 THEN quote END AS amount FROM l)
+SELECT id, 'rest_lead' AS shape, {_json("firstName=given", "lastName=last", "accountName=company", "emailAddress=email", "phoneNumber=phone", "website=website", "addressCity=city", "addressPostalCode=zip", "addressStreet=address", "source=origin", "status='New'", "opportunityAmount=amount", "opportunityAmountCurrency='USD'", "description=description", number=("opportunityAmount",))} AS body FROM p
+UNION ALL SELECT id, 'json_api_lead', '{{"data":{{"type":"Leads","attributes":' || {_json("first_name=given", "last_name=last", "account_name=company", "email1=email", "phone_work=phone", "website=website", "primary_address_city=city", "primary_address_postalcode=zip", "primary_address_street=address", "lead_source=origin", "status='New'", "description=description", blank=True)} || '}}}}' FROM p
+UNION ALL SELECT id, 'flat_lead', {_json("name=coalesce(named, 'Lead')", "company=company", "email=email", "phonenumber=phone", "website=website", "city=city", "zip=zip", "address=address", "source=CASE WHEN channel = 'outbound' THEN 2 ELSE 1 END", "status=1", "description=description", number=("source", "status"), blank=True)} FROM p
+UNION ALL SELECT id, 'element_lead', {_json("lastname=last", "firstname=given", "company=coalesce(nullif(company, ''), named, 'Lead')", "email=email", "phone=phone", "website=website", "city=city", "code=zip", "leadsource=origin", "description=description", blank=True)} FROM p
+UNION ALL SELECT id, 'property_contact', '{{"properties":' || {_json("email=email", "firstname=given", "lastname=family", "phone=phone", "company=company", "website=website", "zip=zip", "city=city", "hs_lead_status='NEW'", "lifecyclestage='lead'")} || '}}' FROM p
+UNION ALL SELECT id, 'tagged_contact', rtrim({_json("email=email", "phone=phone", "name=named", "companyName=company", "website=website", "postalCode=zip", "city=city", "source=source")}, '}}') || ',"tags":["' || concat_ws('","', channel, segment, nullif(temperature, '')) || '"]}}' FROM p
+UNION ALL SELECT id, 'company_upsert', {_json("dedupKey=CAST(id AS VARCHAR)", "businessName=coalesce(nullif(company, ''), name)", "website=website", "source=source", "email=email", "phone=phone", "contactName=name", "address=address", "city=city", "zip=zip", "channel=channel", "estAnnualValue=annual", "estVisitValue=quote", number=("estAnnualValue", "estVisitValue"))} FROM p"""
+
+
+@query(_SHAPED)
+def delivery_bodies(spark, sf_dir):
+    """SNK-06: every lead as the bodies of seven kinds of systems (the eighth, a webhook, is the canonical lead itself)."""
+    return shapes.delivered(_canonical_leads(spark, sf_dir)).where("shape <> 'webhook'").select("id", "shape", "body")
