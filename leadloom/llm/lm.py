@@ -15,9 +15,9 @@ from .common import discard, materialize
 from .toxicity import fold
 
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 32_000_000
 #: Contexts are this many bytes at most.
-DEPTH = 6
+DEPTH = 5
 #: Rows of one id and text are counted once, with their number, beyond so many.
 HOT = 1_000
 END = b"\n"
@@ -118,7 +118,9 @@ def context_tree(grams: DataFrame) -> list[DataFrame]:
     w is the weight of the context's own estimate against that of its children:
     half its probability over the weighted one, half own plus half the children's product.
     """
-    bits = grams.where("n > 0").select(F.expr("gram >> 8").alias("ctx"), F.expr("cast(gram & 255 as int)").alias("byte"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    # Grams are dealt by context before each becomes eight rows; counting nodes then needs no shuffle of its own.
+    seen = grams.where("n > 0").select(F.expr("gram >> 8").alias("ctx"), F.expr("cast(gram & 255 as int)").alias("byte"), "n").repartition("ctx")
+    bits = seen.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     node = F.expr("shiftleft(1, i) | shiftright(byte, 8 - i)")
     bit = F.expr("shiftright(byte, 7 - i) & 1")
     level = bits.groupBy("ctx", node.alias("node")).agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
