@@ -205,9 +205,9 @@ def reconcile_totals(spark, sf_dir):
     return claimed(spark, sf_dir).rollup("source").agg(n.alias("fetched"), made.alias("created"), gone.alias("deduped"), (n == made + gone).alias("conserved"))
 
 
-@query(_RANKED + " SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND 'n' || c_custkey = name_key) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey * 5 = c.id)")
+@query(_RANKED + " SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING' AND 'n' || c_custkey = name_key) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey * 5 = c.id)")
 def index_anti_or(spark, sf_dir):
-    index = views.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr("concat('n', c_custkey) AS name_key", "c_custkey * 5 AS id")
+    index = views.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("concat('n', c_custkey) AS name_key", "c_custkey * 5 AS id")
     return resolve.not_known(candidates(spark, sf_dir), index, ["name_key", "id"]).select("id")
 
 

@@ -155,26 +155,26 @@ def enrichment_histograms(spark, sf_dir):
     return each.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS id, s_name AS prospect FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey WHERE o_orderstatus = 'O'")
+@query("SELECT o_orderkey AS id, s_name AS prospect FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey")
 def step_prospect_left(spark, sf_dir):
     """JN-03: the prospect of a step's lead, which may be absent."""
-    o = views.table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("s_suppkey"))
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("s_suppkey"))
     return o.join(views.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("prospect")), "s_suppkey", "left").select("id", "prospect")
 
 
-@query("SELECT c_custkey AS id, e.seen AS evidence_at, e.seen IS NOT NULL AS has_evidence FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS seen FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 GROUP BY 1) e ON c_custkey = o_custkey")
+@query("SELECT c_custkey AS id, e.seen AS evidence_at, e.seen IS NOT NULL AS has_evidence FROM customer LEFT JOIN (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) AS seen FROM orders GROUP BY 1) e ON c_custkey = o_custkey")
 def company_evidence(spark, sf_dir):
     """JN-13."""
-    e = views.table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("evidence_at"))
+    e = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("evidence_at"))
     c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return c.join(e, "id", "left").select("id", "evidence_at", F.col("evidence_at").isNotNull().alias("has_evidence"))
 
 
-@query("WITH s AS (SELECT c_custkey AS company, 'job ' || (c_custkey % 700) AS name FROM customer WHERE c_custkey % 40 = 0) SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT company FROM s) OR 'job ' || (o_orderkey % 1000) IN (SELECT name FROM s)")
+@query("WITH s AS (SELECT c_custkey AS company, 'job ' || (c_custkey % 700) AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 8000) SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT company FROM s) OR 'job ' || (o_orderkey % 1000) IN (SELECT name FROM s)")
 def existing_opportunities(spark, sf_dir):
     """JN-14: by company or by name."""
     o = views.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS company", "concat('job ', o_orderkey % 1000) AS name")
-    s = views.table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").selectExpr("c_custkey AS company", "concat('job ', c_custkey % 700) AS name")
+    s = views.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 8000").selectExpr("c_custkey AS company", "concat('job ', c_custkey % 700) AS name")
     return records.either_key(o, s, ["company", "name"]).select("id")
 
 
