@@ -167,10 +167,10 @@ def near_duplicates(
     members = members.withColumn("own", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
     met = members.select("c", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     met = met.select("c", "t", "key", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    rows = met.join(classes.select("c", "v", "m"), "c").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "c")
+    rows = met.join(classes.select("c", "v", "m", "label"), "c").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in (alike for group in _groups(batches) for alike in _alike(group)):
             ids, t, own, p, q = (np.asarray(group.column(k).combine_chunks()) for k in ("c", "t", "own", "p", "q"))
             x, m = _matrix(group.column("v").combine_chunks()), np.asarray(group.column("m").combine_chunks()).astype(float)
             s = signatures(x, tables, projections, width)
@@ -179,7 +179,7 @@ def near_duplicates(
             got = _compare(ids[a], x[a], m[a], s[a], ids[b], x[b], m[b], s[b], int(t[0]), threshold, same)
             yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["c", "links", "root"])
 
-    found = materialize(rows.select("key", "p", "q", "c", "t", "own", "v", "m").mapInArrow(compare, "c long, links long, root long").where("links > 0 or c != root"))
+    found = materialize(rows.select("key", "p", "q", "c", "t", "own", "v", "m", "label").mapInArrow(compare, "c long, links long, root long").where("links > 0 or c != root"))
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("c != root").select("c", "root").distinct(), "c", "root")
     of = classes.join(counts, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
@@ -221,6 +221,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _alike(group: pa.Table) -> Iterator[pa.Table]:
+    """The group by label and length: buckets are keyed by a hash, which different ones may share."""
+    labels = group.column("label").combine_chunks().dictionary_encode()
+    kinds = np.stack([np.asarray(labels.indices), np.asarray(pc.list_value_length(group.column("v").combine_chunks()))])
+    if (kinds == kinds[:, :1]).all():
+        yield group
+        return
+    of = np.unique(kinds, axis=1, return_inverse=True)[1].ravel()
+    for k in range(of.max() + 1):
+        yield group.take(np.flatnonzero(of == k))
+
+
 def oracle(threshold: float = 0.98) -> str:
     """DuckDB SQL of near_duplicates on embeddings: all pairs of a label, and components by reachability."""
     return f"""

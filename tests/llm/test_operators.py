@@ -395,6 +395,14 @@ def test_lm_tables_take_any_alphabet():
     assert lm._Grams(np.empty(0, np.int64), np.empty(0)).total(b"") == 0
 
 
+def test_buckets_that_share_a_hash_are_told_apart():
+    import pyarrow as pa
+
+    group = pa.table({"c": [1, 2, 3, 4, 5], "label": ["a", "b", "a", "a", "b"], "v": [[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0], [0.0, 1.0]]})
+    assert sorted(t.column("c").to_pylist() for t in vectors._alike(group)) == [[1, 3], [2, 5], [4]]
+    assert [t.num_rows for t in vectors._alike(group.slice(0, 1))] == [1]
+
+
 def test_toxicity_learns_from_one_row_of_an_id(spark):
     rows = [(5, f"hot row {k}") for k in range(3000)] + [(k, f"plain {k}") for k in range(10, 30)]
     labels = [(5, 1, 1), (11, 1, 0), (12, 1, 0)]
