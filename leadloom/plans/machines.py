@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import drip, lookup, ordered, resolve, views
+from ..sources.strict import read_strict
 from ..sources.upsert import UpsertTable
 from ..streaming import audit
 from ..tables import shared_folder
@@ -232,3 +233,27 @@ def merged_orders(spark, sf_dir):
     if not again.replayed:
         raise ValueError("a replayed batch was merged again")
     return table.read()
+
+
+# ---- files
+
+_LINE = '''CASE o_orderkey % 10
+  WHEN 1 THEN concat(o_orderkey, ',"', o_orderpriority, '"x,', o_custkey) WHEN 2 THEN concat(o_orderkey, ',a"b"c,', o_custkey) WHEN 3 THEN concat(o_orderkey, ',short')
+  WHEN 4 THEN concat(o_orderkey, ',a,', o_custkey, ',long') WHEN 5 THEN concat(o_orderkey, ',"two', chr(10), 'lines, ""said""",', o_custkey) ELSE concat('"', o_orderkey, '",', o_orderpriority, ',', o_custkey) END'''
+
+
+@query(
+    "WITH r AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 10 WHEN 1 THEN 'text_after_quote' WHEN 2 THEN 'quote_in_bare_field' WHEN 3 THEN 'short_row' WHEN 4 THEN 'long_row' END AS fault, CASE WHEN o_orderkey % 10 = 5 THEN 'two' || chr(10) || 'lines, \"said\"' ELSE o_orderpriority END AS note FROM orders)"
+    " SELECT fault, CASE WHEN fault IS NULL THEN o_orderkey::VARCHAR END AS id, CASE WHEN fault IS NULL THEN note END AS note, CASE WHEN fault IS NULL THEN o_custkey::VARCHAR END AS owner FROM r"
+)
+def strict_register(spark, sf_dir):
+    """SRC-04, SRC-06: orders written as a faulty register and read back; every row is there, sound or with its fault."""
+    path = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
+    o = views.table(spark, sf_dir, "orders")
+    head = F.when(F.col("first"), F.concat(F.lit("made by hand\nid,note,owner\n"), F.col("line"))).otherwise(F.col("line"))
+    part = F.spark_partition_id()
+    numbered = o.select(F.expr(_LINE).alias("line"), part.alias("p"), F.monotonically_increasing_id().alias("m"))
+    first = numbered.select("*", (F.col("m") == F.col("p").cast("long") * (1 << 33)).alias("first"))
+    first.select(head.alias("value")).write.text(path)
+    rows = read_strict(spark, path, ["id", "note", "owner"], banner_lines=1)
+    return rows.select(F.col("_fault").alias("fault"), "id", "note", "owner")
