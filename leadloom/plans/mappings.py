@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contact, crypto, text
-from ..operators import payloads, segments, shapes, views, web
+from ..operators import guards, payloads, segments, shapes, views, web
 from ..sources import sealed
 from . import catalog
 
@@ -165,3 +165,59 @@ UNION ALL SELECT id, 'company_upsert', {_json("dedupKey=CAST(id AS VARCHAR)", "b
 def delivery_bodies(spark, sf_dir):
     """SNK-06: every lead as the bodies of seven kinds of systems (the eighth, a webhook, is the canonical lead itself)."""
     return shapes.delivered(_canonical_leads(spark, sf_dir)).where("shape <> 'webhook'").select("id", "shape", "body")
+
+
+# ---- records with all their parts
+
+
+@query(
+    "WITH mails AS (SELECT l_orderkey AS id, string_agg(l_linenumber || '@' || strftime(l_shipdate, '%Y-%m-%d'), ',' ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) AS emails FROM lineitem GROUP BY 1),"
+    " acts AS (SELECT user_id, string_agg(event_type || '#' || event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50 GROUP BY 1),"
+    f" catalog(sequence, step, position, delay) AS (VALUES {', '.join(repr((s, n, k, m)) for s, steps in catalog.SEQUENCES.items() for k, (n, m) in enumerate(steps))}),"
+    " planned AS (SELECT o_orderkey AS id, string_agg(step, ',' ORDER BY delay, position) AS steps FROM orders JOIN customer ON o_custkey = c_custkey JOIN catalog ON sequence = CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'commercial' ELSE 'residential' END GROUP BY 1)"
+    " SELECT o_orderkey AS id, coalesce(emails, '') AS emails, coalesce(steps, '') AS steps, coalesce(events, '') AS events FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN mails ON mails.id = o_orderkey LEFT JOIN planned ON planned.id = o_orderkey LEFT JOIN acts ON user_id = o_custkey"
+)
+def lead_with_children(spark, sf_dir):
+    """JN-04: every lead with its mails, newest first, its steps by time, and its latest 50 events. Each child table is one row per
+    lead before it meets the others, so that they don't multiply."""
+    from pyspark.sql import Window
+
+    c = F.col
+    joined = lambda items, text: F.array_join(F.transform(items, text), ",")
+    lines = views.table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("id"))
+    mails = lines.agg(F.sort_array(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_partkey")), asc=False).alias("m"))
+    mails = mails.select("id", joined("m", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit("@"), F.date_format(x["l_shipdate"], "yyyy-MM-dd"))).alias("emails"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    acts = views.table(spark, sf_dir, "events").withColumn("n", F.row_number().over(newest)).where("n <= 50")
+    acts = acts.groupBy(c("user_id").alias("customer")).agg(F.sort_array(F.collect_list(F.struct("n", "event_type", "event_id"))).alias("e"))
+    acts = acts.select("customer", joined("e", lambda x: F.concat(x["event_type"], F.lit("#"), x["event_id"].cast("string"))).alias("events"))
+    leads = views.leads(spark, sf_dir).select("id", "customer", "segment", "status", "created_at")
+    steps = guards.enrol(leads).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("scheduled_at", "position", "step"))).alias("s"))
+    steps = steps.select("id", joined("s", lambda x: x["step"]).alias("steps"))
+    out = leads.join(mails, "id", "left").join(steps, "id", "left").join(acts, "customer", "left")
+    return out.select("id", *[F.coalesce(k, F.lit("")).alias(k) for k in ("emails", "steps", "events")])
+
+
+_PARTS = """
+  CASE WHEN o_orderkey % 3 = 0 THEN 'r' || (o_orderkey % 4) END AS source, CASE o_orderkey % 12 WHEN 0 THEN 'permit_finaled' WHEN 3 THEN 'new_business' WHEN 6 THEN 'permit_finaled' ELSE 'active_permit' END AS kind,
+  CASE WHEN o_orderkey % 12 = 6 THEN NULL ELSE '2024-01-0' || (o_orderkey % 9 + 1) END AS day, CASE WHEN o_orderkey % 24 = 0 THEN o_orderkey * 10 END AS valuation, CASE WHEN o_orderkey % 36 = 0 THEN 'new roof' END AS work,
+  'site ' || (o_orderkey % 5) AS mail, CASE WHEN o_orderkey % 5 = 1 THEN 'call me' WHEN o_orderkey % 5 = 2 THEN '' END AS message, CASE WHEN o_orderkey % 7 = 1 THEN '/start' END AS page"""
+
+
+@query(
+    f"WITH p AS (SELECT o_orderkey AS id, {_PARTS} FROM orders) SELECT id, concat_ws(chr(10), 'Order ' || id, CASE WHEN source IS NOT NULL THEN concat_ws(chr(10), '', 'Origin: automatic prospecting · ' || source, CASE kind WHEN 'permit_finaled' THEN 'Signal: work finished on ' || coalesce(day, 'an unknown day') || coalesce(' ($' || valuation || ')', '') WHEN 'new_business' THEN 'Signal: opened on ' || day END, CASE WHEN kind = 'permit_finaled' THEN 'Work: ' || work END, 'Mail found: ' || mail) END, CASE WHEN message <> '' THEN concat_ws(chr(10), '', 'Message: ' || message) END, 'Page: ' || page) AS description FROM p"
+)
+def further_description(spark, sf_dir):
+    """PRJ-09: the parts of a description that only some leads have."""
+    o = views.table(spark, sf_dir, "orders")
+    p = o.selectExpr("o_orderkey AS id", *[x.strip() for x in _split(_PARTS)])
+    c = F.col
+    prospecting = F.when(c("source").isNotNull(), F.struct("source", F.struct(c("kind").alias("type"), c("day").alias("at"), "valuation", "work").alias("signal"), c("mail").alias("email_source")))
+    return p.select("id", payloads.describe_further(F.concat(F.lit("Order "), c("id").cast("string")), prospecting, c("message"), c("page")).alias("description"))
+
+
+def _split(fields: str) -> list[str]:
+    """The expressions of a list in SQL; none of them holds a comma followed by a name of its own."""
+    import re
+
+    return [f.replace("\n", " ") for f in re.split(r"(?<=AS source),|(?<=AS kind),|(?<=AS day),|(?<=AS valuation),|(?<=AS work),|(?<=AS mail),|(?<=AS message),", fields)]
