@@ -15,7 +15,7 @@ from .common import discard, materialize
 from .toxicity import fold
 
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 24_000_000
 #: Contexts are this many bytes at most.
 DEPTH = 5
 #: Rows of one id and text are counted once, with their number, beyond so many.
