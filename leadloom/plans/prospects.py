@@ -103,9 +103,15 @@ def priced_segments(spark):
     return pricing.with_quote(jobs).select(F.col("name").alias("segment"), F.col("quote_price").alias("visit_value"), "annual_value", "quote_low", "quote_high")
 
 
-@query(f"WITH {_JOBS}, ranges(segment, low, high) AS (VALUES ('property_manager', 215, 275), ('office_clinic', 350, 440), ('restaurant_retail', 260, 330), ('str_host', 125, 155), ('post_construction', 570, 730)) SELECT segment, price::BIGINT AS visit_value, annual::BIGINT AS annual_value, low::BIGINT AS quote_low, high::BIGINT AS quote_high FROM jobs JOIN ranges USING (segment)")
+@query(
+    _SCORED
+    + ", ranges(segment, low, high) AS (VALUES ('property_manager', 215, 275), ('office_clinic', 350, 440), ('restaurant_retail', 260, 330), ('str_host', 125, 155), ('post_construction', 570, 730)),"
+    " held AS (SELECT segment, count(*) AS prospects FROM icp GROUP BY 1) SELECT segment, price::BIGINT AS visit_value, annual::BIGINT AS annual_value, low::BIGINT AS quote_low, high::BIGINT AS quote_high, coalesce(prospects, 0) AS prospects FROM jobs JOIN ranges USING (segment) LEFT JOIN held USING (segment)"
+)
 def segment_quote_dim(spark, sf_dir):
-    return priced_segments(spark)
+    """JN-21: the dimension of priced segments, each with the number of prospects that refer to it."""
+    held = classified(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("prospects"))
+    return priced_segments(spark).join(held, "segment", "left").withColumn("prospects", F.coalesce("prospects", F.lit(0)))
 
 
 def scored(spark, sf_dir):
