@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: A block of level k has 2^(BITS k) numbers. More bits: fewer rows a point, more blocks a range.
 BITS = 4
-TOP = 15
+#: Blocks for counts, which take a row for a block of points and not for a point.
+COUNT_BITS = 2
 #: Bytes of keywords that one automaton holds at most; its nodes take about 60 times as much.
 KEYWORD_BYTES = 2_000_000
 
@@ -18,36 +19,64 @@ KEYWORD_BYTES = 2_000_000
 # ---- ranges
 
 
-def cover(low: Column, high: Column) -> Column:
+def cover(low: Column, high: Column, width: int = BITS) -> Column:
     """Array of (level, block): aligned blocks that don't overlap and whose union is the whole numbers from low to high, ends
-    included; null for an empty range or a null end. At most 2 x 15 blocks a level."""
+    included; null for an empty range or a null end. At most 2 x (2^width - 1) blocks a level."""
     fn = F.call_function
+    last = 60 // width
 
     def on_level(k: Column) -> Column:
-        bits, one = k * BITS, F.lit(1).cast("long")
+        bits, one = k * width, F.lit(1).cast("long")
         lo = fn("shiftright", low.cast("long") + fn("shiftleft", one, bits) - 1, bits)
         hi = fn("shiftright", high.cast("long") + 1, bits)
-        # What the next level can take stands between the multiples of 2^BITS inside.
-        inner_lo = F.when(k == TOP, hi).otherwise(F.least(hi, fn("shiftleft", fn("shiftright", lo + (1 << BITS) - 1, F.lit(BITS)), F.lit(BITS))))
-        inner_hi = F.greatest(inner_lo, fn("shiftleft", fn("shiftright", hi, F.lit(BITS)), F.lit(BITS)))
+        # What the next level can take stands between the multiples of 2^width inside.
+        inner_lo = F.when(k == last, hi).otherwise(F.least(hi, fn("shiftleft", fn("shiftright", lo + (1 << width) - 1, F.lit(width)), F.lit(width))))
+        inner_hi = F.greatest(inner_lo, fn("shiftleft", fn("shiftright", hi, F.lit(width)), F.lit(width)))
         run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
         blocks = F.concat(run(lo, inner_lo), run(inner_hi, hi))
         return F.transform(F.when(lo < hi, blocks).otherwise(F.array().cast("array<bigint>")), lambda b: F.struct(k.alias("level"), b.alias("block")))
 
-    return F.when(low <= high, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP)), on_level)))
+    # A block within a range isn't longer than it.
+    top = sum((((high.cast("long") - low.cast("long")) >= (1 << width * k) - 1).cast("int") for k in range(1, last + 1)), F.lit(0))
+    return F.when(low <= high, F.flatten(F.transform(F.sequence(F.lit(0), top), on_level)))
+
+
+def _blocks(ranges: DataFrame, low: str, high: str, width: int) -> tuple[DataFrame, list[int]]:
+    """ranges with a row per block (_level, _block), and the levels that they may use."""
+    longest = ranges.agg(F.max(F.col(high).cast("long") - F.col(low).cast("long"))).first()[0]
+    levels = [k for k in range(60 // width + 1) if (longest or 0) >= (1 << width * k) - 1]
+    # Dealt out before the blocks are made: a table of ranges is one small file often.
+    dealt = ranges.repartition(low, high)
+    blocks = dealt.withColumn("_b", F.explode(cover(F.col(low), F.col(high), width)))
+    return blocks.select(*ranges.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")), levels or [0]
+
+
+def _probes(points: DataFrame, point: str, levels: list[int], width: int) -> DataFrame:
+    at = F.transform(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: F.struct(k.alias("_level"), F.call_function("shiftright", F.col(point).cast("long"), k * width).alias("_block")))
+    return points.where(F.col(point).isNotNull()).select("*", F.inline(at))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:
     """points x ranges where low <= point <= high (whole numbers within 2^60 of 0), as an equality join on (level, block).
 
     A point and a range meet in exactly one block, so a pair comes once however ranges overlap. A point is
-    looked up once for each level that the ranges use, three or four mostly. Null points match nothing. A block that many points share is one skewed key of a sort-merge join, which AQE splits.
+    looked up once for each level up to that of the longest range, three or four mostly. Null points match nothing. A block that many points share is one skewed key of a sort-merge join, which AQE splits.
+    The join is always a sort-merge join: Spark reckons the blocks to be as small as their ranges and would broadcast them.
+    """
+    blocks, levels = _blocks(ranges, low, high, BITS)
+    return _probes(points, point, levels, BITS).join(blocks.hint("merge"), ["_level", "_block"]).drop("_level", "_block")
+
+
+def range_counts(points: DataFrame, ranges: DataFrame, by: str, point: str, low: str, high: str) -> DataFrame:
+    """(by, n, first): the number and the smallest of the points of the ranges of one `by`, pair by pair as range_join() has them; only ranges that have some.
+
+    Points are counted for each block, level by level, before ranges meet them: what is joined is blocks, not pairs, however many points a range has.
     """
-    blocks = ranges.withColumn("_b", F.explode(cover(F.col(low), F.col(high)))).select(*ranges.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
-    levels = sorted(r[0] for r in blocks.select("_level").distinct().collect())  # sixteen at most
-    at = F.transform(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: F.struct(k.alias("_level"), F.call_function("shiftright", F.col(point).cast("long"), k * BITS).alias("_block")))
-    probes = points.where(F.col(point).isNotNull()).select("*", F.inline(at))
-    return probes.join(blocks, ["_level", "_block"]).drop("_level", "_block")
+    blocks, levels = _blocks(ranges.select(by, low, high), low, high, COUNT_BITS)
+    counted = points.select(F.col(point).cast("long").alias("_low"), F.lit(1).cast("long").alias("_n")).where("_low IS NOT NULL")
+    probes = _probes(counted, "_low", levels, COUNT_BITS).groupBy("_level", "_block").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"))
+    met = probes.join(blocks.select(by, "_level", "_block").hint("merge"), ["_level", "_block"])
+    return met.groupBy(by).agg(F.sum("_n").alias("n"), F.min("_low").alias("first"))
 
 
 # ---- keywords

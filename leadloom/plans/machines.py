@@ -178,10 +178,9 @@ def applied_plan(spark, sf_dir):
 
 @query("SELECT p_partkey AS part, count(*) AS orders, min(o_orderkey) AS first FROM part JOIN orders ON o_orderkey BETWEEN p_partkey * 7 - 500 AND p_partkey * 7 - 500 + p_size * p_size GROUP BY 1")
 def range_lookup(spark, sf_dir):
-    """JN-17: ranges as a table of any size, some of them below zero; an equality join, no nested loop."""
+    """JN-17: ranges as a table of any size, some of them below zero; an equality join with counts of blocks, no nested loop."""
     ranges = views.table(spark, sf_dir, "part").selectExpr("p_partkey AS part", "p_partkey * 7 - 500 AS low", "p_partkey * 7 - 500 + p_size * p_size AS high")
-    found = lookup.range_join(views.table(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey", "low", "high")
-    return found.groupBy("part").agg(F.count("*").alias("orders"), F.min("o_orderkey").alias("first"))
+    return lookup.range_counts(views.table(spark, sf_dir, "orders"), ranges, "part", "o_orderkey", "low", "high").withColumnRenamed("n", "orders")
 
 
 @query("SELECT DISTINCT doc_id, word FROM documents JOIN (SELECT DISTINCT right(c_name, 4) AS word FROM customer UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part) ON contains(text, word)")

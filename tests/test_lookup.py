@@ -16,6 +16,25 @@ def test_range_join_equals_comparing_all(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
 
 
+def test_blocks_of_ranges_are_never_broadcast(spark):
+    points, ranges = spark.range(50).withColumnRenamed("id", "at"), spark.range(20).selectExpr("id AS range", "id AS low", "id + 900 AS high")
+    for out in (lookup.range_join(points, ranges, "at", "low", "high"), lookup.range_counts(points, ranges, "range", "at", "low", "high")):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().toString()
+
+
+def test_range_counts_are_those_of_the_pairs(spark):
+    rng = random.Random(5)
+    points = [(rng.choice([rng.randint(-3000, 3000), rng.randint(-(2**59), 2**59), None]),) for _ in range(300)] + [(5,)] * 3
+    ranges = [(k % 40, a, a + rng.choice([0, 1, 15, 16, 17, 700, 2**40, -1])) for k, a in enumerate(rng.randint(-3000, 3000) for _ in range(150))]
+    ranges += [(900, -(2**59), 2**59), (901, None, 5), (902, 5, None), (903, 5, 5), (905, -(2**60) + 1, -5)]
+    got = lookup.range_counts(spark.createDataFrame(points, "at long"), spark.createDataFrame(ranges, "range int, low long, high long"), "range", "at", "low", "high")
+    want = {}
+    for r, lo, hi in ranges:
+        met = [p for (p,) in points if None not in (p, lo, hi) and lo <= p <= hi]
+        want[r] = want.get(r, []) + met
+    assert {tuple(r) for r in got.collect()} == {(r, len(met), min(met)) for r, met in want.items() if met}
+
+
 def test_covers_are_short_and_disjoint(spark):
     df = spark.createDataFrame([(1, 10**12), (-7, 7), (5, 4)], "low long, high long")
     for r in df.select("*", lookup.cover(df["low"], df["high"]).alias("blocks")).collect():
