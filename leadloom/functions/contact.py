@@ -99,17 +99,26 @@ def domain_candidates(name: Column) -> Column:
 
 
 def page_evidence(html: Column, name: Column, number: Column, postal: Column, address: Column) -> Column:
-    """Which of name, phone, zip and address a page shows; two are a match."""
-    text = F.lower(fold_accents(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")))
+    """Which of name, phone, zip and address a page shows; two are a match.
+
+    A postal code counts by its first five characters, as ZIP+4 does with and without a dash; one of six to eight digits is no such code and counts whole.
+    """
+    shown = F.lower(fold_accents(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")))
     words = F.filter(F.split(F.lower(fold_accents(name)), r"\s+"), lambda w: F.length(w) > 3)
-    hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
     digits = F.right(F.regexp_replace(F.coalesce(number, F.lit("")), r"\D", ""), F.lit(10))
     street = F.regexp_extract(F.coalesce(address, F.lit("")), r"^\d+", 0)
-    return F.array_compact(
-        F.array(
-            F.when((F.size(words) > 0) & (hits >= 0.6 * F.size(words)), "name"),
-            F.when((F.length(digits) == 10) & F.contains(F.regexp_replace(text, r"\D", ""), digits), "phone"),
-            F.when((F.coalesce(postal, F.lit("")) != "") & F.contains(text, F.substring(postal, 1, 5)), "zip"),
-            F.when((F.length(street) >= 3) & F.contains(text, street), "address"),
+    code = F.when(postal.rlike(r"^\d{6,8}$"), postal).otherwise(F.substring(postal, 1, 5))
+
+    def found(text: Column) -> Column:
+        hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
+        return F.array_compact(
+            F.array(
+                F.when((F.size(words) > 0) & (hits >= 0.6 * F.size(words)), "name"),
+                F.when((F.length(digits) == 10) & F.contains(F.regexp_replace(text, r"\D", ""), digits), "phone"),
+                F.when((F.coalesce(postal, F.lit("")) != "") & F.contains(text, code), "zip"),
+                F.when((F.length(street) >= 3) & F.contains(text, street), "address"),
+            )
         )
-    )
+
+    # The text as the only entry of an array, so that it is made once and not for every test.
+    return F.element_at(F.transform(F.array(shown), found), 1)

@@ -174,3 +174,10 @@ def test_projections(spark):
     assert one(spark, payloads.instant(F.lit("2024-01-31T10:00:00Z"))) == "2024-01-31T10:00:00.000Z"
     assert one(spark, payloads.label(F.lit("weekly"), {"weekly": "Weekly"})) == "Weekly" and one(spark, payloads.label(F.lit("x"), {})) == "x"
     assert one(spark, payloads.percent(F.lit(1), F.lit(8))) == 12.5 and one(spark, payloads.percent(F.lit(1), F.lit(0))) == 0
+
+
+def test_postal_codes_of_more_digits_count_whole(spark):
+    rows = [("153559", "see 15355"), ("153559", "see 153559"), ("92101-1234", "see 92101"), ("921011234", "see 92101"), ("92101", "see 9210")]
+    df = spark.createDataFrame(rows, "postal string, html string")
+    got = df.select(contact.page_evidence(F.col("html"), F.lit(""), F.lit(None).cast("string"), F.col("postal"), F.lit(None).cast("string")).alias("e")).collect()
+    assert [r["e"] for r in got] == [[], ["zip"], ["zip"], ["zip"], []]
