@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import contact, crypto, keys, money, text
 from leadloom.operators import guards, pricing, resolve, segments, sequential, web
-from leadloom.plans import chain, prospects
+from leadloom.plans import chain, events, prospects
 from leadloom.sources import synthetic
 
 
@@ -181,3 +181,11 @@ def test_postal_codes_of_more_digits_count_whole(spark):
     df = spark.createDataFrame(rows, "postal string, html string")
     got = df.select(contact.page_evidence(F.col("html"), F.lit(""), F.lit(None).cast("string"), F.col("postal"), F.lit(None).cast("string")).alias("e")).collect()
     assert [r["e"] for r in got] == [[], ["zip"], ["zip"], ["zip"], []]
+
+
+def test_running_totals_do_not_depend_on_rounding(spark, tmp_path):
+    # As doubles these reach 2000.0000000000002, as decimals 2000.
+    values = [596.27, 529.97, 160.44, 266.35, 446.97, 0.01]
+    spark.createDataFrame([(k, k, 1, "view", v) for k, v in enumerate(values)], "event_id long, ts long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["over_budget"] for r in events.running_totals(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(6)] == [False] * 5 + [True]
