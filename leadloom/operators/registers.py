@@ -6,6 +6,8 @@ Missing columns' values are nulls and count as blank. Lists and limits are param
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,9 @@ _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 
 def java(*patterns: str, case: bool = False) -> str:
     r"""All patterns as one, so that a text is read once; \b is an edge of ASCII words, as Java's own counts accented letters, too."""
-    return ("" if case else "(?i)") + "|".join(f"(?:{p})" for p in patterns).replace(r"\b", _EDGE)
+    # Before a letter an edge is a place that no word character precedes: one look and not four.
+    begun = [re.sub(r"(?<!\\)\\b(?=\(?[A-Za-z])", "(?<![A-Za-z0-9_])", p) for p in patterns]
+    return ("" if case else "(?i)") + "|".join(f"(?:{p})" for p in begun).replace(r"\b", _EDGE)
 
 
 def says(c: Column, *patterns: str, case: bool = False) -> Column:
@@ -95,8 +99,9 @@ def is_organization(name: Column) -> Column:
 
 def _mixed(name: Column, exceptions: list[str]) -> Column:
     """Whether one of several parts of a name is a person."""
+    # Most names have one part: they aren't split at all.
     parts = F.filter(F.split(F.trim(name), java(NAME_SEPARATOR)), lambda p: p != "")
-    return (F.size(parts) > 1) & F.exists(parts, lambda p: is_person(p, exceptions))
+    return says(name, NAME_SEPARATOR) & (F.size(parts) > 1) & F.exists(parts, lambda p: is_person(p, exceptions))
 
 
 def holder_tier(name: Column) -> Column:

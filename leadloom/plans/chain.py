@@ -11,13 +11,14 @@ Rule = tuple[str, str, Column]  # kind, reason, predicate that rejects
 def verdict(df: DataFrame, rules: list[Rule], kind: str = "kind", reason: str = "reason") -> DataFrame:
     """df with the kind and reason of the first rule that rejects the row, null for accepted ones.
 
-    A predicate that is null doesn't reject. One CASE expression: later rules aren't evaluated.
+    A predicate that is null doesn't reject. One CASE expression gives both: later rules aren't evaluated, and none is twice.
     """
-    k, r = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, text, rejects in reversed(rules):
-        hit = F.coalesce(rejects, F.lit(False))
-        k, r = F.when(hit, name).otherwise(k), F.when(hit, text).otherwise(r)
-    return df.select("*", k.alias(kind), r.alias(reason))
+    first = F.lit(None).cast("int")
+    for i, (_, _, rejects) in reversed(list(enumerate(rules))):
+        first = F.when(F.coalesce(rejects, F.lit(False)), i).otherwise(first)
+    found = computed_once(df.select("*", first.alias("_rule")), "_rule")
+    names = [F.array(*[F.lit(rule[part]) for rule in rules]) for part in (0, 1)]
+    return found.select(*df.columns, F.get(names[0], F.col("_rule")).alias(kind), F.get(names[1], F.col("_rule")).alias(reason))
 
 
 def all_failures(failures: list[tuple[str, Column]]) -> Column:

@@ -189,3 +189,9 @@ def test_running_totals_do_not_depend_on_rounding(spark, tmp_path):
     spark.createDataFrame([(k, k, 1, "view", v) for k, v in enumerate(values)], "event_id long, ts long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["over_budget"] for r in events.running_totals(spark, str(tmp_path)).collect()}
     assert [got[k] for k in range(6)] == [False] * 5 + [True]
+
+
+def test_a_rule_is_evaluated_once_for_kind_and_reason(spark):
+    out = chain.verdict(spark.createDataFrame([("zq",), ("a",), (None,)], "t string"), [("x", "one", F.col("t").rlike("zq")), ("y", "two", F.col("t") == "a")])
+    assert [(r["kind"], r["reason"]) for r in out.collect()] == [("x", "one"), ("y", "two"), (None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("zq") == 1
