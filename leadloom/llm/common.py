@@ -6,6 +6,8 @@ import gc
 import re
 import string
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,21 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans run within have no generated method of more than the 8,000 bytes that the JVM compiles.
+
+    A stage of many wide columns and several joins is one longer method otherwise, and is interpreted.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, compression: str = "lz4") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, short_methods
 from .toxicity import fold
 
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 24_000_000
 #: Contexts are this many bytes at most.
 DEPTH = 5
+#: Characters of texts, or bytes of one, that are scored at once.
+BATCH = 1 << 16
 #: Rows of one id and text are counted once, with their number, beyond so many.
 HOT = 1_000
 END = b"\n"
@@ -30,8 +32,23 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def _key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) & (_GRAM - 1)
+def _keys(batch: list[list[bytes]]) -> np.ndarray:
+    """The key of every token of a batch of texts, one after the other."""
+    found = [np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64) for words in batch]
+    return (np.concatenate(found) & np.uint64(_GRAM - 1)).astype(np.int64)
+
+
+def _batches(texts: Iterable[str | None], size: int) -> Iterator[list[list[bytes]]]:
+    """The tokens of texts, in batches that end with the text that brings them to `size` characters."""
+    batch, length = [], 0
+    for text in texts:
+        batch.append(tokens(text))
+        length += len(text or "")
+        if length >= size:
+            yield batch
+            batch, length = [], 0
+    if batch:
+        yield batch
 
 
 def _bytes(words: list[bytes]) -> bytes:
@@ -49,49 +66,39 @@ def _grams(raw: np.ndarray) -> np.ndarray:
 
 
 def _collect(parts: list[bytes]) -> np.ndarray:
-    return np.concatenate([_grams(np.frombuffer(p, np.uint8)) for p in parts]) if parts else np.empty(0, np.int64)
+    """The byte strings of all parts, one part after the other; none reaches from one part into the next."""
+    if not parts:
+        return np.empty(0, np.int64)
+    starts = np.cumsum([len(p) for p in parts[:-1]], dtype=np.int64)
+    return np.delete(_grams(np.frombuffer(b"".join(parts), np.uint8)), (starts[:, None] - DEPTH + np.arange(DEPTH)).ravel())
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts."""
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n[order], first)
 
 
 def _count_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     """chunk, key, n: every token and byte string of the chunk's texts, n times in those to learn from."""
-    learned: Counter = Counter()
-    other: set[bytes] = set()
+    train, once = pdf["train"], pdf["copies"] == 1
+    groups = [(1, pdf.loc[train & once, "text"]), (0, pdf.loc[~train, "text"])]
+    groups += [(copies, [text]) for text, copies in pdf.loc[train & ~once, ["text", "copies"]].itertuples(index=False)]
     keys, counts = [], []
-    for train in (True, False):
-        parts, size = [], 0
-        some = pdf[pdf["train"] == train]
-        for k, (text, copies) in enumerate(zip(some["text"], some["copies"], strict=True), 1):
-            words = tokens(text)
-            if not train:
-                other.update(words)
-            elif copies == 1:
-                learned.update(words)
-            else:
-                learned.update({w: int(n * copies) for w, n in Counter(words).items()})
-                found, n = np.unique(_collect([_bytes(words)]), return_counts=True)
-                keys.append(found)
-                counts.append(n * (copies - 1))
-            parts.append(_bytes(words))
-            size += len(parts[-1])
-            if size > 2_000_000 or k == len(some):
-                found, n = np.unique(_collect(parts), return_counts=True)
-                keys.append(found)
-                counts.append(n if train else np.zeros(len(n), np.int64))
-                parts, size = [], 0
-                if len(keys) > 8:
-                    keys, counts = ([x] for x in _merged(keys, counts))
-    gram, times = _merged(keys, counts)
-    words = list(learned) + [w for w in other if w not in learned]
-    key = np.append(np.array([_key(w) for w in words], np.int64), gram | _GRAM)
-    n = np.append(np.array([learned.get(w, 0) for w in words], np.int64), times)
+    for copies, texts in groups:
+        for batch in _batches(texts, 500_000):
+            strings = _collect([_bytes(words) for words in batch]) | _GRAM
+            found, n = np.unique(np.concatenate([_keys(batch), strings]), return_counts=True)
+            keys.append(found)
+            counts.append(n * copies)
+            if len(keys) > 8:
+                keys, counts = ([x] for x in _merged(keys, counts))
+    key, n = _merged(keys, counts)
     return pd.DataFrame({"chunk": np.full(len(key), pdf["chunk"].iat[0]), "key": key, "n": n})
 
 
@@ -145,21 +152,21 @@ def gram_scores(grams: DataFrame, tree: list[DataFrame]) -> DataFrame:
     A context's nodes, 255 at most, are one row; a gram meets one row a depth, deepest first, and keeps eight numbers.
     """
     byte = F.expr("cast(gram & 255 AS int)")
+    node = [F.shiftright(byte, 8 - i).bitwiseOR(F.lit(1 << i)) for i in range(8)]
+    zero = [F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)) == 0 for i in range(8)]
+    part = {"zero": F.expr("w * ((a + 0.5) / (a + b + 1))"), "one": F.expr("w * ((b + 0.5) / (a + b + 1))"), "rest": F.expr("1 - w")}
+    entry = F.struct("node", F.struct(*[v.alias(k) for k, v in part.items()]).alias("s"))
     rows = grams.select("gram", F.expr("gram >> 8").alias("long"), *[F.lit(0.5).alias(f"m{i}") for i in range(8)])
     for depth, table in reversed(list(enumerate(tree))):
-        entry = F.struct("node", F.struct("a", "b", "w").alias("s"))
         known = table.groupBy(F.col("ctx").alias("c")).agg(F.map_from_entries(F.collect_list(entry)).alias("nodes"))
-        rows = rows.withColumn("c", F.col("long").bitwiseAND(F.lit((1 << 8 * depth) - 1)))
-        # One and 256 rows at most for the first two depths, whatever the data are.
-        rows = rows.join(F.broadcast(known) if depth < 2 else known, "c", "left")
-        found, mixed = [], []
-        for i in range(8):
-            node, bit = F.shiftright(byte, 8 - i).bitwiseOR(F.lit(1 << i)), F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1))
-            found += [F.try_element_at("nodes", node).alias(f"s{i}"), bit.alias(f"b{i}")]
-            s = F.col(f"s{i}")
-            own = (F.when(F.col(f"b{i}") == 0, s["a"]).otherwise(s["b"]) + 0.5) / (s["a"] + s["b"] + 1)
-            mixed.append(F.coalesce(s["w"] * own + (1 - s["w"]) * F.col(f"m{i}"), F.lit(0.5)).alias(f"m{i}"))
-        rows = rows.select("gram", "long", *[f"m{i}" for i in range(8)], *found).select("gram", "long", *mixed)
+        if depth < 2:
+            # One and 256 rows at most, whatever the data are; nearly all nodes are there, so they are an array by number.
+            known = F.broadcast(known.select("c", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.try_element_at("nodes", k)).alias("nodes")))
+        found = [F.get("nodes", k) if depth < 2 else F.try_element_at("nodes", k) for k in node]
+        rows = rows.withColumn("c", F.col("long").bitwiseAND(F.lit((1 << 8 * depth) - 1))).join(known, "c", "left")
+        rows = rows.select("gram", "long", *[f"m{i}" for i in range(8)], *[s.alias(f"s{i}") for i, s in enumerate(found)])
+        own = [F.when(zero[i], F.col(f"s{i}.zero")).otherwise(F.col(f"s{i}.one")) for i in range(8)]
+        rows = rows.select("gram", "long", *[F.coalesce(own[i] + F.col(f"s{i}.rest") * F.col(f"m{i}"), F.lit(0.5)).alias(f"m{i}") for i in range(8)])
     total = F.log10("m0")
     for i in range(1, 8):
         total = total + F.log10(f"m{i}")
@@ -167,7 +174,7 @@ def gram_scores(grams: DataFrame, tree: list[DataFrame]) -> DataFrame:
 
 
 class _Grams:
-    """Scores of byte strings by open addressing: two to four slots of 12 bytes a string, whatever its bytes are."""
+    """Values of keys by open addressing: two to four slots a key, whatever the keys are."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
@@ -180,24 +187,30 @@ class _Grams:
             self.keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
             left = left[self.keys[at] != keys[left]]
             slot[left] = (slot[left] + 1) & self.last
-        self.value = np.zeros(1 << bits, np.float32)
+        self.value = np.zeros(1 << bits, values.dtype)
         self.value[slot] = values
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        away = np.flatnonzero(self.keys[slot] != keys)
+        while len(away):
+            slot[away] = (slot[away] + 1) & self.last
+            away = away[self.keys[slot[away]] != keys[away]]
+        return self.value[slot].astype(np.float64)
+
     def total(self, raw: bytes) -> float:
-        out = 0.0
-        for i in range(0, len(raw) - DEPTH, 65_536):
-            keys = _grams(np.frombuffer(raw[i : i + 65_536 + DEPTH], np.uint8))
-            slot = self._slots(keys)
-            away = np.flatnonzero(self.keys[slot] != keys)
-            while len(away):
-                slot[away] = (slot[away] + 1) & self.last
-                away = away[self.keys[slot[away]] != keys[away]]
-            out += float(self.value[slot].sum(dtype=np.float64))
-        return out
+        return sum((float(self.values(_grams(np.frombuffer(raw[i : i + BATCH + DEPTH], np.uint8))).sum()) for i in range(0, len(raw) - DEPTH, BATCH)), 0.0)
+
+    def totals(self, parts: list[bytes]) -> list[float]:
+        """total() of every part; short ones are looked up together."""
+        if sum(map(len, parts)) > 4 * BATCH:
+            return [self.total(p) for p in parts]
+        ends = np.cumsum([len(p) - DEPTH for p in parts])
+        return np.add.reduceat(self.values(_collect(parts)), np.append(0, ends[:-1])).tolist()
 
 
 def _dealt(docs: DataFrame, train: Column, chunks: int) -> DataFrame:
@@ -243,7 +256,8 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
 
     grams = totals.where(is_gram).select(F.col("key").bitwiseXOR(F.lit(_GRAM)).alias("gram"), F.col("c").alias("n"))
     tree = context_tree(grams)
-    scores = materialize(gram_scores(grams, tree))
+    with short_methods(docs.sparkSession):
+        scores = materialize(gram_scores(grams, tree))
     for level in tree:
         discard(level)
     of_gram = scores.select(F.col("gram").bitwiseOR(F.lit(_GRAM)).alias("key"), F.col("score").alias("value"))
@@ -254,20 +268,15 @@ def score(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> Dat
     def score_chunk(pdf: pd.DataFrame, vals: pd.DataFrame) -> pd.DataFrame:
         keys, value = vals["key"].to_numpy(), vals["value"].to_numpy()
         gram = keys >= _GRAM
-        tree = _Grams(keys[gram] ^ _GRAM, value[gram])
-        order = np.argsort(keys[~gram])
-        known_keys, count = keys[~gram][order], value[~gram][order]
-        logs: dict[bytes, float] = {}
-        known: dict[bytes, bool] = {}
+        tree, count = _Grams(keys[gram] ^ _GRAM, value[gram].astype(np.float32)), _Grams(keys[~gram], value[~gram])
         out = []
-        for text in pdf["text"]:
-            words = tokens(text)
-            new = [w for w in set(words) if w not in logs]
-            if new:
-                c = count[np.searchsorted(known_keys, np.array([_key(w) for w in new], np.int64))]
-                logs.update(zip(new, (np.log10(c + 0.5) - below).tolist(), strict=True))
-                known.update(zip(new, (c > 0).tolist(), strict=True))
-            out.append((len(words), sum(map(known.__getitem__, words)), math.fsum(map(logs.__getitem__, words)), tree.total(_bytes(words))))
+        for batch in _batches(pdf["text"], BATCH):
+            c = count.values(_keys(batch))
+            logs, known = (np.log10(c + 0.5) - below).tolist(), np.append(0, np.cumsum(c > 0)).tolist()
+            end = 0
+            for words, own in zip(batch, tree.totals([_bytes(words) for words in batch]), strict=True):
+                start, end = end, end + len(words)
+                out.append((len(words), known[end] - known[start], math.fsum(logs[start:end]), own))
         n, k, base, own = zip(*out, strict=True) if out else ((), (), (), ())
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "copies": pdf["copies"], "n_tokens": n, "n_known": k, "base_score": base, "score": own})
 

@@ -395,6 +395,35 @@ def test_lm_tables_take_any_alphabet():
     assert lm._Grams(np.empty(0, np.int64), np.empty(0)).total(b"") == 0
 
 
+def test_lm_counts_and_totals_of_batches_stop_at_texts(monkeypatch):
+    import pandas as pd
+
+    rows = [("ab ab", True, 1), ("", True, 1), (None, False, 1), ("ab c", True, 3), ("d" * 40, False, 1)]
+    want = collections.Counter()
+    for t, train, copies in rows:
+        raw = lm._bytes(lm.tokens(t))
+        for k in [int(x) for x in lm._keys([lm.tokens(t)])] + [int.from_bytes(raw[i - lm.DEPTH : i + 1]) | lm._GRAM for i in range(lm.DEPTH, len(raw))]:
+            want[k] += copies * train
+    got = lm._count_chunk(pd.DataFrame(rows, columns=["text", "train", "copies"]).assign(chunk=0))
+    assert dict(zip(got["key"].tolist(), got["n"].tolist(), strict=True)) == dict(want)
+    parts = [lm._bytes(lm.tokens(t)) for t, _, _ in rows]
+    keys = np.unique(lm._collect(parts))
+    table = lm._Grams(keys, np.arange(1, len(keys) + 1, dtype=np.float32))
+    single = [table.total(p) for p in parts]
+    assert table.totals(parts) == pytest.approx(single)
+    monkeypatch.setattr(lm, "BATCH", 4)
+    assert table.totals(parts) == pytest.approx(single)
+
+
+def test_lm_scores_byte_strings_in_methods_that_the_jvm_compiles(spark, monkeypatch):
+    """The columns of several depths were one generated method, too long to be compiled."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before, seen, plan = spark.conf.get(key), [], lm.gram_scores
+    monkeypatch.setattr(lm, "gram_scores", lambda *a: seen.append(spark.conf.get(key)) or plan(*a))
+    lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True))
+    assert seen == ["8000"] and spark.conf.get(key) == before
+
+
 def test_buckets_that_share_a_hash_are_told_apart():
     import pyarrow as pa
 
