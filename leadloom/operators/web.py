@@ -12,34 +12,48 @@ def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "
     """host, type, path: the rules of each robots file that hold for the agent.
 
     Consecutive User-agent lines share a group; the first group that names the agent wins over the
-    first with a star. Lines are numbered rows, groups are counted by windows over a file's lines.
+    first with a star. A file is a row, its lines are an array of it: nothing is shuffled. Where a
+    host has several files, each is read by itself and the rules of all hold.
     """
-    lines = files.select(host, F.posexplode(F.split(F.regexp_replace(text, r"\r", ""), "\n")).alias("n", "line"))
-    lines = lines.select(host, "n", F.trim(F.regexp_replace("line", r"#.*$", "")).alias("line")).where(F.instr("line", ":") > 0)
-    lines = lines.select(host, "n", F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_replace("line", r"^[^:]*:", "")).alias("value"))
-    lines = lines.where(F.col("field").isin("user-agent", "allow", "disallow"))
-    w = Window.partitionBy(host).orderBy("n")
-    is_agent = F.col("field") == "user-agent"
-    lines = lines.withColumn("starts", (is_agent & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")).cast("int"))
-    lines = lines.withColumn("block", F.sum("starts").over(w)).where("block > 0")
-    names = (F.col("value") != "*") & F.contains(F.lit(agent.lower()), F.lower("value")) & (F.col("value") != "")
-    chosen = lines.where(is_agent).groupBy(host).agg(F.min(F.when(names, F.col("block"))).alias("own"), F.min(F.when(F.col("value") == "*", F.col("block"))).alias("star"))
-    chosen = chosen.select(host, F.coalesce("own", "star").alias("block"))
-    return lines.where(~is_agent).join(chosen, [host, "block"]).select(host, F.col("field").alias("type"), F.col("value").alias("path"))
+    parts = lambda line: F.struct(F.lower(F.trim(F.split_part(line, F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"))
+    is_agent = lambda x: x["field"] == "user-agent"
+    names = lambda x: is_agent(x) & (x["value"] != "*") & F.contains(F.lit(agent.lower()), F.lower(x["value"])) & (x["value"] != "")
+    first = lambda c, holds: F.nullif(F.array_position(F.transform(c, holds), True), F.lit(0)).cast("int")
+
+    lines = F.transform(F.split(F.regexp_replace(text, r"\r", ""), "\n"), lambda line: F.trim(F.regexp_replace(line, r"#.*$", "")))
+    fields = F.transform(F.filter(lines, lambda line: F.instr(line, ":") > 0), parts)
+    f = files.select(host, F.filter(fields, lambda x: x["field"].isin("user-agent", "allow", "disallow")).alias("lines"))
+    starts = lambda x, i: is_agent(x) & (F.coalesce(F.get("lines", i - 1)["field"], F.lit("")) != "user-agent")
+    f = f.select(host, F.transform("lines", lambda x, i: x.withField("starts", starts(x, i))).alias("lines"))
+    f = f.select(host, "lines", F.coalesce(first("lines", names), first("lines", lambda x: is_agent(x) & (x["value"] == "*"))).alias("at"))
+    f = f.select(host, F.slice("lines", F.col("at") + 1, F.size("lines")).alias("lines"))  # what follows the agent's line
+    f = f.select(host, F.slice("lines", 1, F.coalesce(first("lines", lambda x: x["starts"]) - 1, F.size("lines"))).alias("lines"))
+    rules = f.select(host, F.explode(F.filter("lines", lambda x: ~is_agent(x))).alias("rule"))
+    return rules.select(host, F.col("rule.field").alias("type"), F.col("rule.value").alias("path"))
 
 
 def robots_decision(paths: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """host, path, allowed: the longest rule that matches decides, allow among equals; none: allowed.
 
     A rule ends at its first star; a final $ asks for the whole path; empty rules match nothing.
+    Paths and rules meet in one shuffle and one sort by host, as rows of one table: no hash table
+    and no broadcast grows with them, and a host's equal rules count once. Equal paths lie together.
+    All the session's shuffle partitions are kept: rows are short and pack well, so that partitions
+    merged by their packed size would be large ones to sort.
     """
-    r = rules.where("path != ''").select(F.col(host).alias("_h"), "type", F.col("path").alias("rule"))
-    whole = F.endswith("rule", F.lit("$"))
-    hit = F.when(whole, F.col(path) == F.expr("substring(rule, 1, length(rule) - 1)")).otherwise(F.startswith(F.col(path), F.regexp_replace("rule", r"\*.*$", "")))
-    asked = paths.select(host, path).distinct()
-    j = asked.join(r, (F.col(host) == F.col("_h")) & hit, "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), (F.col("type") == "allow").alias("allow"))))
-    return j.groupBy(host, path).agg(F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
+    whole = F.endswith("path", F.lit("$"))
+    text = F.when(whole, F.expr("substring(path, 1, length(path) - 1)")).otherwise(F.regexp_replace("path", r"\*.*$", ""))
+    rule = F.struct(F.length("path").alias("n"), (F.col("type") == "allow").alias("allow"), whole.alias("whole"), text.alias("text"))
+    r = rules.where(F.col(host).isNotNull() & (F.col("path") != "")).select(host, rule.alias("_rule"))
+    rows = paths.select(host, path, F.lit(True).alias("_asked")).unionByName(r.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), host)
+    of_host = Window.partitionBy(host)
+    ordered = of_host.orderBy("_asked", path)
+    again = F.coalesce(F.lag("_asked").over(ordered), F.lit(False)) & F.lag(path).over(ordered).eqNullSafe(F.col(path))
+    rows = rows.withColumn("_again", again).withColumn("_rules", F.collect_set("_rule").over(of_host))
+    hits = F.filter("_rules", lambda x: F.when(x["whole"], F.col(path) == x["text"]).otherwise(F.startswith(F.col(path), x["text"])))
+    best = F.array_max(F.transform(hits, lambda x: F.struct(x["n"], x["allow"])))
+    return rows.where(F.col("_asked") & ~F.col("_again")).select(host, path, F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
 
 # Forms of personal data in texts, and names of fields that hold some.

@@ -132,6 +132,31 @@ def test_robots(spark):
     assert got == {("a", "/x/1"): False, ("a", "/x/y"): True, ("a", "/z"): False, ("a", "/zz"): True, ("b", "/x"): True}
 
 
+def test_robots_files_of_a_host_are_read_apart(spark):
+    one_more = [("a", "\nUser-agent: *\nDisallow: /y"), ("a", None), (None, "User-agent: *\nDisallow: /")]
+    files = spark.createDataFrame([("a", "User-agent: *\nDisallow: /x"), *one_more], "host string, robots string")
+    asked = [("a", "/x"), ("a", "/y"), ("a", "/y"), ("a", None), ("a", None), (None, "/y"), ("b", "/x"), ("b", "/x")]
+    paths = spark.createDataFrame(asked, "host string, path string")
+    got = [(r["host"], r["path"], r["allowed"]) for r in web.robots_decision(paths, web.robots_rules(files, "us")).collect()]
+    assert sorted(got, key=str) == sorted([("a", "/x", False), ("a", "/y", False), ("a", None, True), (None, "/y", True), ("b", "/x", True)], key=str)
+
+
+def test_robots_group_ends_at_the_next(spark):
+    robots = "Allow: /lost\nUser-agent: x\nUser-agent: Us\nDisallow: /a # no\n\nSitemap: s\nDisallow:\nUser-agent: us\nDisallow: /b\nUser-agent: *\nDisallow: /"
+    files = spark.createDataFrame([("a", robots), ("b", "User-agent: other\nDisallow: /"), ("c", "User-agent: *\r\nAllow: /z\r\n")], "host string, robots string")
+    assert sorted(tuple(r) for r in web.robots_rules(files, "us").collect()) == [("a", "disallow", ""), ("a", "disallow", "/a"), ("c", "allow", "/z")]
+
+
+def test_robots_meet_in_one_shuffle_that_copies_do_not_multiply(spark):
+    files = spark.range(400).selectExpr("concat('h', id % 2) AS host", "'User-agent: *\nDisallow: /a\nAllow: /a/b' AS robots")
+    paths = spark.range(4000).selectExpr("concat('h', id % 2) AS host", "concat('/a/', id % 10) AS path")
+    out = web.robots_decision(paths, web.robots_rules(files, "us"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert "Broadcast" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert out.count() == 10 and out.where("allowed").count() == 0
+
+
 def test_allowance_ramps_up(spark):
     day = F.lit("2024-01-08").cast("date")
     assert one(spark, guards.allowance(day, "2024-01-05")) == 25
