@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .registers import says
 
+SHARE = 100_000  # paths of a host that one task meets
+
 
 def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "robots") -> DataFrame:
     """host, type, path: the rules of each robots file that hold for the agent.
@@ -36,18 +38,26 @@ def robots_decision(paths: DataFrame, rules: DataFrame, host: str = "host", path
     """host, path, allowed: the longest rule that matches decides, allow among equals; none: allowed.
 
     A rule ends at its first star; a final $ asks for the whole path; empty rules match nothing.
-    Paths and rules meet in one shuffle and one sort by host, as rows of one table: no hash table
-    and no broadcast grows with them, and a host's equal rules count once. Equal paths lie together.
+    Paths and rules meet in one shuffle and one sort by host, as rows of one table: nothing but the
+    counts of hosts is hashed, and a host's equal rules count once. A host of more than SHARE paths
+    is dealt to shares by path, its rules go to each. Equal paths lie together in a share.
     All the session's shuffle partitions are kept: rows are short and pack well, so that partitions
     merged by their packed size would be large ones to sort.
     """
+    many = paths.groupBy(F.col(host).alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > SHARE)
+    many = F.broadcast(many.select("_h", F.expr(f"cast(_n div {SHARE} + 1 AS int)").alias("_shares")))  # at most a row per SHARE paths
+    dealt = lambda df: df.join(many, F.col(host) == F.col("_h"), "left").drop("_h")
+    asked = dealt(paths.select(host, path))
+    asked = asked.where(F.col("_shares").isNull()).unionByName(asked.where(F.col("_shares").isNotNull()).distinct())
+    asked = asked.select(host, path, F.pmod(F.xxhash64(path), F.coalesce("_shares", F.lit(1))).cast("int").alias("_share"), F.lit(True).alias("_asked"))
     whole = F.endswith("path", F.lit("$"))
     text = F.when(whole, F.expr("substring(path, 1, length(path) - 1)")).otherwise(F.regexp_replace("path", r"\*.*$", ""))
     rule = F.struct(F.length("path").alias("n"), (F.col("type") == "allow").alias("allow"), whole.alias("whole"), text.alias("text"))
-    r = rules.where(F.col(host).isNotNull() & (F.col("path") != "")).select(host, rule.alias("_rule"))
-    rows = paths.select(host, path, F.lit(True).alias("_asked")).unionByName(r.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), host)
-    of_host = Window.partitionBy(host)
+    r = dealt(rules.where(F.col(host).isNotNull() & (F.col("path") != "")).select(host, rule.alias("_rule")))
+    r = r.select(host, "_rule", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("_share"), F.lit(False).alias("_asked"))
+    rows = asked.unionByName(r, allowMissingColumns=True)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), host, "_share")
+    of_host = Window.partitionBy(host, "_share")
     ordered = of_host.orderBy("_asked", path)
     again = F.coalesce(F.lag("_asked").over(ordered), F.lit(False)) & F.lag(path).over(ordered).eqNullSafe(F.col(path))
     rows = rows.withColumn("_again", again).withColumn("_rules", F.collect_set("_rule").over(of_host))

@@ -151,12 +151,21 @@ def test_robots_meet_in_one_shuffle_that_copies_do_not_multiply(spark):
     files = spark.range(400).selectExpr("concat('h', id % 2) AS host", "'User-agent: *\nDisallow: /a\nAllow: /a/b' AS robots")
     paths = spark.range(4000).selectExpr("concat('h', id % 2) AS host", "concat('/a/', id % 10) AS path")
     out = web.robots_decision(paths, web.robots_rules(files, "us"))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
-    assert "Broadcast" not in plan and "Join" not in plan and "Aggregate" not in plan
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("rightHint=(strategy=broadcast)")  # only with the counts of hosts
+    assert plan.count("RepartitionByExpression") == 1
     assert out.count() == 10 and out.where("allowed").count() == 0
 
 
+def test_paths_of_one_host_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(web, "SHARE", 100)
+    files = spark.createDataFrame([("a", "User-agent: *\nDisallow: /1"), ("b", "")], "host string, robots string")
+    paths = spark.range(4000).selectExpr("'a' AS host", "concat('/', id % 1000) AS path").union(spark.createDataFrame([("b", "/1"), ("b", "/1"), ("a", None)], "host string, path string"))
+    out = web.robots_decision(paths, web.robots_rules(files, "us")).withColumn("task", F.spark_partition_id()).collect()
+    assert len(out) == 1002 and sum(not r["allowed"] for r in out) == 111
+    assert len({r["task"] for r in out if r["host"] == "a"}) > 1
+
+
 def test_allowance_ramps_up(spark):
     day = F.lit("2024-01-08").cast("date")
     assert one(spark, guards.allowance(day, "2024-01-05")) == 25
